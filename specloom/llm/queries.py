@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import ann, common, jaccard, packing, quality, sharding
+from specloom.llm import ann, common, extraction, jaccard, media, packing, pieces, quality, sharding
 
 
 def vocabulary(name: str) -> str:
@@ -29,13 +29,26 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op5_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract(common.table(spark, sf_dir, "pages"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.decisions(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    return media.store(common.table(spark, sf_dir, "documents")).select(*names)
+
+
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(common.table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op6_quality, op8_jaccard, op9_neighbours)}
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces)}
 SQL: dict[str, str] = {}
