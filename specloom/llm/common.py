@@ -77,3 +77,19 @@ def text_or_empty(name: str = "text") -> Column:
 def hash128(col: Column) -> list[Column]:
     """Two independent 64-bit hashes; together they stand for the string."""
     return [F.xxhash64(col), F.xxhash64(F.lit("specloom"), col)]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme of the file system that it belongs to."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+
+
+def file_system(path: str):
+    """pyarrow's file system for a qualified path, and the path in it. For Python workers."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return fs.FileSystem.from_uri(path)
