@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from specloom.llm import common, jaccard, packing, quality
+from specloom.llm import common, jaccard, linededup, packing, quality
 from specloom.llm.queries import vocabulary
 
 
@@ -12,6 +12,10 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.resample(docs, common.table(spark, sf_dir, "labels"))
 
 
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.clean(docs)
+
+
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return jaccard.keep_one(docs)
 
@@ -20,7 +24,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"), with_ids=True)
 
 
-STAGES = [("quality", good_documents), ("near duplicates", one_of_similar), ("packing", packed)]
+STAGES = [("quality", good_documents), ("line dedup", without_repeated_lines), ("near duplicates", one_of_similar), ("packing", packed)]
 #: Hashes, tokens and random keys are beyond SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 

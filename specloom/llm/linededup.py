@@ -60,7 +60,7 @@ def join_keys(line: Column, edits: int) -> Column:
 
 def parity(line: Column) -> Column:
     """32 bits, each the parity of the count of a class of signs. An edit changes two of them at most."""
-    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.shiftleft(F.lit(1), F.ascii(c).bitwiseAND(31))))
+    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(F.lit(31)))))
 
 
 def within(a: Column, b: Column, edits: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import ann, common, extraction, jaccard, linededup, media, packing, pieces, quality, sharding, warc
+from specloom.llm import ann, common, extraction, jaccard, linededup, media, packing, pieces, quality, sharding, sql, warc
 
 
 def vocabulary(name: str) -> str:
@@ -60,4 +60,4 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces)}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = sql.SQL
