@@ -41,26 +41,48 @@ def windows(edits: int, shorter: int) -> list[tuple[int, int]]:
     return out
 
 
-def join_keys(line: Column, edits: int) -> Column:
-    """Array of (key, probe): hashes of the line's own segments, and of its substrings that may be segments of another line
-    of the same length or shorter. Own segments stand for the probes at the same place."""
+def own_keys(line: Column, edits: int) -> list[Column]:
+    """Hashes of the line's own segments."""
+    n = F.char_length(line)
+    return [F.xxhash64(n, F.lit(i), F.substring(line, start, size)) for i, (start, size) in enumerate(segments(n, edits))]
+
+
+def probe_keys(line: Column, edits: int) -> list[Column]:
+    """Hashes of the line's substrings that may be segments of another line of the same length or shorter.
+
+    Own segments stand for the probes at the same place. All windows lie inside a line longer than the segments are many.
+    """
     n = F.char_length(line)
     found = []
     for shorter in range(edits + 1):
-        length = n - shorter
-        own = segments(length, edits)
+        own = segments(n - shorter, edits)
         for i, offset in windows(edits, shorter):
-            start, size = own[i]
-            key = F.xxhash64(length, F.lit(i), F.substring(line, start + offset, size))
-            fits = (start + offset >= 1) & (start + offset + size - 1 <= n)
-            same = shorter == 0 and offset == 0
-            found.append(F.when(F.lit(True) if same else fits, F.struct(key.alias("key"), F.lit(int(not same)).alias("probe"))))
-    return F.filter(F.array(*found), lambda x: x.isNotNull())
+            if shorter or offset:
+                start, size = own[i]
+                found.append(F.xxhash64(n - shorter, F.lit(i), F.substring(line, start + offset, size)))
+    return found
+
+
+#: Letters whose counts, modulo 8, make a line's signature.
+LETTERS = "eainrtsold"
+
+
+def signature(line: Column) -> Column:
+    """Counts of frequent letters, three bits each. An edit changes two counts by one at most."""
+    out = F.lit(0)
+    for i, letter in enumerate(LETTERS):
+        count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        out = out + F.shiftleft(count.bitwiseAND(F.lit(7)), 3 * i)
+    return out
 
 
-def parity(line: Column) -> Column:
-    """32 bits, each the parity of the count of a class of signs. An edit changes two of them at most."""
-    return F.aggregate(F.split(line, ""), F.lit(0), lambda bits, c: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1), F.ascii(c).bitwiseAND(F.lit(31)))))
+def signatures_near(a: Column, b: Column, edits: int) -> Column:
+    """Necessary for lines within the edits: their letter counts differ by two for each edit at most."""
+    total = F.lit(0)
+    for i in range(len(LETTERS)):
+        d = (F.shiftright(a, 3 * i) - F.shiftright(b, 3 * i)).bitwiseAND(F.lit(7))
+        total = total + F.least(d, 8 - d)
+    return total <= 2 * edits
 
 
 def within(a: Column, b: Column, edits: int) -> Column:
@@ -137,13 +159,15 @@ class Lines:
     def later(self) -> DataFrame:
         """Ids of distinct lines that are within the edits of a line whose first place comes before theirs."""
         lines = self.distinct()
-        keys = lines.select("id", parity(F.col("line")).alias("parity"), F.explode(join_keys(F.col("line"), self.edits)).alias("k"))
-        keys = keys.select("id", "parity", "k.key", "k.probe")
-        own = keys.where("probe = 0").select(F.col("id").alias("other"), F.col("parity").alias("its"), "key")
-        apart = (F.col("id") != F.col("other")) & ((F.col("probe") == 1) | (F.col("id") < F.col("other")))
-        near = F.bit_count(F.col("parity").bitwiseXOR(F.col("its"))) <= 2 * self.edits
+        line, mark = F.col("line"), signature(F.col("line")).alias("mark")
+        own, probes = own_keys(line, self.edits), probe_keys(line, self.edits)
+        keys = lines.select("id", mark, F.posexplode(F.array(*own, *probes)).alias("n", "key"))
+        keys = keys.select("id", "mark", "key", (F.col("n") >= len(own)).alias("probe"))
+        index = lines.select(F.col("id").alias("other"), mark.alias("its"), F.explode(F.array(*own)).alias("key"))
+        apart = (F.col("id") != F.col("other")) & (F.col("probe") | (F.col("id") < F.col("other")))
+        near = signatures_near(F.col("mark"), F.col("its"), self.edits)
         a, b = F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
-        pairs = keys.alias("k").join(own.alias("o"), (F.col("k.key") == F.col("o.key")) & apart & near).select(a, b).distinct()
+        pairs = keys.alias("k").join(index.alias("o"), (F.col("k.key") == F.col("o.key")) & apart & near).select(a, b).distinct()
         side = lambda name: lines.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"), F.col("line").alias(f"line_{name}"))
         pairs = pairs.join(side("a"), "a").join(side("b"), "b")
         pairs = pairs.where(within(F.col("line_a"), F.col("line_b"), self.edits))
