@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from specloom.plans import curation, evaluation, functions, ingest, rules
+
+Query = Callable[[SparkSession, str], DataFrame]
+PARTS = (ingest, curation, rules, functions, evaluation)
+QUERIES: dict[str, Query] = {name: run for part in PARTS for name, run in part.QUERIES.items()}
+SQL: dict[str, str] = {name: text for part in PARTS for name, text in part.SQL.items()}
