@@ -41,18 +41,16 @@ def windows(edits: int, shorter: int) -> list[tuple[int, int]]:
     return out
 
 
-def own_keys(line: Column, edits: int) -> list[Column]:
-    """Hashes of the line's own segments."""
-    n = F.char_length(line)
+def own_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Hashes of the own segments of a line of length n."""
     return [F.xxhash64(n, F.lit(i), F.substring(line, start, size)) for i, (start, size) in enumerate(segments(n, edits))]
 
 
-def probe_keys(line: Column, edits: int) -> list[Column]:
-    """Hashes of the line's substrings that may be segments of another line of the same length or shorter.
+def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Hashes of substrings of a line of length n that may be segments of another line of the same length or shorter.
 
     Own segments stand for the probes at the same place. All windows lie inside a line longer than the segments are many.
     """
-    n = F.char_length(line)
     found = []
     for shorter in range(edits + 1):
         own = segments(n - shorter, edits)
@@ -63,16 +61,16 @@ def probe_keys(line: Column, edits: int) -> list[Column]:
     return found
 
 
-#: Letters whose counts, modulo 8, make a line's signature.
-LETTERS = "eainrtsold"
+#: Letters whose counts, modulo 16, make a line's signature.
+LETTERS = "eainrts"
 
 
 def signature(line: Column) -> Column:
-    """Counts of frequent letters, three bits each. An edit changes two counts by one at most."""
+    """Counts of frequent letters, four bits each. An edit changes two counts by one at most."""
     out = F.lit(0)
     for i, letter in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out + F.shiftleft(count.bitwiseAND(F.lit(7)), 3 * i)
+        out = out + F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * i)
     return out
 
 
@@ -80,8 +78,8 @@ def signatures_near(a: Column, b: Column, edits: int) -> Column:
     """Necessary for lines within the edits: their letter counts differ by two for each edit at most."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = (F.shiftright(a, 3 * i) - F.shiftright(b, 3 * i)).bitwiseAND(F.lit(7))
-        total = total + F.least(d, 8 - d)
+        d = (F.shiftright(a, 4 * i) - F.shiftright(b, 4 * i)).bitwiseAND(F.lit(15))
+        total = total + F.least(d, 16 - d)
     return total <= 2 * edits
 
 
@@ -159,11 +157,18 @@ class Lines:
     def later(self) -> DataFrame:
         """Ids of distinct lines that are within the edits of a line whose first place comes before theirs."""
         lines = self.distinct()
-        line, mark = F.col("line"), signature(F.col("line")).alias("mark")
-        own, probes = own_keys(line, self.edits), probe_keys(line, self.edits)
-        keys = lines.select("id", mark, F.posexplode(F.array(*own, *probes)).alias("n", "key"))
-        keys = keys.select("id", "mark", "key", (F.col("n") >= len(own)).alias("probe"))
-        index = lines.select(F.col("id").alias("other"), mark.alias("its"), F.explode(F.array(*own)).alias("key"))
+        # length, then keys, are columns of their own, so that each is computed once a line and not in every use
+        line, n = F.col("line"), F.col("n_chars")
+        own, probes = own_keys(line, n, self.edits), probe_keys(line, n, self.edits)
+        sized = lines.select("id", "line", F.char_length("line").alias("n_chars"))
+
+        def spread(columns: list[Column]) -> DataFrame:
+            names = [f"k{i}" for i in range(len(columns))]
+            rows = sized.select("id", signature(line).alias("mark"), *(c.alias(k) for c, k in zip(columns, names, strict=True)))
+            return rows.select("id", "mark", F.posexplode(F.array(*names)).alias("n", "key"))
+
+        keys = spread([*own, *probes]).select("id", "mark", "key", (F.col("n") >= len(own)).alias("probe"))
+        index = spread(own).select(F.col("id").alias("other"), F.col("mark").alias("its"), "key")
         apart = (F.col("id") != F.col("other")) & (F.col("probe") | (F.col("id") < F.col("other")))
         near = signatures_near(F.col("mark"), F.col("its"), self.edits)
         a, b = F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
