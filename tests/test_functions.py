@@ -1,0 +1,82 @@
+from pyspark.sql import functions as F
+
+from specloom.functions import outputs as O
+from specloom.functions import parsing as P
+from specloom.functions import sets as S
+from specloom.operators import ingest as I
+
+
+def one(spark, column, **values):
+    row = spark.createDataFrame([tuple(v[0] for v in values.values())], ", ".join(f"{k} {v[1]}" for k, v in values.items()))
+    return row.select(column.alias("x")).first()[0]
+
+
+def test_couplings_and_multiplicity(spark):
+    assert one(spark, P.couplings(F.col("v")), v=(["7.2Hz", "1.5", None, "bad"], "array<string>")) == [7.2, 1.5]
+    for text, want in (("app d", "d"), ("sept", "hept"), ("", "s"), (None, "s"), ("quintet", "p"), ("BS", "brs")):
+        assert one(spark, P.multiplicity(F.col("v")), v=(text, "string")) == want
+
+
+def test_numbers(spark):
+    assert one(spark, P.parse_number(F.col("v")), v=("400 MHz", "string")) == 400.0
+    assert one(spark, P.frequency_mhz(F.col("v"), 500.0), v=(None, "string")) == 500.0
+    assert one(spark, P.integration(F.col("v")), v=("3H", "string")) == 3.0
+    assert one(spark, P.to_int(F.col("v")), v=("12.9", "string")) == 12
+
+
+def test_formula_and_dbe(spark):
+    assert one(spark, P.formula_counts(F.col("v")), v=("C8H10O", "string")) == {"C": 8, "H": 10, "O": 1}
+    assert one(spark, P.formula_counts(F.col("v")), v=("C2H5BrI", "string")) == {"C": 2, "H": 5, "Br": 1, "I": 1}
+    for text, want in (("C8H10O", 4.0), ("C2H5Cl", 0.0), ("Si2H6", 0.0), ("C2H7P", 0.0), ("CF3Cl", 0.0), ("C2H5O.Na", None), ("CH5", None), ("", None), (None, None)):
+        assert one(spark, P.dbe(F.col("v")), v=(text, "string")) == want
+
+
+def test_peak_tuples(spark):
+    rows = spark.createDataFrame([("[(1.23, 'app t', ['7.1 Hz'], '3H'), ('m', [], '2H', 7.27, 7.24), ('d', ['3.8Hz'], '2H', 3.68, 3.68)]",), ("broken(",), (None,)], "processed string")
+    got = [r[0] for r in I.literal_tables(rows, "processed", "t").select(I.h_table(F.col("t"))).collect()]
+    assert got[1] is None and got[2] is None
+    a, b, c = got[0]
+    assert (a.shift, a.multiplicity, a.J, a.integration, a.shift_range) == (1.23, "t", [7.1], 3.0, None)
+    assert (round(b.shift, 3), b.multiplicity, b.J, b.integration, b.shift_range) == (7.255, "m", [], 2.0, [7.24, 7.27])
+    assert (c.shift, c.J, c.shift_range) == (3.68, [3.8], [3.68, 3.68])
+
+
+def test_peak_table(spark):
+    peaks = [(3.65, "q", [7.0], 2.0), (1.18, "t", [7.0], 3.0), (2.0, "brs", [], 1.0)]
+    row = spark.createDataFrame([(peaks, [58.1, 18.2])], "h array<struct<shift:double,multiplicity:string,J:array<double>,integration:double>>, c array<double>")
+    want = "1H NMR:\n3.65 ppm | q | J=7.0 Hz | integration=2\n2.00 ppm | brs | J=- Hz | integration=1\n1.18 ppm | t | J=7.0 Hz | integration=3\n\n13C NMR:\n58.10, 18.20 ppm"
+    assert row.select(P.peak_table(F.col("h"), F.col("c"))).first()[0] == want
+
+
+def test_outputs(spark):
+    valid = lambda c: c.isNotNull() & ~c.isin("not_a_smiles")
+    cases = (
+        ('{"smiles":"CCO"}', "compliant", "CCO"),
+        ('{"smiles":null}', "compliant", None),
+        ('{"smiles":"not_a_smiles"}', "invalid", "not_a_smiles"),
+        ("CCO", "non_bare", "CCO"),
+        ("Final SMILES: CCO", "non_bare", "CCO"),
+        ("```smiles\nCCO\n```", "non_bare", "CCO"),
+        ('{"name":"x","arguments":{"smiles":"OCC"}}', "compliant", "OCC"),
+        ('{"name":"x","arguments":"{\\"smiles\\":\\"OCC\\"}"}', "compliant", "OCC"),
+        ('[{"a":1},{"smiles":"CN"}]', "compliant", "CN"),
+        ('{"answer":1}', "non_bare", None),
+        ("", "non_bare", None),
+        (None, "non_bare", None),
+    )
+    rows = spark.createDataFrame([(c[0],) for c in cases], "t string").select("t", O.output_state(F.col("t"), valid), O.final_smiles(F.col("t"))).collect()
+    assert [tuple(r) for r in rows] == [tuple(c) for c in cases]
+
+
+def test_traces(spark):
+    rows = spark.createDataFrame([([10, 11, 2],), ([4, 5, 6, 7] * 3,), ([1, 2, 9, 9],), ([],)], "t array<int>")
+    got = [tuple(r) for r in rows.select(*O.trace(F.col("t"), 2, 12)).collect()]
+    assert got == [(3, True, False, False), (12, False, True, True), (2, True, False, False), (0, False, False, False)]
+
+
+def test_sets(spark):
+    row = spark.createDataFrame([(["a", "b"], ["b", "c"], [])], "a array<string>, b array<string>, n array<string>")
+    assert row.select(S.jaccard("a", "b"), S.jaccard("n", "n"), S.tanimoto("a", "b"), S.tanimoto("n", "n")).first()[:] == (1 / 3, 1.0, 1 / 3, 0.0)
+    p, r, f = row.select(*S.overlap_scores(F.col("a"), F.col("b"))).first()
+    assert (p, r, f) == (0.5, 0.5, 0.5)
+    assert row.select(*S.overlap_scores(F.col("n"), F.col("n"))).first()[:] == (1.0, 1.0, 1.0)
