@@ -28,7 +28,7 @@ GOOD = "This is a paragraph of the article that goes on for a while, and it has
         (f"<main><p>{GOOD}</p><aside><p>{GOOD}</p></aside><form><p>{GOOD}</p></form><script>var a = '<p>{GOOD}</p>'</script><table><tr><td>1</td><td>x</td></tr></table></main>", f"{GOOD}\n1\nx"),
         (f"<div id='cookie-notice'><p>{GOOD}</p></div><!-- <p>{GOOD}</p> --><style>p{{}}</style><div><h2>Head</h2>\n<p>{GOOD}</p></div>", f"Head\n{GOOD}"),
         ("<p>" + "<b>" * 3000 + "x", ""),
-        ("a < b & c > d <p title='>'>" + GOOD, GOOD),
+        ("a < b & c > d <p title='>'>" + GOOD, f"a < b & c > d\n{GOOD}"),
     ],
 )
 def test_extraction_cases(html, want):
