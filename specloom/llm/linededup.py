@@ -155,8 +155,13 @@ class Lines:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
         split = self.docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         split = split.withColumn("line", F.trim("line")).where(F.char_length("line") >= min_chars)
-        place = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
-        self.lines = split.withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line"), "place": place.cast("decimal(38,0)")})
+        self.lines = split.withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
+
+    @staticmethod
+    def place() -> Column:
+        """Order of places: by doc_id, null last, then by position."""
+        order = F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1)).cast("decimal(38,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col("pos")
+        return order.cast("decimal(38,0)")
 
     def distinct(self) -> DataFrame:
         """Each distinct line with its first place and count. Copies are summed up before the shuffle.
@@ -164,13 +169,14 @@ class Lines:
         Lines are told apart by 64-bit hashes; a second hash finds different lines that share one, and leaves them alone.
         """
         found = self.lines.groupBy("id").agg(
-            F.min("place").alias("first"),
+            F.min(self.place()).alias("first"),
             F.count(F.lit(1)).alias("n"),
             F.min("check").alias("low"),
             F.max("check").alias("high"),
             F.any_value("line").alias("line"),
         )
-        return found.where("low = high and n > 0 and first is not null").select("id", "first", "n", "line")
+        # every use needs all columns, so that Spark plans one shuffle of lines and reads it again
+        return found.where("low = high and n > 0 and first is not null and line is not null").select("id", "first", "n", "line")
 
     def later(self) -> DataFrame:
         """Ids of distinct lines that are within the edits of a line whose first place comes before theirs."""
@@ -185,10 +191,11 @@ class Lines:
             rows = sized.select("id", signature(line).alias("mark"), *(c.alias(k) for c, k in zip(columns, names, strict=True)))
             return rows.select("id", "mark", F.posexplode(F.array(*names)).alias("n", "key"))
 
-        keys = spread([*own, *probes]).select("id", "mark", "key", (F.col("n") >= len(own)).alias("probe"))
+        # the lowest bit says whether the key is a probe
+        keys = spread([*own, *probes]).select("id", "key", (F.shiftleft(F.col("mark").cast("long"), 1) + F.when(F.col("n") >= len(own), 1).otherwise(0)).alias("flags"))
         index = spread(own).select(F.col("id").alias("other"), F.col("mark").alias("its"), "key")
-        apart = (F.col("id") != F.col("other")) & (F.col("probe") | (F.col("id") < F.col("other")))
-        near = signatures_near(F.col("mark"), F.col("its"), self.edits)
+        apart = (F.col("id") != F.col("other")) & ((F.col("flags").bitwiseAND(F.lit(1)) == 1) | (F.col("id") < F.col("other")))
+        near = signatures_near(F.shiftright("flags", 1).cast("int"), F.col("its"), self.edits)
         a, b = F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")
         pairs = keys.alias("k").join(index.alias("o"), (F.col("k.key") == F.col("o.key")) & apart & near).select(a, b).distinct()
         side = lambda name: lines.select(F.col("id").alias(name), F.col("first").alias(f"first_{name}"), F.col("line").alias(f"line_{name}"))
@@ -207,11 +214,11 @@ class Lines:
         decided = self.distinct().select("id", "first", "n").join(later, "id", "left")
         decided = decided.where("n > 1 or later").select("id", "first", F.coalesce("later", F.lit(False)).alias("later"), "n")
         decided = common.cut(decided, "lines")
-        places = self.lines.select("doc_id", "text_hash", "pos", "id", "place", "check")
+        places = self.lines.select("doc_id", "text_hash", "pos", "id")
         total = decided.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         hot = F.broadcast(decided.where(F.col("n") > total / HOT).drop("n"))
         cool = decided.where(F.col("n") <= total / HOT).drop("n")
-        goes = F.col("later") | (F.col("place") != F.col("first"))
+        goes = F.col("later") | (self.place() != F.col("first"))
         found = places.join(hot, "id").where(goes).select("doc_id", "text_hash", "pos")
         found = found.unionByName(places.join(hot.select("id"), "id", "left_anti").join(cool, "id").where(goes).select("doc_id", "text_hash", "pos"))
         return found.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
