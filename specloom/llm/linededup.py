@@ -61,16 +61,16 @@ def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
     return found
 
 
-#: Letters whose counts, modulo 16, make a line's signature.
-LETTERS = "eainrts"
+#: Letters whose counts, modulo 8, make a line's signature.
+LETTERS = "eainrtsold"
 
 
 def signature(line: Column) -> Column:
-    """Counts of frequent letters, four bits each. An edit changes two counts by one at most."""
+    """Counts of frequent letters, three bits each. An edit changes two counts by one at most."""
     out = F.lit(0)
     for i, letter in enumerate(LETTERS):
         count = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        out = out + F.shiftleft(count.bitwiseAND(F.lit(15)), 4 * i)
+        out = out + F.shiftleft(count.bitwiseAND(F.lit(7)), 3 * i)
     return out
 
 
@@ -78,8 +78,8 @@ def signatures_near(a: Column, b: Column, edits: int) -> Column:
     """Necessary for lines within the edits: their letter counts differ by two for each edit at most."""
     total = F.lit(0)
     for i in range(len(LETTERS)):
-        d = (F.shiftright(a, 4 * i) - F.shiftright(b, 4 * i)).bitwiseAND(F.lit(15))
-        total = total + F.least(d, 16 - d)
+        d = (F.shiftright(a, 3 * i) - F.shiftright(b, 3 * i)).bitwiseAND(F.lit(7))
+        total = total + F.least(d, 8 - d)
     return total <= 2 * edits
 
 
@@ -155,7 +155,7 @@ class Lines:
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
         split = self.docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
         split = split.withColumn("line", F.trim("line")).where(F.char_length("line") >= min_chars)
-        self.lines = split.withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")})
+        self.lines = split.withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line"), "mark": signature(F.col("line"))})
 
     @staticmethod
     def place() -> Column:
@@ -173,10 +173,11 @@ class Lines:
             F.count(F.lit(1)).alias("n"),
             F.min("check").alias("low"),
             F.max("check").alias("high"),
+            F.max("mark").alias("mark"),
             F.any_value("line").alias("line"),
         )
         # every use needs all columns, so that Spark plans one shuffle of lines and reads it again
-        return found.where("low = high and n > 0 and first is not null and line is not null").select("id", "first", "n", "line")
+        return found.where("low = high and n > 0 and first is not null and mark is not null and line is not null").select("id", "first", "n", "mark", "line")
 
     def later(self) -> DataFrame:
         """Ids of distinct lines that are within the edits of a line whose first place comes before theirs."""
@@ -184,11 +185,11 @@ class Lines:
         # length, then keys, are columns of their own, so that each is computed once a line and not in every use
         line, n = F.col("line"), F.col("n_chars")
         own, probes = own_keys(line, n, self.edits), probe_keys(line, n, self.edits)
-        sized = lines.select("id", "line", F.char_length("line").alias("n_chars"))
+        sized = lines.select("id", "mark", "line", F.char_length("line").alias("n_chars"))
 
         def spread(columns: list[Column]) -> DataFrame:
             names = [f"k{i}" for i in range(len(columns))]
-            rows = sized.select("id", signature(line).alias("mark"), *(c.alias(k) for c, k in zip(columns, names, strict=True)))
+            rows = sized.select("id", "mark", *(c.alias(k) for c, k in zip(columns, names, strict=True)))
             return rows.select("id", "mark", F.posexplode(F.array(*names)).alias("n", "key"))
 
         # the lowest bit says whether the key is a probe
