@@ -52,7 +52,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.similar(common.table(spark, sf_dir, "documents"))
+    return jaccard.similar(common.table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,4 +38,21 @@ select page_id, payload_bytes,
 from q
 """
 
-SQL = {"op3_lines": LINES, "op4_warc": WARC}
+JACCARD = r"""
+with recursive w as (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10ffff}]+') w from documents),
+g as (select doc_id, case when len(w) >= 5 then list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    when len(w) > 0 then ['# ' || array_to_string(w, ' ')] else [] end s from w),
+n as (select doc_id, len(s) n from g),
+e as (select doc_id, unnest(s) h from g),
+p as (select a.doc_id x, b.doc_id y, count(*) c from e a join e b on a.h = b.h and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.x, p.y from p join n a on p.x = a.doc_id join n b on p.y = b.doc_id where 10 * c >= 8 * (a.n + b.n - c)
+  union all select a.doc_id, b.doc_id from n a join n b on a.n = 0 and b.n = 0 and a.doc_id < b.doc_id),
+s as (select x, y from l union all select y, x from l),
+r as (select doc_id, doc_id root from documents union select s.y, r.root from r join s on s.x = r.doc_id),
+c as (select doc_id, min(root) class_id from r group by 1),
+k as (select x doc_id, count(*) n_links from s group by 1)
+select c.doc_id, c.class_id, coalesce(k.n_links, 0) n_links, n.n::bigint n_shingles, c.doc_id = c.class_id keeper
+from c join n on c.doc_id = n.doc_id left join k on c.doc_id = k.doc_id
+"""
+
+SQL = {"op3_lines": LINES, "op4_warc": WARC, "op8_jaccard": JACCARD}
