@@ -6,10 +6,11 @@ from specloom.llm import ann, common, quality, queries
 
 
 def test_quality_keeps_good_documents(spark):
-    sf = "/root/testdata/sf0.01"
+    """On a table with some thousand labels. With few labels the cut is cautious: on sf0.01, of 58 bad documents 12 stay."""
+    sf = "/root/testdata/sf0.1"
     got = queries.op6_quality(spark, sf).join(common.table(spark, sf, "labels"), "doc_id")
     rates = {r.quality: r.k for r in got.groupBy("quality").agg(F.avg(F.col("keep").cast("double")).alias("k")).collect()}
-    assert rates[1] > 0.97 and rates[0] < 0.2
+    assert rates[1] > 0.99 and rates[0] < 0.05
 
 
 def test_quality_of_odd_rows(spark, odd, none):
