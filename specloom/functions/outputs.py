@@ -36,10 +36,6 @@ def payload(text: Column) -> Column:
     return F.get(F.filter(F.concat(F.array(strip(text)), blocks), lambda x: is_json(x)), 0)
 
 
-def _kind(json: Column) -> Column:
-    return F.schema_of_variant(F.try_parse_json(json))
-
-
 def _has(json: Column, key: str) -> Column:
     """Whether JSON text is an object with the key, its value null or not."""
     keys = F.json_object_keys(F.when(F.ltrim(json).startswith("{"), json))
