@@ -83,15 +83,16 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def verify_group(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, band: int, threshold: float) -> np.ndarray:
-    """Which members are linked: at least the threshold alike, first together in this band, and of the block pair's two sides."""
+def verify_group(sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray, band: int, threshold: float, *, apart: bool) -> np.ndarray:
+    """Which members are linked: at least the threshold alike, first together in this band, and, if two different blocks
+    meet (apart), on their two sides; the pairs of one side count where their block meets itself."""
     n = len(sets)
     size = np.fromiter(map(len, sets), np.int64, n)
     shared = shared_counts(sets)
     linked = shared >= threshold * (size[:, None] + size[None, :] - shared) - 1e-6
     for k in range(band):
         linked &= bands[:, None, k] != bands[None, :, k]
-    if side.any() and not side.all():
+    if apart:
         linked &= side[:, None] != side[None, :]
     np.fill_diagonal(linked, False)
     return linked
@@ -238,7 +239,7 @@ def similar(
     dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member")
 
     def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        band, i = group.column("band")[0].as_py(), group.column("i")[0].as_py()
+        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
         names = group.column("member").to_pylist()
         first = {m: k for k, m in reversed(list(enumerate(names)))}  # a repeated row gives its set twice
         pick = sorted(first.values(), key=names.__getitem__)
@@ -248,7 +249,7 @@ def similar(
         names = group.column("member").to_pylist()
         grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
         marks = np.asarray(group.column("bands").to_pylist(), np.int64)
-        linked = verify_group(grams, marks, np.asarray(group.column("own")) == i, band, threshold)
+        linked = verify_group(grams, marks, np.asarray(group.column("own")) == i, band, threshold, apart=i != j)
         links = linked @ np.asarray(group.column("copies"), np.int64)
         root = roots(linked)
         has = np.flatnonzero(linked.any(1))

@@ -53,6 +53,18 @@ def test_join_equals_brute_force(spark, copies, monkeypatch):
     assert {r.doc_id for r in kept} == {c for c, _ in want.values()}
 
 
+def test_links_count_once_in_blocks_by_grams(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 40)  # few members make several blocks, of which some stay empty
+    rng = random.Random(7)
+    docs = []
+    for g in range(24):
+        base = [f"g{g}x{rng.randrange(10**6)}" for _ in range(60)]
+        docs += [" ".join(base), " ".join([*base[:-1], "end"]), " ".join(["begin", *base[1:]])][: 2 + g % 2]
+    docs = list(enumerate(docs))
+    got = jaccard.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_classes(docs)
+
+
 def test_join_of_odd_rows(odd, none):
     got = jaccard.similar(odd).collect()
     assert len(got) == 6
