@@ -14,6 +14,10 @@ from specloom.llm import common
 
 #: Edits that make two lines alike, and the least length of lines that take part.
 EDITS, MIN_CHARS = 2, 20
+#: For all lines: those with a visible sign are held against equal ones, and edits may be a fifth of a line.
+ALL_LINES = {"min_chars": 5 * EDITS, "exact_chars": 1}
+#: A sign that isn't blank.
+VISIBLE = r"[^ \t\n\f\r\x0b]"
 #: A line is hot if it makes up more than one in so many lines; there can't be more hot lines than that.
 HOT = 1000
 
@@ -147,14 +151,17 @@ def within(a: Column, b: Column, edits: int) -> Column:
 class Lines:
     """The lines of a table that take part, and the decisions on them."""
 
-    def __init__(self, docs: DataFrame, *, edits: int, min_chars: int, doc_id: str, text: str):
+    def __init__(self, docs: DataFrame, *, edits: int, min_chars: int, exact_chars: int | None, doc_id: str, text: str):
         if min_chars <= edits + 1:
             raise ValueError("lines must be longer than the segments are many")
-        self.edits, self.doc_id, self.text = edits, doc_id, text
+        self.edits, self.min_chars, self.doc_id, self.text = edits, min_chars, doc_id, text
         body = F.coalesce(F.col(text), F.lit(""))
         self.docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), body.alias("text"), F.xxhash64(body).alias("text_hash"))
         split = self.docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-        split = split.withColumn("line", F.trim("line")).where(F.char_length("line") >= min_chars)
+        takes_part = F.char_length("line") >= min_chars
+        if exact_chars is not None:
+            takes_part = takes_part | ((F.char_length("line") >= exact_chars) & F.col("line").rlike(VISIBLE))
+        split = split.withColumn("line", F.trim("line")).where(takes_part)
         self.lines = split.withColumns({"id": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line"), "mark": signature(F.col("line"))})
 
     @staticmethod
@@ -185,7 +192,7 @@ class Lines:
         # length, then keys, are columns of their own, so that each is computed once a line and not in every use
         line, n = F.col("line"), F.col("n_chars")
         own, probes = own_keys(line, n, self.edits), probe_keys(line, n, self.edits)
-        sized = lines.select("id", "mark", "line", F.char_length("line").alias("n_chars"))
+        sized = lines.select("id", "mark", "line", F.char_length("line").alias("n_chars")).where(F.col("n_chars") >= self.min_chars)
 
         def spread(columns: list[Column]) -> DataFrame:
             names = [f"k{i}" for i in range(len(columns))]
@@ -225,17 +232,18 @@ class Lines:
         return found.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
 
 
-def decisions(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def decisions(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document row: doc_id, n_lines, n_dropped, dropped (positions from 0, joined by commas).
 
     Lines end at \\n and are compared without blanks at their ends; those under min_chars signs take no part and stay. Of
     equal lines the first stays: that of the smallest doc_id and position. A distinct line goes altogether if it is within
-    `edits` edits of one that comes first earlier.
+    `edits` edits of one that comes first earlier. With exact_chars, visible lines from so many signs on are also held
+    against equal ones; only the edit join keeps to min_chars then.
 
     A null text is one empty line; null doc_ids come last in the order; rows with equal doc_id and text are one document
     and lose the same lines; an empty table gives no rows; further columns are ignored.
     """
-    own = Lines(docs, edits=edits, min_chars=min_chars, doc_id=doc_id, text=text)
+    own = Lines(docs, edits=edits, min_chars=min_chars, exact_chars=exact_chars, doc_id=doc_id, text=text)
     rows = own.docs.select("doc_id", "text_hash", F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
     return _with_dropped(rows, own.dropped()).select(
         "doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.col("dropped").cast("array<string>"), ",").alias("dropped")
@@ -249,12 +257,12 @@ def _with_dropped(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return keyed(rows).join(found, ["__k", "__n", "text_hash"], "left").drop("__k", "__n").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 
-def clean(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines that decisions() drops, with all their columns.
 
     A document that loses lines and keeps none that is visible goes. One that loses none is left as it is, null texts too.
     """
-    own = Lines(docs, edits=edits, min_chars=min_chars, doc_id=doc_id, text=text)
+    own = Lines(docs, edits=edits, min_chars=min_chars, exact_chars=exact_chars, doc_id=doc_id, text=text)
     names = docs.columns
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key, body = F.col(f"c{names.index(doc_id)}").cast("long"), F.col(f"c{names.index(text)}")

@@ -33,6 +33,10 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.decisions(common.table(spark, sf_dir, "documents"))
 
 
+def op3_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.decisions(common.table(spark, sf_dir, "documents"), **linededup.ALL_LINES)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = common.table(spark, sf_dir, "pages")
     return warc.archive_and_read(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -59,5 +63,5 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op3_all_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces)}
 SQL: dict[str, str] = sql.SQL

@@ -27,6 +27,16 @@ select d.doc_id, len(string_split(coalesce(d.text, ''), chr(10)))::bigint n_line
 from documents d left join lists l on d.doc_id = l.doc_id
 """
 
+#: All lines: visible ones of any length take part, and those from a length on are held against edits.
+_NEAR = linededup.ALL_LINES["min_chars"]
+ALL_LINES = LINES.replace(
+    f"where length(trim(line, ' ')) >= {linededup.MIN_CHARS})",
+    f"where length(trim(line, ' ')) >= {_NEAR} or regexp_matches(line, '{linededup.VISIBLE}'))",
+).replace(
+    "where levenshtein(a.bytes, b.bytes)",
+    f"where a.n >= {_NEAR} and b.n >= {_NEAR} and levenshtein(a.bytes, b.bytes)",
+)
+
 WARC = """
 with p as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) hex from pages),
 q as (select *, min(page_id) over (partition by hex) first from p)
@@ -55,4 +65,4 @@ select c.doc_id, c.class_id, coalesce(k.n_links, 0) n_links, n.n::bigint n_shing
 from c join n on c.doc_id = n.doc_id left join k on c.doc_id = k.doc_id
 """
 
-SQL = {"op3_lines": LINES, "op4_warc": WARC, "op8_jaccard": JACCARD}
+SQL = {"op3_lines": LINES, "op3_all_lines": ALL_LINES, "op4_warc": WARC, "op8_jaccard": JACCARD}

@@ -1,11 +1,13 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specloom.llm import jaccard, linededup
+import corpus_pipeline
+from specloom.llm import jaccard, linededup, queries
 
 
 def shingles(text):
@@ -136,3 +138,20 @@ def test_lines_to_drop(spark, odd, none):
     clean = linededup.clean(odd)
     assert clean.columns == odd.columns and clean.count() == 6
     assert linededup.decisions(none).count() == 0 and linededup.clean(none).count() == 0
+
+
+def test_all_lines_take_part(spark):
+    rows = [(1, "Les.\nthe nineteenth sign.\n\n\r"), (2, " Les. \nsome more words\n\n\r"), (3, "the ninteenth sign\nLas.\nsome more word")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.dropped for r in linededup.decisions(df, **linededup.ALL_LINES).collect()}
+    assert got == {1: "", 2: "0", 3: "0,2"}
+    kept = {r.doc_id: r.text for r in corpus_pipeline.without_repeated_lines(spark, df, "").collect()}
+    assert kept == {1: rows[0][1], 2: "some more words\n\n\r", 3: "Las."}
+
+
+def test_all_lines_equal_sql(spark, data):
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{data}/documents.parquet'")
+    got = sorted(tuple(r) for r in queries.op3_all_lines(spark, data).collect())
+    assert got == sorted(c.execute(queries.SQL["op3_all_lines"]).fetchall())
+    assert sum(r[2] for r in got) > sum(r.n_dropped for r in queries.op3_lines(spark, data).collect())
