@@ -118,6 +118,8 @@ SCORED = f"""{PAIRS}, {FACTS}, scored as (select p.*, coalesce(a.ring_scaffold <
     else len(list_intersect(a.groups, b.groups))::double / len(list_distinct(list_concat(a.groups, b.groups))) end group_jaccard,
   coalesce(len(list_intersect(a.bits, b.bits))::double / nullif(len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits)), 0), 0) tanimoto
   from pool p join facts a on p.target = a.smiles join facts b on p.smiles = b.smiles)"""
+#: The same with the operator's own pool in place of the small one.
+FULL = SCORED.replace("r <= 16", f"r <= {negatives.POOL}")
 #: Negatives pooled before scoring; below most groups' size, so that the cap shows.
 POOL = 16
 
@@ -127,12 +129,12 @@ def _facts(spark, d):
     return rows.groupBy("smiles").agg(F.min_by(F.struct("ring_scaffold", "groups", "bits"), "id").alias("f")).select("smiles", "f.*")
 
 
-def _pairs(spark, d):
-    return negatives.formula_pairs(A.molecules(spark, d).select("id", "smiles", "formula"), pool=POOL)
+def _pairs(spark, d, pool=POOL):
+    return negatives.formula_pairs(A.molecules(spark, d).select("id", "smiles", "formula"), pool=pool)
 
 
-def _scored(spark, d):
-    return negatives.scored(_pairs(spark, d), _facts(spark, d))
+def _scored(spark, d, pool=POOL):
+    return negatives.scored(_pairs(spark, d, pool), _facts(spark, d))
 
 
 @query(f"with {PAIRS} select target_id, id, formula from allp")
@@ -169,6 +171,27 @@ def w9_display_order(spark, d):
     return negatives.sidecar(rows, _facts(spark, d), pool=POOL).select("id", F.array_join("candidates", " ").alias("candidates"))
 
 
+@query(f"with {FULL} select target_id, id, group_jaccard from scored")
+def t1_group_jaccard_full(spark, d):
+    return _scored(spark, d, negatives.POOL).select("target_id", "id", "group_jaccard")
+
+
+@query(f"with {FULL} select target_id, id, tanimoto from scored")
+def t6_tanimoto_full(spark, d):
+    return _scored(spark, d, negatives.POOL).select("target_id", "id", "tanimoto")
+
+
+@query(SQL["w8_hard_negatives"].replace(SCORED, FULL))
+def w8_hard_negatives_full(spark, d):
+    return negatives.hardest(_scored(spark, d, negatives.POOL)).select("target_id", "id", "same_ring_scaffold", "rank")
+
+
+@query(SQL["w9_display_order"].replace(SCORED, FULL))
+def w9_display_order_full(spark, d):
+    rows = A.molecules(spark, d).select("id", "smiles", "formula")
+    return negatives.sidecar(rows, _facts(spark, d)).select("id", F.array_join("candidates", " ").alias("candidates"))
+
+
 @query(f"""with {A.MOLECULES}, k as (select formula, count(distinct smiles) kinds from molecules group by 1), x as (select count(*) n, count(*) filter (kinds > 1) s from molecules join k using (formula))
 select n input_samples, s candidate_sets, n - s omitted_without_negatives, s / n::double candidate_coverage from x""")
 def j6_targets_without_negatives(spark, d):

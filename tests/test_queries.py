@@ -35,3 +35,12 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(names) == columns
     want = sorted((tuple(norm(row[names.index(c)]) for c in columns) for row in r.fetchall()), key=repr)
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_full_pool_scores_all_pairs(spark):
+    pairs = {(r.target_id, r.id) for r in catalogue.QUERIES["j5_formula_pairs"](spark, DATA).collect()}
+    for name in ("t1_group_jaccard_full", "t6_tanimoto_full"):
+        assert {(r.target_id, r.id) for r in catalogue.QUERIES[name](spark, DATA).collect()} == pairs
+    small, full = ({tuple(r) for r in catalogue.QUERIES[f"w8_hard_negatives{end}"](spark, DATA).collect()} for end in ("", "_full"))
+    assert len(small) == len(full) and small != full
