@@ -154,6 +154,33 @@ def r10_validation(spark, d):
     return rules.validate(own, none, counts).select("id", "applicable", "satisfied")
 
 
+#: Which candidates have a fragment's pattern: those whose id leaves less than the second number, divided by the first.
+PATTERNS = dict(zip(rules.FRAGMENT_CHECKS, ((2, 1), (3, 2), (5, 3), (7, 4)), strict=True))
+
+
+@query(f"""with {A.H_PEAKS}, pattern(rule_id, m, below) as (values {", ".join(f"('{r}', {m}, {b})" for r, (m, b) in PATTERNS.items())}),
+detected as (select id, rule_id from ({SINGLE}) s union all select id, rule_id from ({PAIR}) q),
+hit as (select id, count(*) a, count(*) filter (id % m < below) s from detected join pattern using (rule_id) where id % 8 <> 3 group by 1),
+base as ({SQL["r10_validation"]})
+select b.id, b.applicable + coalesce(h.a, 0) applicable, b.satisfied + coalesce(h.s, 0) satisfied from base b left join hit h on b.id = h.id""")
+def r10_validation_full(spark, d):
+    rows, k = A.formulas(spark, d), F.col("id")
+    fragments = F.array_compact(F.array(*(F.when(k % m < below, F.lit(r)) for r, (m, below) in PATTERNS.items())))
+    own = rows.select("id", (k % 8 != 3).alias("valid"), "formula", F.when(k % 5 == 0, F.lit("C3H8O")).otherwise(F.col("formula")).alias("wanted"), fragments.alias("fragments"))
+    found = rules.analyze(rows, A.h_peaks(spark, d), A.c_shifts(spark, d))
+    counts = rules.signal_counts(A.c_shifts(spark, d), rows)
+    return rules.validate(own, found, counts).select("id", "applicable", "satisfied")
+
+
+@query(f"""with {A.H_PEAKS}, {A.C_SHIFTS}, both_shifts as (select id, shift h, null::double c from h_peaks union all select id, null, shift from c_shifts)
+select id, label, coalesce(ok, false) ok from ({SUPPORTED}) x""")
+def r11_group_support_full(spark, d):
+    h = A.h_peaks(spark, d).groupBy("id").agg(F.collect_list("shift").alias("h"))
+    c = A.c_shifts(spark, d).groupBy("id").agg(F.collect_list("shift").alias("c"))
+    groups = F.array(*(F.lit(g) for g in (*(s[0] for s in rules.SUPPORT), "phenol")))
+    return h.join(c, "id").select("id", F.explode(rules.group_checks(groups, F.col("h"), F.col("c"))).alias("label", "ok"))
+
+
 @query(f"with {TOKENS} select id, coalesce(c, 0)::int c, coalesce(h, 0)::int h, coalesce(n, 0)::int n, coalesce(o, 0)::int o, coalesce(x, 0)::int x from counts")
 def f12_formula_counts(spark, d):
     from specloom.functions import parsing as P

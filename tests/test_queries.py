@@ -44,3 +44,11 @@ def test_full_pool_scores_all_pairs(spark):
         assert {(r.target_id, r.id) for r in catalogue.QUERIES[name](spark, DATA).collect()} == pairs
     small, full = ({tuple(r) for r in catalogue.QUERIES[f"w8_hard_negatives{end}"](spark, DATA).collect()} for end in ("", "_full"))
     assert len(small) == len(full) and small != full
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_all_checks_of_rules_run(spark):
+    small, full = ({r.id: (r.applicable, r.satisfied) for r in catalogue.QUERIES[f"r10_validation{end}"](spark, DATA).collect()} for end in ("", "_full"))
+    more = {(full[i][0] - small[i][0], full[i][1] - small[i][1]) for i in small}
+    assert {(0, 0), (1, 0), (1, 1)} <= more
+    assert catalogue.QUERIES["r11_group_support_full"](spark, DATA).select("label").distinct().count() == 12
