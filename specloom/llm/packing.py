@@ -70,6 +70,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
         rest = [b for b in range(256) if b not in plain]
         self.visible = {b: chr(256 + k) for k, b in enumerate(rest)}  # how byte-level BPE writes bytes that have no sign
@@ -113,6 +114,20 @@ class WordEncoder:
         ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])]
         return ids, np.append(0, total)[np.searchsorted(begin, starts)]
 
+    def encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode(), but texts that hold an added token go through the tokenizer itself, which makes it one id."""
+        held = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not held:
+            return self.encode(texts)
+        rest = list(texts)
+        for i in held:
+            rest[i] = ""
+        ids, offsets = self.encode(rest)
+        parts = np.split(ids, offsets[1:-1])
+        for i in held:
+            parts[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
     def known(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
             return np.zeros(len(hashes), bool)
@@ -174,7 +189,7 @@ def pack(
         for batch in batches:
             keys, texts, part = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for a, b in chunks(texts):
-                ids, offsets = code.encode(texts[a:b])
+                ids, offsets = code.encode_added(texts[a:b])
                 row, start, length, crc, tokens, pieces = [], [], [], [], [], []
                 for i in range(b - a):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")

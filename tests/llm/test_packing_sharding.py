@@ -38,6 +38,16 @@ def test_pieces_are_binary_and_whole(spark, odd, none):
     assert packing.pack(none, PATH).count() == 0
 
 
+def test_added_tokens_are_one_id(spark):
+    texts = ["plain words", "<|endoftext|>", "one<|endoftext|> two  <|endoftext|>", "", "it's <|endoftext| >"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, with_ids=True).collect()
+    tok = Tokenizer.from_file(PATH)
+    for key, text in enumerate(texts):
+        own = sorted((r.start, r.ids) for r in rows if r.doc_id == key)
+        assert sum((ids for _, ids in own), []) == [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert packing.WordEncoder(PATH).encode_added([])[1].tolist() == packing.WordEncoder(PATH).encode([])[1].tolist()
+
+
 def test_binary_lengths():
     assert packing.binary_lengths(2600, 1024) == [1024, 1024, 512, 32, 8]
     assert all(sum(packing.binary_lengths(n, 64)) == n for n in range(1, 300))
