@@ -130,8 +130,9 @@ def search(
 ) -> DataFrame:
     """The k nearest rows found for each row that is_query selects, by Euclidean distance over the original vectors.
 
-    Each query looks into the lists of its nearest centroids (the share probe of them), where the adaptive scan abandons
-    far vectors early. Large lists and many queries of one list are dealt to blocks, so no task takes a whole hot list; each
+    Each query looks into the lists of its nearest centroids: the share probe of them, and further ones until they hold k
+    candidates besides the query's own rows, or all lists if there are fewer or the table is no larger than a block. The
+    adaptive scan abandons far vectors early. Large lists and many queries of one list are dealt to blocks, so no task takes a whole hot list; each
     block returns k rows a query at most. What is broadcast is the rotation and MOST_LISTS centroids at most.
 
     Takes no part: a vector that is null, zero, or holds null or non-finite components, whose length isn't the sample's
@@ -161,9 +162,30 @@ def search(
 
         return run
 
+    def place_queries(sizes: np.ndarray):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            centres, _ = shared.value
+            for batch in batches:
+                x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                order = nearest_lists(x, centres, len(centres))
+                own = batch.column(2).to_numpy()
+                enough = np.cumsum(sizes[order], axis=1) - own[:, None] >= k
+                most = np.where(enough.any(1), np.maximum(enough.argmax(1) + 1, probes), len(centres))
+                lists = [row[:n] for row, n in zip(order, most, strict=True)]
+                column = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(most)).astype(np.int32)), pa.array(np.concatenate(lists).astype(np.int32) if lists else [], pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), column], names=["vec_id", "vector", "lists"])
+
+        return run
+
     placed = "vec_id long, vector array<double>, lists array<int>"
     data = common.arrow_map(rows.select("vec_id", "vector"), place(1), placed).select("vec_id", "vector", F.col("lists")[0].alias("list"))
-    asked = common.arrow_map(rows.where("asks").groupBy("vec_id").agg(F.min("vector").alias("vector")), place(probes), placed)
+    sizes = np.zeros(len(index.centres), np.int64)
+    for r in data.groupBy("list").count().collect():  # MOST_LISTS rows at most
+        sizes[r["list"]] = r["count"]
+    if sizes.sum() <= BLOCK_VECTORS:
+        probes = len(index.centres)
+    queries = rows.groupBy("vec_id").agg(F.min(F.when(F.col("asks"), F.col("vector"))).alias("vector"), F.count(F.lit(1)).alias("own")).where("vector is not null")
+    asked = common.arrow_map(queries, place_queries(sizes), placed)
     asked = asked.select("vec_id", "vector", F.explode("lists").alias("list"))
     blocks = data.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_VECTORS).cast("int").alias("blocks"))
     rounds = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("rounds"))

@@ -76,6 +76,17 @@ def test_search_of_odd_rows(spark, monkeypatch):
     assert ann.search(df.where("vec_id > 99 and vec_id < 105"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_search_finds_enough_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.1, (3, 4)), rng.normal(9, 0.1, (9, 4)), rng.normal(-9, 0.1, (3, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for block in (ann.BLOCK_VECTORS, 2):
+        monkeypatch.setattr(ann, "BLOCK_VECTORS", block)
+        for n, probe in ((15, 0.25), (8, 0.75)):
+            got = ann.search(df.where(F.col("vec_id") < n), F.lit(True), probe=probe).collect()
+            assert {q: sum(r.query_id == q for r in got) for q in range(n)} == dict.fromkeys(range(n), min(10, n - 1))
+
+
 def test_pipeline(spark, data, odd):
     docs = common.table(spark, data, "documents")
     steps = [docs]
