@@ -16,6 +16,8 @@ from specloom.llm import common
 SHORT, LONG = 70, 200
 #: Shares of stop words that suggest and that show running text, and the share of linked signs that shows navigation.
 STOPS_LOW, STOPS_HIGH, LINKS = 0.10, 0.18, 0.3
+#: Share of stop words below which a page's language isn't a listed one.
+STOPS_NONE = 0.02
 #: A heading belongs to good text that follows within so many signs.
 HEADING_REACH = 200
 
@@ -47,7 +49,7 @@ _BLOCK = frozenset(
     search section select summary table tbody td textarea tfoot th thead title tr ul
     """.split()
 )
-_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select".split())
+_RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select annotation annotation-xml".split())
 _PLACES = frozenset("nav footer aside form dialog menu button fieldset figcaption head search".split())
 _CONTENT = frozenset(("article", "main"))
 #: Words in class, id or role that mark parts which aren't the article.
@@ -113,7 +115,7 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name in _RAW and not ends:
+        if name in _RAW and not ends and not (name == "math" and stack and stack[-1][1]):  # an article's formulas are text
             if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
@@ -140,7 +142,7 @@ def blocks(html: str) -> list[Block]:
             if name in _CONTENT:
                 places += 1
                 place = places
-            barred = barred or name in _PLACES or (name == "header" and not place)
+            barred = barred or (name in _PLACES and not (name == "figcaption" and place)) or (name == "header" and not place)
             if attributes and not barred and name not in ("html", "body"):
                 barred = bool(_HIDDEN.search(attributes)) or any(_MARKS.search(x[0] or x[1] or x[2]) for x in _ATTRIBUTE.findall(attributes))
             stack.append((name, place, barred))
@@ -149,13 +151,21 @@ def blocks(html: str) -> list[Block]:
     return found
 
 
-def judge(block: Block) -> str:
-    """First pass: the label that the block's own length, stop words and links give it."""
+def unlisted(found: list[Block]) -> bool:
+    """Whether the page as a whole has hardly any stop word, as in a language that isn't listed."""
+    words = [w for b in found if not b.barred for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) < STOPS_NONE * len(words)
+
+
+def judge(block: Block, foreign: bool = False) -> str:
+    """First pass: the label that the block's own length, stop words and links give it; of a foreign page, without stop words."""
     n = len(block.text)
     if block.barred or block.linked > LINKS * n:
         return BAD
     if n < SHORT:
         return BAD if block.linked and not block.place else UNCLEAR
+    if foreign:
+        return GOOD if n > LONG else NEAR
     words = _WORD.findall(block.text.lower())
     stops = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
     if stops >= STOPS_HIGH:
@@ -172,8 +182,9 @@ def classify(found: list[Block]) -> None:
     comes after it, and a short block follows the nearer side, the one before if both are as near. Inside an article
     without a decided block, all are good; outside, all are bad.
     """
+    foreign = unlisted(found)
     for b in found:
-        b.label = judge(b)
+        b.label = judge(b, foreign)
     groups: dict[int, list[Block]] = {}
     for b in found:
         if not (b.place and b.barred):

@@ -38,6 +38,16 @@ def test_extraction_cases(html, want):
 PAGES = "page_id long, url string, html string"
 
 
+def test_captions_formulas_and_other_languages():
+    words = "The text of the article is what it is and it has to be of some length to be seen as good by the rules that are in use here. "
+    page = f"<article><p>{words * 2}</p><figure><figcaption>{words}</figcaption></figure><p>{words * 2}<math><mi>x</mi><mo>=</mo><mn>1</mn></math></p></article>"
+    got = extraction.main_text(page)
+    assert got.count(words.strip()) == 5 and got.endswith("x=1")
+    polish = "Każdy człowiek rodzi się wolny oraz równy względem swojej godności, dlatego wszyscy powinni postępować wobec innych życzliwie. "
+    links = "<div>" + "<a href='x'>Strona główna serwisu</a> " * 6 + "</div>"
+    assert extraction.main_text(f"<html><body>{links}<div>{polish * 3}</div><div>{polish * 2}</div></body></html>") == f"{(polish * 3).strip()}\n{(polish * 2).strip()}"
+
+
 def test_extraction_of_odd_rows(spark):
     rows = spark.createDataFrame([(1, "u", None), (None, None, f"<article><p>{GOOD}</p></article>"), (2, "u", "")], PAGES).withColumn("text", F.lit("clash"))
     assert {tuple(r) for r in extraction.extract(rows).collect()} == {(1, "u", "", 0), (None, None, GOOD, len(GOOD)), (2, "u", "", 0)}
