@@ -64,7 +64,10 @@ def pretokens(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class WordEncoder:
-    """Ids of texts, word by word: each distinct word goes through the tokenizer once and is then looked up by its hash."""
+    """Ids of texts, word by word: each distinct word goes through the tokenizer once and is then looked up by its hash.
+
+    A hit counts only if the word found has the same code points; a text with any other goes through the tokenizer itself.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -78,55 +81,64 @@ class WordEncoder:
 
     def clear(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
-        self.at = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.place, self.length, self.words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
-    def learn(self, text: str, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Ids of words not met before, by the tokenizer's model, which takes bytes in their visible form."""
         tokenize = self.tokenizer.model.tokenize
-        ids = [[t.id for t in tokenize(text[a:b].encode("utf-8", "surrogatepass").decode("latin-1").translate(self.visible))] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        words = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        ids = [[t.id for t in tokenize(w.decode("latin-1").translate(self.visible))] for w in words]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size.sum()))
+        length = end - begin
+        place = len(self.words) + np.cumsum(length) - length
+        self.words = np.append(self.words, np.frombuffer(b"".join(words), np.uint8))
         order = np.argsort(merged := np.concatenate([self.hashes, hashes]), kind="stable")
         self.hashes = merged[order]
-        self.at = np.concatenate([self.at, at])[order]
-        self.size = np.concatenate([self.size, size])[order]
+        for name, new in (("at", at), ("size", size), ("place", place), ("length", length)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the offsets of the texts in them."""
+        """Ids of all texts one after another, and the offsets of the texts in them; as the tokenizer's own encode."""
+        held = {i for i, t in enumerate(texts) if any(a in t for a in self.added)}  # an added token is one id wherever it stands
+        ids, offsets, wrong = self.by_words(["" if i in held else t for i, t in enumerate(texts)] if held else texts)
+        held |= wrong
+        if not held:
+            return ids, offsets
+        parts = np.split(ids, offsets[1:-1])
+        for i in held:
+            parts[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+
+    def by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, set[int]]:
+        """Ids and offsets of texts without added tokens, and which of them hold a word that only looks known."""
         points, starts = textkit.code_points(texts)
         begin, end = pretokens(points, starts)
         if not len(begin):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        distinct, where, back = np.unique(textkit.span_hashes(points, begin, end), return_index=True, return_inverse=True)
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64), set()
+        data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+        first, last = begin, end
+        if len(data) > len(points):  # places in bytes
+            place = np.append(0, np.cumsum(1 + (points > 0x7F).view(np.uint8) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int64))
+            first, last = place[begin], place[end]
+        distinct, where, back = np.unique(textkit.span_hashes(data, first, last), return_index=True, return_inverse=True)
         new = distinct[~self.known(distinct)]
         if len(new) + len(self.hashes) > CACHE_WORDS:
             self.clear()
             new = distinct
         if len(new):
             w = where[np.searchsorted(distinct, new)]
-            self.learn("".join(texts), new, begin[w], end[w])
+            self.learn(data, new, first[w], last[w])
         slot = np.searchsorted(self.hashes, distinct)[back]
         size, at = self.size[slot], self.at[slot]
         total = np.cumsum(size)
         ids = self.ids[np.repeat(at - (total - size), size) + np.arange(total[-1])]
-        return ids, np.append(0, total)[np.searchsorted(begin, starts)]
-
-    def encode_added(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As encode(), but texts that hold an added token go through the tokenizer itself, which makes it one id."""
-        held = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
-        if not held:
-            return self.encode(texts)
-        rest = list(texts)
-        for i in held:
-            rest[i] = ""
-        ids, offsets = self.encode(rest)
-        parts = np.split(ids, offsets[1:-1])
-        for i in held:
-            parts[i] = np.asarray(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
-        return np.concatenate(parts), np.append(0, np.cumsum([len(x) for x in parts]))
+        length = last - first
+        same = (self.length[slot] == length) & textkit.spans_equal(self.words, self.place[slot], data, first, np.minimum(length, self.length[slot]))
+        wrong = np.searchsorted(starts, begin[~same], side="right") - 1
+        return ids, np.append(0, total)[np.searchsorted(begin, starts)], set(wrong.tolist())
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         if not len(self.hashes):
@@ -189,7 +201,7 @@ def pack(
         for batch in batches:
             keys, texts, part = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for a, b in chunks(texts):
-                ids, offsets = code.encode_added(texts[a:b])
+                ids, offsets = code.encode(texts[a:b])
                 row, start, length, crc, tokens, pieces = [], [], [], [], [], []
                 for i in range(b - a):
                     own = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end_id)).astype("<u4")

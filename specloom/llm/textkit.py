@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 #: White space as Unicode's White_Space property has it.
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_MASKS = np.asarray([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span that are hashed together with other spans, eight at a time.
+LONG = 256
 _STEP = 0xD6E8FEB86659FD93
 
 
@@ -37,17 +41,6 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, starts
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd step and of its inverse modulo 2**64, at least n of them."""
-    cache = worker_cache("textkit")
-    if len(cache.get("powers", ((),))[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        up, down = np.full(size, _STEP, np.uint64), np.full(size, pow(_STEP, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        cache["powers"] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return cache["powers"]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -57,14 +50,50 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span [begin, end) of code points, the same wherever the span stands."""
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(points) + 1)
-    total = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((points.astype(np.uint64) + np.uint64(1)) * _BASE * up[: len(points)], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of data on, as one number, zeros beyond the end; no copy for each place."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
+
+
+def _masks(rest: np.ndarray) -> np.ndarray:
+    """What a word keeps if so many bytes of its span are left."""
+    return _MASKS[np.minimum(rest, 8)]
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each span [begin, end) of bytes, the same wherever the span stands.
+
+    Eight bytes at a time are mixed into the state, which starts with the length, so that spans of one length of up to eight
+    bytes never share a hash. What a span has beyond LONG bytes goes through a cryptographic hash.
+    """
+    words, left = _words(data), end - begin
+    out = mix((left.astype(np.uint64) + np.uint64(1)) * _BASE)
+    out = np.where(left > 0, mix((out ^ words[begin] & _masks(left)) + _BASE), out)
+    row = np.flatnonzero(left > 8)
+    for step in range(8, LONG, 8):
+        if not len(row):
+            return out
+        out[row] = mix((out[row] ^ words[begin[row] + step] & _masks(left[row] - step)) + _BASE)
+        row = row[left[row] > step + 8]
+    for r in row.tolist():
+        rest = hashlib.blake2b(data[int(begin[r]) + LONG : int(end[r])].tobytes(), digest_size=8).digest()
+        out[r] = mix(out[r : r + 1] ^ np.frombuffer(rest, "<u8"))[0]
+    return out
+
+
+def spans_equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether the spans of a from at_a and of b from at_b, of these lengths, hold the same bytes."""
+    left, right = _words(a), _words(b)
+    same = (left[at_a] ^ right[at_b]) & _masks(length) == 0
+    row = np.flatnonzero(length > 8)
+    for step in range(8, LONG, 8):
+        if not len(row):
+            return same
+        same[row] &= (left[at_a[row] + step] ^ right[at_b[row] + step]) & _masks(length[row] - step) == 0
+        row = row[length[row] > step + 8]
+    for r in row.tolist():
+        same[r] &= np.array_equal(a[at_a[r] : at_a[r] + length[r]], b[at_b[r] : at_b[r] + length[r]])
+    return same
 
 
 def runs(kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,14 +110,14 @@ def runs(kinds: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return begin, np.append(begin[1:], n)
 
 
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each UTF-8 byte (letters, digits and bytes of further characters are letters), and its value in hashes."""
+def _byte_classes() -> np.ndarray:
+    """Class of each UTF-8 byte: letters, digits and bytes of further characters are letters."""
     cache = worker_cache("textkit")
     if "bytes" not in cache:
         kinds = np.full(256, OTHER, np.uint8)
         kinds[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
         kinds[[*range(9, 14), 32]] = SPACE
-        cache["bytes"] = (kinds, (np.arange(256, dtype=np.uint64) + np.uint64(1)) * _BASE)
+        cache["bytes"] = kinds
     return cache["bytes"]
 
 
@@ -103,19 +132,14 @@ def word_hashes(texts: pa.Array, *, punctuation: bool = False) -> tuple[np.ndarr
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     starts = at - at[0]
-    table, value = _byte_tables()
-    kinds = table[data]
+    kinds = _byte_classes()[data]
     begin, end = runs(kinds, starts)
     kind = kinds[begin]
     keep = kind != SPACE if punctuation else kind == LETTER
     begin, end = begin[keep], end[keep]
     if not len(begin):
         return np.zeros(0, np.uint64), np.zeros(len(starts), np.int64)
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(value[data] * up[: len(data)], out=total[1:])
-    hashes = mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
-    return hashes, np.searchsorted(begin, starts)
+    return span_hashes(data, begin, end), np.searchsorted(begin, starts)
 
 
 def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:

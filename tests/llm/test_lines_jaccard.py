@@ -67,6 +67,17 @@ def test_links_count_once_in_blocks_by_grams(spark, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in got} == brute_classes(docs)
 
 
+def test_long_words_make_no_false_link(spark):
+    docs = []
+    for n in (1024, 4096):
+        a = "a"
+        while len(a) < n:
+            a += a.translate(str.maketrans("ab", "ba"))
+        docs += [a, a.translate(str.maketrans("ab", "ba"))]
+    got = jaccard.similar(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.class_id, r.n_links) for r in got} == {(i, i, 0) for i in range(4)}
+
+
 def test_join_of_odd_rows(odd, none):
     got = jaccard.similar(odd).collect()
     assert len(got) == 6

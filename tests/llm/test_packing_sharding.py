@@ -2,17 +2,40 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from specloom.llm import packing, queries, sharding
+from specloom.llm import packing, queries, sharding, textkit
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def reference():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
+
+
+def mirrored(n, a="a", b="b"):
+    """A word of n letters whose two versions collide under any polynomial hash modulo a power of two."""
+    word = a
+    while len(word) < n:
+        word += word.translate(str.maketrans({a: b, b: a}))
+    return word
+
+
+def test_words_are_told_apart(monkeypatch):
+    texts = [mirrored(n, *ab) for n in (1024, 2048, 4096) for ab in ("ab", "ba", "éè", "èé")]
+    texts += ["a bb ccc dddd", "words that collide with each other", "日本語 𝒳𝒴 naïve", ""]
+
+    def check():
+        ids, offsets = packing.WordEncoder(PATH).encode(texts)
+        want = reference().encode_batch(texts, add_special_tokens=False)
+        assert all(ids[offsets[i] : offsets[i + 1]].tolist() == w.ids for i, w in enumerate(want))
+
+    check()
+    assert len(set(textkit.word_hashes(pa.array(texts[:12]))[0].tolist())) == 12
+    real = textkit.span_hashes
+    monkeypatch.setattr(textkit, "span_hashes", lambda *a: real(*a) % np.uint64(5))  # hits that aren't the word
+    check()
 
 
 def test_ids_equal_the_library():
@@ -45,7 +68,7 @@ def test_added_tokens_are_one_id(spark):
     for key, text in enumerate(texts):
         own = sorted((r.start, r.ids) for r in rows if r.doc_id == key)
         assert sum((ids for _, ids in own), []) == [*tok.encode(text, add_special_tokens=False).ids, 0]
-    assert packing.WordEncoder(PATH).encode_added([])[1].tolist() == packing.WordEncoder(PATH).encode([])[1].tolist()
+    assert packing.WordEncoder(PATH).encode([])[1].tolist() == [0]
 
 
 def test_binary_lengths():
