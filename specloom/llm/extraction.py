@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,6 +17,8 @@ from specloom.llm import common
 SHORT, LONG = 70, 200
 #: Shares of stop words that suggest and that show running text, and the share of linked signs that shows navigation.
 STOPS_LOW, STOPS_HIGH, LINKS = 0.10, 0.18, 0.3
+#: Share of linked signs that makes an item of an article's list one of a menu.
+MENU = 0.9
 #: Share of stop words below which a page's language isn't a listed one.
 STOPS_NONE = 0.02
 #: A heading belongs to good text that follows within so many signs.
@@ -50,18 +53,26 @@ _BLOCK = frozenset(
     """.split()
 )
 _RAW = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select annotation annotation-xml".split())
-_PLACES = frozenset("nav footer aside form dialog menu button fieldset figcaption head search".split())
+_PLACES = frozenset("nav footer aside dialog menu button fieldset head search".split())
 _CONTENT = frozenset(("article", "main"))
-#: Words in class, id or role that mark parts which aren't the article.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|hidden|login|masthead|menu|modal|"
-    r"nav|navbar|navigation|newsletter|notice|notification|pagination|popup|promo\w*|related|replies|respond|share|sharing|"
-    r"sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?=$|[\s_-])",
-    re.IGNORECASE,
+# A class, id or role names a part that isn't the article if it consists of such names alone: words that may stand before a
+# mark, marks, and words that may follow one. So "cookie-notice" and "site-footer" do, "has-sidebar" and "share-price" don't.
+_MARK = r"""ads?|adverts?|advertisements?|advertising|alert|alertdialog|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|
+    cookies?|dialog|disqus|footer|gdpr|hidden|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|
+    notifications?|pager|pagination|popup|promos?|promotions?|related|replies|respond|search|share|sharing|sidebar|signin|signup|
+    social|sponsor|sponsored|sponsors|subscribe|toolbar|widgets?"""
+_BEFORE = "article|blog|bottom|desktop|entry|fixed|floating|footer|global|google|header|inline|js|left|main|mobile|page|post|primary|reader|right|secondary|site|sticky|story|sub|the|top|user|wp"
+_AFTER = (
+    "actions|area|articles?|bar|block|body|bottom|box|buttons?|col|column|container|content|feed|form|group|header|heading|icons?|inner|items?|"
+    "left|links?|list|media|module|outer|overlay|panel|posts?|primary|reply|right|row|secondary|section|slot|stories|text|thread|title|top|unit|wrap|wrapper|[0-9]+"
 )
+_MARKS = re.compile(rf"(?:(?:{_BEFORE})-+)*(?:{_MARK})(?:-+(?:{_MARK}|{_AFTER}))*", re.VERBOSE)
+#: Names of a page's header; inside an article they hold its title.
+_HEADERS = re.compile(r"(?:(?:global|main|site|top)-+)?header(?:-+(?:bar|container|inner|wrap|wrapper))?")
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?=$|[\s=/])|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|_+")
 _WORD = re.compile(r"\w+")
 
 GOOD, NEAR, UNCLEAR, BAD = "good", "near", "unclear", "bad"
@@ -69,19 +80,46 @@ GOOD, NEAR, UNCLEAR, BAD = "good", "near", "unclear", "bad"
 
 class Block:
     """Text between two block tags. place: number of the enclosing article or main element, 0 outside; barred: in a part
-    that tags or attributes mark as no article."""
+    that tags or attributes mark as no article; within: so marked by what lies inside the article; formed: by a form alone;
+    listed: in an item of a list."""
 
-    __slots__ = ("barred", "heading", "label", "linked", "place", "text")
+    __slots__ = ("barred", "formed", "heading", "label", "linked", "listed", "place", "text", "within")
 
-    def __init__(self, text: str, linked: int, heading: bool, place: int, barred: bool):
-        self.text, self.linked, self.heading, self.place, self.barred = text, linked, heading, place, barred
+    def __init__(self, text: str, linked: int, heading: bool, frame: Frame):
+        self.text, self.linked, self.heading = text, linked, heading
+        self.place, self.barred, self.within, self.formed, self.listed = frame.place, frame.barred or frame.form, frame.within or frame.form, frame.form and not frame.barred, frame.listed
         self.label = UNCLEAR
 
 
+class Frame(NamedTuple):
+    """An open block element and what holds inside it."""
+
+    name: str = ""
+    place: int = 0
+    barred: bool = False
+    within: bool = False
+    form: bool = False
+    listed: bool = False
+
+
+def marked(attributes: str, place: int) -> bool:
+    """Whether attributes hide an element or name it as a part that isn't the article."""
+    for name, *values in _ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), values[0] or values[1] or values[2]
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _INVISIBLE.search(value):
+            return True
+        if name in ("class", "id", "role"):
+            for token in value.split():
+                token = _CAMEL.sub("-", token).strip("-").lower()
+                if _MARKS.fullmatch(token) or not place and _HEADERS.fullmatch(token):
+                    return True
+    return False
+
+
 def blocks(html: str) -> list[Block]:
     """The page's blocks in order, with character references decoded and white space made single blanks."""
     found: list[Block] = []
-    stack: list[tuple[str, int, bool]] = []  # open block elements: name, place, barred
+    stack = [Frame()]  # open block elements
     parts: list[str] = []
     linked = links = places = 0
     heading = False
@@ -90,8 +128,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal linked, heading
         text = " ".join("".join(parts).split())
         if text:
-            _, place, barred = stack[-1] if stack else ("", 0, False)
-            found.append(Block(text, min(linked, len(text)), heading, place, barred))
+            found.append(Block(text, min(linked, len(text)), heading, stack[-1]))
         parts.clear()
         linked, heading = 0, False
 
@@ -115,7 +152,7 @@ def blocks(html: str) -> list[Block]:
         if not name:
             continue
         ends, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if name in _RAW and not ends and not (name == "math" and stack and stack[-1][1]):  # an article's formulas are text
+        if name in _RAW and not ends and not (name == "math" and stack[-1].place):  # an article's formulas are text
             if not attributes.rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.IGNORECASE).search(html, at)
                 at = end.end() if end else len(html)
@@ -130,22 +167,25 @@ def blocks(html: str) -> list[Block]:
             continue
         close()
         if ends:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
+            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), None)
             if depth is not None:
                 del stack[depth:]
             links = 0
         elif name not in _VOID:
             if name == "p" or name == "li" or name[0] == "h" and name[1:].isdigit():
-                while stack and stack[-1][0] in ("p", name):  # their end tags may be left out
+                while stack[-1].name in ("p", name) and len(stack) > 1:  # their end tags may be left out
                     stack.pop()
-            _, place, barred = stack[-1] if stack else ("", 0, False)
+            frame = stack[-1]
+            bars = name in _PLACES or name == "header" and not frame.place
+            bars = bars or bool(attributes) and not frame.barred and name not in ("html", "body") and marked(attributes, frame.place)
+            form = frame.form or name == "form"
             if name in _CONTENT:
                 places += 1
-                place = places
-            barred = barred or (name in _PLACES and not (name == "figcaption" and place)) or (name == "header" and not place)
-            if attributes and not barred and name not in ("html", "body"):
-                barred = bool(_HIDDEN.search(attributes)) or any(_MARKS.search(x[0] or x[1] or x[2]) for x in _ATTRIBUTE.findall(attributes))
-            stack.append((name, place, barred))
+                # what marks the article itself, or lies around it, isn't inside it
+                frame = Frame(name, places, frame.barred or bars or form, False, False, False)
+            else:
+                frame = Frame(name, frame.place, frame.barred or bars, frame.within or bars, form, frame.listed or name == "li")
+            stack.append(frame)
             heading = name[0] == "h" and name[1:].isdigit()
     close()
     return found
@@ -158,12 +198,17 @@ def unlisted(found: list[Block]) -> bool:
 
 
 def judge(block: Block, foreign: bool = False) -> str:
-    """First pass: the label that the block's own length, stop words and links give it; of a foreign page, without stop words."""
+    """First pass: the label that the block's own length, stop words and links give it; of a foreign page, without stop words.
+
+    Links speak against a block outside articles, and inside them against items of lists that are hardly more than links.
+    """
     n = len(block.text)
-    if block.barred or block.linked > LINKS * n:
+    if block.barred or block.linked > (LINKS * n if not block.place else MENU * n if block.listed else n):
         return BAD
     if n < SHORT:
-        return BAD if block.linked and not block.place else UNCLEAR
+        if block.place:
+            return UNCLEAR if block.heading or block.listed else NEAR
+        return BAD if block.linked else UNCLEAR
     if foreign:
         return GOOD if n > LONG else NEAR
     words = _WORD.findall(block.text.lower())
@@ -229,9 +274,18 @@ def classify(found: list[Block]) -> None:
 
 
 def main_text(html: str) -> str:
-    """Good blocks in page order, a line each; empty if there is none."""
+    """Good blocks in page order, a line each; empty if there is none.
+
+    A page without a good block is judged again: articles that are barred from outside, or by their own attributes, are taken
+    for what they are, then parts that only a form around them bars.
+    """
     found = blocks(html)
     classify(found)
+    if not any(b.label == GOOD for b in found):
+        articles = [b for b in found if b.place and not b.within]
+        for b in articles or [b for b in found if b.formed]:
+            b.barred = False
+        classify(found)
     return "\n".join(b.text for b in found if b.label == GOOD)
 
 

@@ -35,6 +35,49 @@ def test_extraction_cases(html, want):
     assert extraction.main_text(html) == want
 
 
+LINK = "<a href=x>Another page of the site with a long name that is linked</a>"
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<article class='post has-sidebar'><p>{GOOD}</p></article>",
+        f"<div class='content with-comments'><p>{GOOD}</p></div>",
+        f"<body class='sidebar'><div class=share-price><p>{GOOD}</p></div></body>",
+        f"<article><section class='related-work'><p>{GOOD}</p></section></article>",
+        f"<div class='widget'><main><p>{GOOD}</p></main></div>",
+        f"<article class='sponsored notice'><p>{GOOD}</p></article>",
+        f"<div id='menuOfTheDay' title='a hidden gem'><p>{GOOD}</p></div>",
+        f"<form action=x><div><p>{GOOD}</p></div></form>",
+        f"<form><article><p>{GOOD}</p></article></form>",
+        f"<article><p>{GOOD}</p></article><article class='comment'><p>{GOOD}</p></article>",
+        f"<article><p>{GOOD}</p><ul><li>{LINK}</li><li>{LINK}</li></ul></article>",
+        f"<article><p>{GOOD}</p><div id=comments><article><p>{GOOD}</p></article></div></article>",
+        f"<div id='siteHeader'><p>{GOOD}</p></div><div><p>{GOOD}</p></div><div role=contentinfo>{GOOD}</div>",
+        f"<div class='related-posts'><p>{GOOD}</p></div><div class='entry-content'><p>{GOOD}</p></div><ul class='share_buttons'><li>{GOOD}</li></ul>",
+        f"<div style='display: none'>{GOOD}</div><div hidden>{GOOD}</div><section><p>{GOOD}</p></section><div class='ad-slot-3'>{GOOD}</div>",
+        f"<table><tr><td class='sidebar-left'>{GOOD}</td><td>{GOOD}</td></tr></table>",
+    ],
+)
+def test_marks_bar_what_they_name_and_no_more(html):
+    assert extraction.main_text(html) == GOOD
+
+
+def test_links_and_short_parts_of_articles():
+    linked = "Most of this <a href=x>paragraph of the article is a link and it stays in the text</a> with the rest of it."
+    page = f"<article><h1>Head</h1><p>{GOOD}</p><p>{linked}</p><p><a href=x>Yes.</a></p><ul><li>One</li><li>Two</li></ul><figure><figcaption>A view</figcaption></figure><pre>x = 1</pre><p>{GOOD}</p></article>"
+    plain = re.sub("<[^>]*>", "", linked)
+    assert extraction.main_text(page) == "\n".join(["Head", GOOD, plain, "Yes.", "One", "Two", "A view", "x = 1", GOOD])
+    assert extraction.main_text(f"<div><p>{GOOD}</p></div><div>{LINK} {LINK} and so on</div><div><figure><figcaption>{GOOD}</figcaption></figure></div>") == f"{GOOD}\n{GOOD}"
+
+
+def test_long_and_repeated_pages(spark):
+    page = "<article>" + f"<p>{GOOD}</p>" * 20_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page), (1, "u", page), (1, "u", "<div>" * 50_000 + GOOD)], "page_id long, url string, html string")
+    got = sorted(tuple(r) for r in extraction.extract(rows).collect())
+    assert got[0] == (1, "u", GOOD, len(GOOD)) and got[1] == got[2] == (1, "u", "\n".join([GOOD] * 20_000), 20_000 * len(GOOD) + 19_999)
+
+
 PAGES = "page_id long, url string, html string"
 
 
