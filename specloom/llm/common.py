@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 import specloom
 
@@ -35,19 +37,50 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def by_group(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
+    """Applies run to the Arrow table of each group; groups must be small. One sort, and one Python call for many groups."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(k) for k in range(len(keys))]
+            values = list(zip(*(c.to_pylist() for c in columns), strict=True))
+            a = 0
+            for b in range(batch.num_rows + 1):
+                if b == batch.num_rows:
+                    rest.append(batch.slice(a, b - a))
+                    last = values[-1]
+                elif values[b] != (values[b - 1] if b else last):
+                    if b > a:
+                        rest.append(batch.slice(a, b - a))
+                    if rest:
+                        yield from run(pa.Table.from_batches(rest))
+                    rest, a = [], b
+        if rest:
+            yield from run(pa.Table.from_batches(rest))
+
+    rows = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys)
+    return arrow_map(rows, stream, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by any path that Spark's readers can open."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local default only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master, as in tests, may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         sc = spark.sparkContext
         current = sc._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[[^,\]]*\])?$", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "/tmp/checkpoints/specloom"
     return root
 
@@ -70,15 +103,6 @@ def worker_cache(name: str) -> dict:
     return sys.modules["pyspark"].__dict__.setdefault("_specloom_cache", {}).setdefault(name, {})
 
 
-def text_or_empty(name: str = "text") -> Column:
-    return F.coalesce(F.col(name), F.lit(""))
-
-
-def hash128(col: Column) -> list[Column]:
-    """Two independent 64-bit hashes; together they stand for the string."""
-    return [F.xxhash64(col), F.xxhash64(F.lit("specloom"), col)]
-
-
 def qualified(spark: SparkSession, path: str) -> str:
     """The path with the scheme of the file system that it belongs to."""
     jvm = spark.sparkContext._jvm

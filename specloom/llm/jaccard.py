@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -109,35 +109,6 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
-def by_group(df: DataFrame, keys: list[str], run: Callable, schema: str) -> DataFrame:
-    """Applies run to the Arrow table of each group; groups must be small. One sort, and one Python call for many groups."""
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(k) for k in range(len(keys))]
-            values = list(zip(*(c.to_pylist() for c in columns), strict=True))
-            a = 0
-            for b in range(batch.num_rows + 1):
-                if b == batch.num_rows:
-                    rest.append(batch.slice(a, b - a))
-                    last = values[-1]
-                elif values[b] != (values[b - 1] if b else last):
-                    if b > a:
-                        rest.append(batch.slice(a, b - a))
-                    if rest:
-                        yield from run(pa.Table.from_batches(rest))
-                    rest, a = [], b
-        if rest:
-            yield from run(pa.Table.from_batches(rest))
-
-    rows = df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(*keys).sortWithinPartitions(*keys)
-    return common.arrow_map(rows, stream, schema)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Smallest vertex of each vertex's component, by alternating large-star and small-star; columns u, v of edges.
 
@@ -258,7 +229,7 @@ def similar(
                 [pa.array([names[k] for k in has], pa.binary()), pa.array([names[root[k]] for k in has], pa.binary()), pa.array(links[has])], names=["u", "v", "links"]
             )
 
-    found = by_group(dealt.join(sets, "member"), ["band", "hash", "i", "j"], compare, "u binary, v binary, links long")
+    found = common.by_group(dealt.join(sets, "member"), ["band", "hash", "i", "j"], compare, "u binary, v binary, links long")
     found = common.cut(found, "links")
     label = components(found.select("u", "v"))
     links = found.groupBy(F.col("u").alias("member")).agg(F.sum("links").alias("links"))

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -53,45 +54,96 @@ def test_model_counts_equal_brute_force(spark):
     assert np.allclose(model, np.log((t + 1) / (t.sum() + n)) - np.log((r + 1) / (r.sum() + n)))
 
 
-def test_search_recall_and_scores(spark, data):
-    rows = common.table(spark, data, "embeddings").toPandas()
+def brute_neighbours(rows, ids, q, k):
+    """Exact (vec_id, score) of query row q: rows of its length, ties to the smaller id."""
+    other = [i for i in range(len(ids)) if ids[i] != ids[q] and len(rows[i]) == len(rows[q])]
+    d = [float(np.sqrt(((np.asarray(rows[i], float) - np.asarray(rows[q], float)) ** 2).sum())) for i in other]
+    return sorted(zip(d, (int(ids[i]) for i in other), strict=True))[:k]
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
+def test_search_recall_and_scores(spark, sf):
+    rows = common.table(spark, f"/root/testdata/{sf}", "embeddings").toPandas()
     x, ids = np.array(rows["embedding"].tolist(), float), rows["vec_id"].to_numpy()
-    got = queries.op9_neighbours(spark, data).collect()
+    got = queries.op9_neighbours(spark, f"/root/testdata/{sf}").collect()
     hits = total = 0
-    for q in ids[ids % 100 == 0]:
-        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(1))
-        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
-        assert [r[0] for r in own] == list(range(1, 11))
-        assert all(abs(d[ids == v][0] - s) < 1e-9 for _, v, s in own)
-        other = np.flatnonzero(ids != q)
-        truth = other[np.lexsort((ids[other], d[other]))][:10]
-        hits += len({v for _, v, _ in own} & set(ids[truth]))
+    for q in np.flatnonzero(ids % 100 == 0):
+        own = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == ids[q])
+        assert [r[0] for r in own] == list(range(1, 11)) and [r[1:] for r in own] == sorted((r[1:] for r in own), key=lambda r: (r[1], r[0]))
+        assert all(np.sqrt(((x[ids == v][0] - x[q]) ** 2).sum()) == s for _, v, s in own)
+        hits += len({v for _, v, _ in own} & {v for _, v in brute_neighbours(x, ids, q, 10)})
         total += 10
-    assert hits / total >= 0.9
+    assert hits / total >= 0.95
+
+
+def test_tests_abandon_early():
+    """With a bound from the nearest lists, half of the components of a structureless table are never read; of one in
+    clusters nearly none is read, and few lists are probed."""
+    rng = np.random.default_rng(2)
+    for spread, most, lists in ((0, 0.7, 1.0), (8, 0.3, 0.2)):
+        x = rng.normal(size=(4000, 64)) + spread * rng.normal(size=(40, 64))[rng.integers(0, 40, 4000)]
+        index = ann.Index(ann.kmeans(x[:2000], 63, 1), 1)
+        where = ann.nearest_list(x, index.centres)
+        sizes = np.bincount(where, minlength=63)
+        away = np.sqrt(((x - index.centres[where]) ** 2).sum(1))
+        low, high = (np.asarray([f(away[where == i], initial=e) for i in range(63)]) for f, e in ((np.min, 1e9), (np.max, 0)))
+        truth = ann.squared(x[:50], x)
+        truth[np.arange(50), np.arange(50)] = np.inf
+        _, pilots = index.pilots(x[:50], sizes)
+        bound = np.asarray([np.partition(truth[i][pilots[i][where]], 9)[9] for i in range(50)])
+        probed = pilots | index.rest(x[:50], bound, sizes, low, high)
+        turned = x @ index.turn
+        q, v, read = ann.adaptive_scan(turned[:50], bound, [turned.T[a:b] for a, b, _ in index.shares], index.shares)
+        near = np.argsort(truth, 1)[:, :10]
+        found = set(zip(q.tolist(), v.tolist(), strict=True))
+        assert np.mean([(i, j) in found for i in range(50) for j in near[i].tolist()]) > 0.98
+        assert np.mean([probed[i, where[j]] for i in range(50) for j in near[i].tolist()]) > 0.95
+        assert read < most * 50 * 4000 * 64 and probed.mean() <= lists
+
+
+def test_shares_are_quantiles_of_random_directions():
+    g = np.random.default_rng(0).normal(size=(200_000, 64)) ** 2
+    part = np.cumsum(g, 1) / g.sum(1, keepdims=True)
+    for _, b, share in ann.test_shares(64, alpha=0.01)[:-1]:
+        assert abs((part[:, b - 1] > share).mean() - 0.01) < 0.002
+    assert ann.test_shares(5) == [(0, 5, 1.0)]
 
 
 def test_search_of_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK_VECTORS", 3)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 2)
-    data = [(i, [float(i % 4), 1.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (105, [1.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0])]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumn("list", F.lit(1))
-    got = ann.search(df, F.col("vec_id") % 10 == 0, k=3, probe=1.0).collect()
+    data = [(i, [float(i % 4), 1.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [None, 1.0]), (104, [float("inf"), 1.0]), (105, [1.0]), (110, [3.0]), (None, [1.0, 1.0]), (5, [1.0, 1.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"list": F.lit(1), "vector": F.lit("x"), "bound": F.lit(0)})
+    got = ann.search(df, F.col("vec_id") % 10 == 0, k=3).collect()
     by = {}
     for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    assert set(by) == {0, 10, 20, 30}
-    assert by[0] == [(4, 0.0), (8, 0.0), (12, 0.0)] and by[10] == [(2, 0.0), (6, 0.0), (14, 0.0)]
+    assert set(by) == {0, 10, 20, 30, 110}
+    assert by[0] == [(4, 0.0), (8, 0.0), (12, 0.0)] and by[10] == [(2, 0.0), (6, 0.0), (14, 0.0)] and by[110] == [(105, 2.0)]
     assert ann.search(df.where("vec_id > 99 and vec_id < 105"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+def test_search_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_VECTORS", 50)
+    rng = np.random.default_rng(3)
+    data = [(7, [1.0, 2.0])] * 90 + [(8, [1.0, 2.0])] * 3 + [(i, [1.0, 2.0]) for i in range(20, 60)] + [(100 + i, rng.normal(size=2).tolist()) for i in range(150)] + [(300, [1e200, 1.0]), (301, [1e200, 2.0])]
+    got = ann.search(spark.createDataFrame(data, "vec_id long, embedding array<double>"), F.col("vec_id").isin(7, 8, 30, 100, 300), k=5).collect()
+    with np.errstate(over="ignore"):
+        for q in (7, 8, 30, 100, 300):
+            own = sorted((r.rank, r.score, r.vec_id) for r in got if r.query_id == q)
+            at = next(i for i, r in enumerate(data) if r[0] == q)
+            assert [r[1:] for r in own] == brute_neighbours([r[1] for r in data], [r[0] for r in data], at, 5)
+
+
 def test_search_finds_enough_candidates(spark, monkeypatch):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 0.1, (3, 4)), rng.normal(9, 0.1, (9, 4)), rng.normal(-9, 0.1, (3, 4))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    for block in (ann.BLOCK_VECTORS, 2):
+    for block, pilot in ((ann.BLOCK_VECTORS, ann.PILOT), (2, 1)):
         monkeypatch.setattr(ann, "BLOCK_VECTORS", block)
-        for n, probe in ((15, 0.25), (8, 0.75)):
-            got = ann.search(df.where(F.col("vec_id") < n), F.lit(True), probe=probe).collect()
+        monkeypatch.setattr(ann, "PILOT", pilot)
+        for n in (15, 11, 8):
+            got = ann.search(df.where(F.col("vec_id") < n), F.lit(True)).collect()
             assert {q: sum(r.query_id == q for r in got) for q in range(n)} == dict.fromkeys(range(n), min(10, n - 1))
 
 
