@@ -1,9 +1,13 @@
-"""Column functions over model outputs: JSON payloads, final structures, behaviour, token traces. All run in the JVM."""
+"""Column functions over model outputs: JSON payloads, final structures, behaviour, token traces.
+
+JSON is read by one Arrow UDF, which follows nesting of any depth; all else runs in the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,9 +16,6 @@ JSON_FENCE = r"(?is)```(?:json)?\s*\n?(.*?)```"
 TEXT_FENCE = r"(?is)```(?:plaintext|text|smiles)?\s*\n?(.*?)```"
 LABELS = ("Final canonical SMILES", "Final SMILES", "Canonical SMILES", "SMILES")
 
-#: Nesting of arguments, functions and lists that is followed.
-DEPTH = 4
-
 
 def strip(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
@@ -25,76 +26,92 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\r\n|\r|\n"), strip), lambda x: x != "")
 
 
-def is_json(text: Column) -> Column:
-    """Whether the text is one JSON value."""
-    return F.coalesce(F.try_parse_json(text).isNotNull() & (strip(text) != ""), F.lit(False))
+def _reader():
+    """The Arrow UDF behind read(); it is closed in itself, so that workers needn't have this package."""
+    fence = JSON_FENCE.removeprefix("(?is)")
+
+    @F.pandas_udf("payload string, has_smiles boolean, smiles string")
+    def look(texts: pd.Series) -> pd.DataFrame:
+        import json
+        import re
+
+        blocks = re.compile(fence, re.IGNORECASE | re.DOTALL)
+
+        def load(text):
+            """The JSON value and whether it is one; what is nested too deep for the parser isn't."""
+            try:
+                return json.loads(text), True
+            except (ValueError, RecursionError):
+                return None, False
+
+        def search(value):
+            """Whether the key smiles is there, and its first value that isn't empty; a stack holds what is still to be seen."""
+            has, stack = False, [value]
+            while stack:
+                value = stack.pop()
+                if isinstance(value, list):
+                    stack.extend(reversed(value))
+                elif isinstance(value, dict):
+                    if "smiles" in value:
+                        has = True
+                        found = value["smiles"]
+                        if found is not None and (found := str(found).strip()):
+                            return True, found
+                    else:
+                        inner = value.get("arguments")
+                        stack += [value.get("function"), load(inner)[0] if isinstance(inner, str) else inner]
+            return has, None
+
+        out = []
+        for text in texts:
+            text = "" if text is None else text.strip()
+            row = (None, None, None)
+            for part in (text, *(x.strip() for x in blocks.findall(text))):
+                value, parsed = load(part) if part else (None, False)
+                if parsed:
+                    row = row if value is None else (part, *search(value))
+                    break
+            out.append(row)
+        return pd.DataFrame(out, columns=["payload", "has_smiles", "smiles"], dtype=object)
+
+    return look
+
+
+def read(text: Column) -> Column:
+    """The JSON payload of a response as a struct: payload, has_smiles, smiles; all null without one.
+
+    The payload is the text, or else the first fenced block in it, that parses as JSON; null is none. The key smiles is looked
+    for in an object, or else in its arguments (JSON text or an object), then in its function, and in the items of lists, at
+    any depth; the first value that isn't null or empty counts.
+    """
+    return _reader()(text)
 
 
 def payload(text: Column) -> Column:
     """The text, or else the first fenced block in it, that parses as JSON; null if none does."""
-    blocks = F.transform(F.regexp_extract_all(strip(text), F.lit(JSON_FENCE), F.lit(1)), strip)
-    return F.get(F.filter(F.concat(F.array(strip(text)), blocks), lambda x: is_json(x)), 0)
-
-
-def _has(json: Column, key: str) -> Column:
-    """Whether JSON text is an object with the key, its value null or not."""
-    keys = F.json_object_keys(F.when(F.ltrim(json).startswith("{"), json))
-    return F.coalesce(F.array_contains(keys, key), F.lit(False))
-
-
-def _items(json: Column) -> Column:
-    return F.transform(F.from_json(F.when(F.ltrim(json).startswith("["), json), "array<variant>"), lambda v: F.to_json(v))
-
-
-def _text(json: Column, key: str) -> Column:
-    return F.get_json_object(json, f"$.{key}")
-
-
-def _walk(json: Column, depth: int, here: Callable[[Column], Column], first: Callable[[Column, Column], Column]) -> Column:
-    """Applies here to an object that has the key smiles, else looks into arguments (JSON text or an object), the function, or
-    the items of a list."""
-    found = F.when(_has(json, "smiles"), here(json))
-    if not depth:
-        return found
-    inner = first(_walk(_text(json, "arguments"), depth - 1, here, first), _walk(_text(json, "function"), depth - 1, here, first))
-    found = F.when(_has(json, "smiles"), found).when(F.ltrim(json).startswith("{"), inner)
-    if depth == DEPTH:
-        items = F.transform(_items(json), lambda x: _walk(x, depth - 2, here, first))
-        found = found.when(F.ltrim(json).startswith("["), F.get(F.filter(items, lambda x: x.isNotNull()), 0))
-    return found
-
-
-def payload_smiles(json: Column) -> Column:
-    """The structure in a JSON payload: its key smiles, or that of its arguments, function or items."""
-    value = lambda x: F.nullif(strip(_text(x, "smiles")), F.lit(""))
-    return _walk(json, DEPTH, value, lambda a, b: F.coalesce(a, b))
-
-
-def payload_has_smiles(json: Column) -> Column:
-    """Whether the payload has the key at all, null or not."""
-    return F.coalesce(_walk(json, DEPTH, lambda _: F.lit(True), lambda a, b: F.coalesce(a, b)), F.lit(False))
+    return read(text)["payload"]
 
 
 def final_smiles(text: Column) -> Column:
     """The structure that a response gives: from JSON, or after a label, or first in a fenced block, or its last line."""
-    json = payload(text)
+    json = read(text)
     labelled = [F.nullif(F.regexp_extract(text, rf"(?i){label}\s*:\s*([^\s`]+)", 1), F.lit("")) for label in LABELS]
     blocks = F.flatten(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TEXT_FENCE), F.lit(1)), lambda b: F.slice(lines(b), 1, 1)))
     plain = F.filter(lines(text), lambda x: ~x.startswith("```"))
     last = F.when(F.size(plain) > 0, F.element_at(plain, -1))
-    return F.when(json.isNotNull(), payload_smiles(json)).otherwise(F.coalesce(*labelled, F.get(blocks, 0), last))
+    return F.when(json["payload"].isNotNull(), json["smiles"]).otherwise(F.coalesce(*labelled, F.get(blocks, 0), last))
 
 
 def output_state(text: Column, valid: Callable[[Column], Column]) -> Column:
     """One of compliant, invalid and non_bare. valid says whether a structure is one."""
     body = strip(text)
-    json = payload(text)
-    smiles = payload_smiles(json)
+    json = read(text)
+    smiles, found = json["smiles"], json["payload"].isNotNull()
     bare = (body != "") & ~body.rlike(r"[\s`:]")
     return (
-        F.when(json.isNotNull() & ~payload_has_smiles(json), F.lit("non_bare"))
-        .when(json.isNotNull() & smiles.isNull(), F.lit("compliant"))
-        .when(json.isNotNull(), F.when(valid(smiles), F.lit("compliant")).otherwise(F.lit("invalid")))
+        F.when(found & ~json["has_smiles"], F.lit("non_bare"))
+        .when(found & smiles.isNull(), F.lit("compliant"))
+        .when(found, F.when(valid(smiles), F.lit("compliant")).otherwise(F.lit("invalid")))
         .when(bare & ~valid(body), F.lit("invalid"))
         .otherwise(F.lit("non_bare"))
     )

@@ -176,6 +176,32 @@ PREDICTIONS = """predictions as (select id, ref reference, guess, k, case k when
     case when o_orderkey % 4 = 0 then 'C' || (o_orderkey % 97) || 'O' else 'C' || (o_orderkey % 83) || 'O' end guess from orders) a) b)"""
 
 
+DEEPEST = 20
+WRAPPERS = ("[$]", '{"arguments":$}', '{"name":"f","function":$}', '[3,{"id":1},$,{"smiles":"last"}]', '{"arguments":"none","function":$}')
+
+
+def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id, prediction: a JSON text nested up to DEEPEST times, in every mixture of WRAPPERS, some of it fenced, as JSON text in
+    arguments, without the key or broken; from orders."""
+    k = F.col("o_orderkey")
+    value = F.when(k % 7 == 0, F.lit("null")).when(k % 7 == 1, F.lit('"  "')).otherwise(F.concat(F.lit('"C'), (k % 83).cast("string"), F.lit('O"')))
+    core = F.when(k % 11 == 0, F.lit('{"answer":1}')).otherwise(F.concat(F.lit('{"smiles":'), value, F.lit("}")))
+    levels = F.sequence(F.lit(0), (k % (DEEPEST + 1)).cast("int"))
+    text = F.aggregate(levels, core, lambda t, i: F.when(i == 0, t).otherwise(F.replace(pick(F.floor(k / 21 + i * i) % len(WRAPPERS), WRAPPERS), F.lit("$"), t)))
+    quoted = F.concat(F.lit('{"arguments":"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"}'))
+    text = F.when(k % 5 == 0, quoted).when(k % 5 == 1, F.concat(F.lit("Here:\n```\nno\n```\n```json\n"), text, F.lit("\n```"))).when(k % 13 == 2, F.concat(text, F.lit("}"))).otherwise(text)
+    return table(spark, sf_dir, "orders").select(k.alias("id"), text.alias("prediction"))
+
+
+NESTED = f"""nested as (select k id, case when k % 5 = 0 then '{{"arguments":"' || replace(replace(t, '\\', '\\\\'), '"', '\\"') || '"}}'
+    when k % 5 = 1 then 'Here:' || chr(10) || '```' || chr(10) || 'no' || chr(10) || '```' || chr(10) || '```json' || chr(10) || t || chr(10) || '```'
+    when k % 13 = 2 then t || '}}' else t end prediction
+  from (select k, list_reduce(list_prepend(core, list_transform(range(1, k % {DEEPEST + 1} + 1),
+      lambda i: {sql_pick(f"(k // 21 + i * i) % {len(WRAPPERS)}", WRAPPERS)})), lambda t, w: replace(w, '$', t)) t
+    from (select o_orderkey k, case when o_orderkey % 11 = 0 then '{{"answer":1}}' else '{{"smiles":' || case o_orderkey % 7 when 0 then 'null' when 1 then '"  "'
+      else '"C' || (o_orderkey % 83) || 'O"' end || '}}' end core from orders) a) b)"""
+
+
 def valid_structure(smiles: Column) -> Column:
     return smiles.isNotNull() & ~F.contains(smiles, F.lit("7"))
 

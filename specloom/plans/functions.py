@@ -117,6 +117,28 @@ def f17_output_state(spark, d):
     return A.predictions(spark, d).select("id", outputs.output_state(F.col("prediction"), A.valid_structure).alias("state"))
 
 
+@query(f"""with recursive {A.NESTED}, tried as (select id, unnest(t) t, generate_subscripts(t, 1) n
+    from (select id, list_concat([trim(prediction)], list_transform(regexp_extract_all(prediction, '```(?:json)?\\s*\\n?(.*?)```', 1, 'is'), lambda x: trim(x, ' ' || chr(10)))) t from nested) x),
+  chosen as (select id, arg_min(t, n) t from tried where json_valid(t) group by 1),
+  walk(id, place, j) as (select id, [0]::bigint[], t::json from chosen union all
+    select id, list_append(place, n), part from (
+      select w.id, w.place, unnest(range(0, len(parts))) n, unnest(parts) part from (
+        select id, place, case when json_type(j) = 'ARRAY' then json_extract(j, '$[*]')
+          when json_type(j) = 'OBJECT' and not json_exists(j, '$.smiles') then list_filter([
+            case when json_type(j, '$.arguments') = 'VARCHAR' then case when json_valid(json_extract_string(j, '$.arguments')) then json_extract_string(j, '$.arguments')::json end
+              else json_extract(j, '$.arguments') end, json_extract(j, '$.function')], lambda x: x is not null) else [] end parts from walk) w) y),
+  seen as (select id, true has, arg_min(nullif(trim(json_extract_string(j, '$.smiles')), ''), place) filter (nullif(trim(json_extract_string(j, '$.smiles')), '') is not null) smiles
+    from walk where json_type(j) = 'OBJECT' and json_exists(j, '$.smiles') group by 1),
+  answer as (select n.id, c.id is not null parsed, coalesce(s.has, false) has, s.smiles, n.prediction from nested n left join chosen c on n.id = c.id left join seen s on n.id = s.id)
+select id, parsed, parsed and has has_smiles, case when parsed then smiles else trim(prediction) end smiles,
+  case when not parsed then 'other' when not has then 'non_bare' when smiles is null then 'compliant' when smiles like '%7%' then 'invalid' else 'compliant' end state from answer""")
+def f15_nested_smiles(spark, d):
+    json, text = outputs.read(F.col("prediction")), F.col("prediction")
+    parsed = json["payload"].isNotNull()
+    state = F.when(parsed, outputs.output_state(text, A.valid_structure)).otherwise(F.lit("other"))
+    return A.nested(spark, d).select("id", parsed.alias("parsed"), F.coalesce(json["has_smiles"], F.lit(False)).alias("has_smiles"), outputs.final_smiles(text).alias("smiles"), state.alias("state"))
+
+
 CHAT = "chats as (select conv_id, turn, role, text, row_number() over (partition by conv_id order by turn) rn, count(*) over (partition by conv_id) n from conversations)"
 
 
