@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specloom.functions.parsing import known_solvent
+from specloom.operators.order import cut, hash_order, place_by_hash
 
 SEED = 3407
+#: Groups of a grouped split that one task folds.
+BLOCK = 500_000
 
 
 def quality(rows: DataFrame) -> DataFrame:
@@ -23,31 +29,27 @@ def quality(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"qc_reason": F.array_join(reasons, ";"), "qc_status": F.when(F.size(reasons) == 0, "pass").otherwise("fail")})
 
 
-def hash_order(seed: int, *columns: str) -> Column:
-    """SHA-256 of 'seed:columns': an order that any engine can repeat."""
-    return F.sha2(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-
-
 def scaffold_splits(rows: DataFrame, *, ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = SEED) -> DataFrame:
     """Adds split. Scaffolds, large ones first and equal ones in hashed order, fill train, then val; the rest is test.
 
-    A split takes a scaffold while the rows before it are below its share. Running sums over the scaffolds' counts decide,
-    and the decisions are joined back. Rows that didn't pass are excluded.
+    A split takes a scaffold while the rows before it are below its share. Only the classes of scaffolds of equal size are
+    summed in one order (there are few, as their sizes add up to the rows); within a class a scaffold's place says how many
+    rows come before it. The decisions are joined back. Rows that didn't pass are excluded.
     """
     total = sum(ratios)
     if total <= 0:
         raise ValueError("ratios must have a positive sum")
     passed = rows.where("qc_status = 'pass'")
-    sizes = passed.groupBy("murcko_scaffold").agg(F.count(F.lit(1)).alias("n"))
-    order = W.orderBy(F.desc("n"), hash_order(seed, "murcko_scaffold"))
-    sizes = sizes.withColumns({"before": F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), "all": F.sum("n").over(W.partitionBy())})
-    before = F.coalesce("before", F.lit(0))
+    sizes = passed.groupBy("murcko_scaffold").agg(F.count(F.lit(1)).alias("n")).withColumn("h", hash_order(seed, "murcko_scaffold"))
+    classes = sizes.groupBy("n").agg((F.col("n") * F.count(F.lit(1))).alias("rows"))
+    classes = classes.select(F.col("n").alias("size"), (F.sum("rows").over(W.orderBy(F.desc("n"))) - F.col("rows")).alias("ahead"), F.sum("rows").over(W.partitionBy()).alias("all"))
+    sizes = place_by_hash(sizes, ["n"], "h", "murcko_scaffold").join(F.broadcast(classes), F.col("n") == F.col("size"))
     train, val = F.floor(F.col("all") * F.lit(ratios[0] / total)), F.floor(F.col("all") * F.lit(ratios[1] / total))
-    sizes = sizes.withColumns({"before": before, "train": train, "val": val})
-    sizes = sizes.withColumn("in_train", F.col("before") < F.col("train"))
-    trained = F.sum(F.when(F.col("in_train"), F.col("n")).otherwise(0)).over(W.partitionBy())
-    split = F.when(F.col("in_train"), "train").when(F.col("before") - trained < F.col("val"), "val").otherwise("test")
-    return rows.drop("split").join(sizes.select("murcko_scaffold", split.alias("split")), "murcko_scaffold", "left").withColumn("split", F.when(F.col("qc_status") == "pass", F.col("split")).otherwise("excluded"))
+    sizes = sizes.select("murcko_scaffold", "n", (F.col("ahead") + F.col("n") * (F.col("place") - 1)).alias("before"), train.alias("train"), val.alias("val"))
+    trained = sizes.where("before < train").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("trained"))
+    split = F.when(F.col("before") < F.col("train"), "train").when(F.col("before") - F.col("trained") < F.col("val"), "val").otherwise("test")
+    named = sizes.join(F.broadcast(trained)).select("murcko_scaffold", split.alias("split"))  # trained is one row
+    return rows.drop("split").join(named, "murcko_scaffold", "left").withColumn("split", F.when(F.col("qc_status") == "pass", F.col("split")).otherwise("excluded"))
 
 
 def reason_counts(rows: DataFrame) -> DataFrame:
@@ -91,18 +93,24 @@ def filtered(rows: DataFrame, **bounds) -> DataFrame:
 def balanced_order(rows: DataFrame, *, seed: int = SEED, by: str | None = None) -> DataFrame:
     """Adds turn and position: each turn takes one molecule of every scaffold that has any left, in hashed order.
 
-    The position within a turn needs no sort of the whole: the prefix of an order is cut by (turn, scaffold hash). by keeps
-    the order apart for each value of a column.
+    Turns within a scaffold and places within a turn are counted in buckets of the hashes, so that neither the commonest
+    scaffold nor the first turn, which holds every scaffold, is sorted in one task. by keeps the order apart for each value
+    of a column.
     """
     scaffold = F.coalesce(F.nullif(F.col("murcko_scaffold"), F.lit("")), F.nullif(F.col("canonical_smiles"), F.lit("")), F.col("id"))
     keys = [by] if by else []
     rows = rows.withColumn("scaffold_key", scaffold)
-    turn = F.row_number().over(W.partitionBy(*keys, "scaffold_key").orderBy(hash_order(seed, "id"), "id"))
-    rows = rows.withColumns({"turn": turn, "scaffold_hash": hash_order(seed, "scaffold_key")})
+    rows = rows.withColumns({"scaffold_hash": hash_order(seed, "scaffold_key"), "id_hash": hash_order(seed, "id")})
+    rows = place_by_hash(rows, [*keys, "scaffold_key"], "id_hash", "id", name="turn")
+    rows = place_by_hash(rows, [*keys, "turn"], "scaffold_hash")
     counts = rows.groupBy(*keys, "turn").agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(W.partitionBy(*keys).orderBy("turn")) - F.col("n")
-    place = F.row_number().over(W.partitionBy(*keys, "turn").orderBy("scaffold_hash"))
-    return rows.withColumn("place", place).join(counts.select(*keys, "turn", before.alias("before")), [*keys, "turn"]).withColumn("position", F.col("before") + F.col("place")).drop("place", "before", "scaffold_hash")
+    before = (F.sum("n").over(W.partitionBy(*keys).orderBy("turn")) - F.col("n")).alias("before")
+    counts = counts.select(*(F.col(k).alias(f"__{k}") for k in keys), F.col("turn").alias("__turn"), before)
+    same = F.col("turn") == F.col("__turn")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    rows = rows.join(counts, same).withColumn("position", F.col("before") + F.col("place"))
+    return rows.drop("place", "before", "scaffold_hash", "id_hash", "__turn", *(f"__{k}" for k in keys))
 
 
 def subset_sizes(size: int, *, val_fraction: float = 0.1, test_fraction: float = 0.1) -> dict[str, int]:
@@ -124,32 +132,56 @@ def grouped_splits(rows: DataFrame, *, val_fraction: float = 0.1, test_fraction:
     """Adds split; rows of one structure stay together. In hashed order each group goes to val or test, to whichever is
     filled less, unless that one is full, then to train.
 
-    The order is sequential by nature. Only the groups' sizes are folded, in one ordered array; rows get the result by a join.
+    The order is sequential by nature, so the groups' sizes are folded block by block of the hashes: a block of about BLOCK
+    groups is one task, and only the two sums go on to the next. It ends where val and test are full; all further groups are
+    train. Groups and blocks' decisions lie in the shared folder; rows get them by a join.
     """
     if not (0 <= val_fraction < 1 and 0 <= test_fraction < 1 and val_fraction + test_fraction < 1):
         raise ValueError("fractions must leave training rows")
     key = F.coalesce(F.nullif(F.col("canonical_smiles"), F.lit("")), F.col("id"))
     rows = rows.withColumn("structure", key)
-    groups = rows.groupBy("structure").agg(F.count(F.lit(1)).alias("n"))
-    groups = groups.withColumn("h", hash_order(seed, "structure"))
-    lists = groups.agg(F.array_sort(F.collect_list(F.struct("h", "structure", "n"))).alias("g"), F.sum("n").alias("total"))
-    val, test = F.bround(F.col("total") * val_fraction).cast("long"), F.bround(F.col("total") * test_fraction).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("v"), F.lit(0).cast("long").alias("t"), F.array().cast("array<struct<structure:string,split:string>>").alias("out"))
-
-    def fold(state: Column, g: Column) -> Column:
-        share = lambda done, want: F.when(want == 0, F.lit(1.0)).otherwise(done / F.greatest(want, F.lit(1)))
-        fv, ft = share(state["v"], F.col("val")), share(state["t"], F.col("test"))
-        to_val = (fv < ft) | ((fv == ft) & (state["v"] <= state["t"]))
-        split = F.when(to_val & (F.col("val") > 0) & (state["v"] < F.col("val")), "val").when(~to_val & (F.col("test") > 0) & (state["t"] < F.col("test")), "test").otherwise("train")
-        return F.transform(
-            F.array(split),
-            lambda s: F.struct(
-                (state["v"] + F.when(s == "val", g["n"]).otherwise(0)).alias("v"), (state["t"] + F.when(s == "test", g["n"]).otherwise(0)).alias("t"), F.concat(state["out"], F.array(F.struct(g["structure"].alias("structure"), s.alias("split")))).alias("out")
-            ),
-        )[0]
-
-    done = lists.withColumns({"val": val, "test": test}).select(F.explode(F.aggregate("g", start, fold)["out"]).alias("x")).select("x.*")
-    return rows.drop("split").join(done, "structure").drop("structure")
+    groups = rows.groupBy("structure").agg(F.count(F.lit(1)).alias("n")).withColumn("h", hash_order(seed, "structure"))
+    groups = cut(groups, "groups")
+    number, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    val, test = round(total * val_fraction), round(total * test_fraction)
+    digits = 0
+    while number > BLOCK * 16**digits:
+        digits += 1
+    done = None
+    taken = {"val": 0, "test": 0}
+    for block in range(16**digits):
+        if taken["val"] >= val and taken["test"] >= test:
+            break
+        held = groups.where(F.col("h").startswith(f"{block:0{digits}x}")) if digits else groups
+        got = cut(_fold(held.coalesce(1).sortWithinPartitions("h", "structure"), taken["val"], taken["test"], val, test), "split")
+        for r in got.groupBy("split").agg(F.sum("n").alias("n")).collect():  # two rows at most
+            taken[r["split"]] += r["n"]
+        done = got if done is None else done.unionByName(got)
+    if done is None:
+        return rows.drop("structure").withColumn("split", F.lit("train"))
+    return rows.drop("split").join(done.drop("n"), "structure", "left").drop("structure").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+def _fold(groups: DataFrame, v: int, t: int, val: int, test: int) -> DataFrame:
+    """Groups of one ordered partition that go to val or test, from the sums v and t on: structure, n, split."""
+
+    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        share = lambda done, want: done / want if want else 1.0
+        done = {"val": v, "test": t}
+        want = {"val": val, "test": test}
+        for table in tables:
+            named = []
+            for n in table["n"].tolist():
+                a, b = share(done["val"], val), share(done["test"], test)
+                split = "val" if a < b or a == b and done["val"] <= done["test"] else "test"
+                split = split if done[split] < want[split] else None
+                named.append(split)
+                if split:
+                    done[split] += n
+            table["split"] = pd.Series(named, index=table.index, dtype=object)
+            yield table.loc[table["split"].notna(), ["structure", "n", "split"]]
+
+    return groups.mapInPandas(run, "structure string, n long, split string")
 
 
 def summary(rows: DataFrame) -> DataFrame:

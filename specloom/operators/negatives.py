@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from specloom.functions.sets import jaccard, tanimoto
 
 SEED, POOL, SHOWN = 3407, 512, 8
+#: Targets, and structures, of one formula that a task brings together.
+BLOCK = 4096
 
 
 def stable_hash(seed: int, *columns: str):
@@ -19,11 +21,20 @@ def formula_pairs(rows: DataFrame, *, seed: int = SEED, pool: int = POOL) -> Dat
     """Each target with other structures of its formula: target_id, target, formula, id, smiles.
 
     A structure counts once, by its first id. Targets with more than `pool` keep those whose hash of (seed, target, id) is
-    least. Only keys take part in this join; facts of structures are joined to the survivors.
+    least. Only keys take part in this join; facts of structures are joined to the survivors. Targets and structures of a
+    common formula meet in blocks of BLOCK, and of each block a target's pool is cut before anything is shuffled again.
     """
     unique = rows.groupBy("formula", "smiles").agg(F.min("id").alias("id"))
-    targets = rows.select(F.col("id").alias("target_id"), F.col("smiles").alias("target"), "formula")
-    pairs = targets.join(unique, "formula").where(F.col("target") != F.col("smiles"))
+    parts = rows.groupBy("formula").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
+    blocks = unique.groupBy("formula").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    deal = parts.join(blocks, "formula")
+    dealt = lambda of, by: F.pmod(F.xxhash64(by), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    targets = rows.select(F.col("id").alias("target_id"), F.col("smiles").alias("target"), "formula").join(deal, "formula")
+    targets = targets.select("target_id", "target", "formula", dealt("parts", "target_id").alias("part"), every("blocks").alias("block"))
+    unique = unique.join(deal, "formula").select("formula", "smiles", "id", dealt("blocks", "id").alias("block"), every("parts").alias("part"))
+    pairs = targets.join(unique, ["formula", "part", "block"]).where(F.col("target") != F.col("smiles")).drop("part", "block")
+    # the limit on the rank goes below the exchange as a limit of each task
     rank = F.row_number().over(W.partitionBy("target_id").orderBy(stable_hash(seed, "target_id", "id"), "id"))
     return pairs.withColumn("pool_rank", rank).where(F.col("pool_rank") <= pool).drop("pool_rank")
 

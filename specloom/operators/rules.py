@@ -118,37 +118,56 @@ def matches(integration: float, multiplicities: tuple[str, ...], tolerance: floa
     return (F.abs(F.col("integration") - integration) <= tolerance) & F.col("multiplicity").isin(*multiplicities)
 
 
-def single_peaks(peaks: DataFrame, rules: tuple = SINGLES) -> DataFrame:
-    """id, rule_id and the first peak that fits, for rules of one peak. peaks: id, pos, shift, multiplicity, integration."""
-    fits = []
+def region_lists(regions: tuple) -> list[Column]:
+    """Aggregates: for each region the shifts in it, rising."""
+    return [F.array_sort(F.collect_list(F.when(F.col("shift").between(r[1], r[2]), F.col("shift")))).alias(r[0]) for r in regions]
+
+
+def first_peaks(rules: tuple) -> list[Column]:
+    """Aggregates: for each rule of one peak the first that fits, null if none does."""
+    out = []
     for rule, area, tolerance, mults, low, high, *_ in rules:
         ok = matches(area, mults, tolerance)
         ok = ok if low is None else ok & (F.col("shift") >= low)
         ok = ok if high is None else ok & (F.col("shift") <= high)
-        fits.append(F.when(ok, F.lit(rule)))
-    hits = peaks.withColumn("rule_id", F.explode(F.array_compact(F.array(*fits))))
-    first = F.min_by(F.struct("pos", "shift", "integration", "multiplicity"), "pos")
-    return hits.groupBy("id", "rule_id").agg(first.alias("p")).select("id", "rule_id", "p.*")
+        out.append(F.min_by(F.struct("pos", "shift", "integration", "multiplicity"), F.when(ok, F.col("pos"))).alias(rule))
+    return out
+
+
+def pair_sides(rules: tuple) -> list[Column]:
+    """Aggregates: for each rule of two peaks those that fit its first and its second side, by their places."""
+    entry = F.struct("pos", "shift", "integration", "J")
+    return [F.array_sort(F.collect_list(F.when(matches(area, mults, rule[3]), entry))).alias(f"{rule[0]}_{k}") for rule in rules for k, (area, mults) in enumerate(rule[1:3])]
+
+
+def first_pair(rule: tuple) -> Column:
+    """matching_j, shift_1 and shift_2 of the first two peaks of the sides that share a coupling, null if none do."""
+    tolerance = rule[4]
+
+    def mean(x: Column, y: Column) -> Column:
+        return F.array_min(F.flatten(F.transform(x["J"], lambda p: F.transform(F.filter(y["J"], lambda q: F.abs(p - q) <= tolerance), lambda q: (p + q) / 2.0))))
+
+    pairs = F.flatten(F.transform(f"{rule[0]}_0", lambda x: F.transform(f"{rule[0]}_1", lambda y: F.struct(F.bround(mean(x, y), 3).alias("matching_j"), x["shift"].alias("shift_1"), y["shift"].alias("shift_2")))))
+    return F.get(F.filter(pairs, lambda p: p["matching_j"].isNotNull()), 0)
+
+
+def _found(rows: DataFrame, entries: list[tuple[str, Column, Column]]) -> DataFrame:
+    """id, rule_id and value: a row for each (rule, condition, value) that holds."""
+    held = [F.when(ok, F.struct(F.lit(rule).alias("rule_id"), value.alias("value"))) for rule, ok, value in entries]
+    return rows.select("id", F.explode(F.array_compact(F.array(*held))).alias("x")).select("id", "x.rule_id", "x.value")
+
+
+def single_peaks(peaks: DataFrame, rules: tuple = SINGLES) -> DataFrame:
+    """id, rule_id and the first peak that fits, for rules of one peak. peaks: id, pos, shift, multiplicity, integration."""
+    rows = peaks.groupBy("id").agg(*first_peaks(rules))
+    return _found(rows, [(r[0], F.col(r[0]).isNotNull(), F.col(r[0])) for r in rules]).select("id", "rule_id", "value.*")
 
 
 def paired_multiplets(peaks: DataFrame, rules: tuple = PAIRS) -> DataFrame:
     """id, rule_id, matching_j, shift_1, shift_2: the first two peaks, by their places, that share a coupling within the
     tolerance; the coupling is the least mean. Peaks of a sample meet inside one row, so one exchange by sample does."""
-    entry = F.struct("pos", "shift", "integration", "J")
-    out = None
-    for rule, (area_1, mults_1), (area_2, mults_2), tolerance, j_tolerance, *_ in rules:
-        side = lambda a, m: F.array_sort(F.collect_list(F.when(matches(a, m, tolerance), entry)))  # noqa: B023, E731
-        both = peaks.groupBy("id").agg(side(area_1, mults_1).alias("a"), side(area_2, mults_2).alias("b")).where("size(a) > 0 and size(b) > 0")
-
-        def mean(x: Column, y: Column, tol: float = j_tolerance) -> Column:
-            found = F.flatten(F.transform(x["J"], lambda p: F.transform(F.filter(y["J"], lambda q: F.abs(p - q) <= tol), lambda q: (p + q) / 2.0)))
-            return F.array_min(found)
-
-        pairs = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: F.struct(mean(x, y).alias("j"), x["shift"].alias("shift_1"), y["shift"].alias("shift_2")))))
-        first = both.select("id", F.get(F.filter(pairs, lambda p: p["j"].isNotNull()), 0).alias("p")).where("p is not null")
-        found = first.select("id", F.lit(rule).alias("rule_id"), F.bround("p.j", 3).alias("matching_j"), "p.shift_1", "p.shift_2")
-        out = found if out is None else out.unionByName(found)
-    return out
+    rows = peaks.groupBy("id").agg(*pair_sides(rules)).select("id", *(first_pair(r).alias(r[0]) for r in rules))
+    return _found(rows, [(r[0], F.col(r[0]).isNotNull(), F.col(r[0])) for r in rules]).select("id", "rule_id", "value.*")
 
 
 def signal_counts(shifts: DataFrame, formulas: DataFrame) -> DataFrame:
@@ -160,27 +179,53 @@ def signal_counts(shifts: DataFrame, formulas: DataFrame) -> DataFrame:
 
 def analyze(samples: DataFrame, h_peaks: DataFrame, c_shifts: DataFrame, *, include_formula: bool = True, library: Library = DEFAULT) -> DataFrame:
     """Evidence of all samples, a row each: id, rule_order, rule_id, category, conclusion, confidence, strength, human_tip,
-    metadata (JSON). samples: id, formula."""
+    metadata (JSON). samples: id, formula, a row a sample; samples with peaks alone have evidence too.
+
+    Each table of peaks is aggregated once, for all rules together, so one exchange by sample does for it; the joins by
+    sample need no other.
+    """
     spark = samples.sparkSession
-    texts = F.broadcast(library.described(spark))
-    regions = region_evidence(h_peaks, library.h_regions).unionByName(region_evidence(c_shifts, library.c_regions))
-    found = regions.select("id", "rule_id", F.to_json(F.struct(F.col("shifts").alias("matching_shifts_ppm"))).alias("metadata"))
-    singles = single_peaks(h_peaks, library.singles)
-    found = found.unionByName(singles.select("id", "rule_id", F.to_json(F.struct(F.col("shift").alias("shift_ppm"), "integration", "multiplicity")).alias("metadata")))
-    pairs = paired_multiplets(h_peaks, library.pairs)
-    found = found.unionByName(pairs.select("id", "rule_id", F.to_json(F.struct(F.col("matching_j").alias("matching_j_hz"), F.array("shift_1", "shift_2").alias("shifts_ppm"))).alias("metadata")))
-    names = ["id", "rule_order", "rule_id", "category", "conclusion", "confidence", "strength", "human_tip", "metadata"]
-    found = found.join(texts, "rule_id").select(*names)
-    if not include_formula:
-        return found
-    formulas = samples.select("id", F.trim("formula").alias("formula"), parsing.dbe(F.col("formula")).alias("dbe"))
-    base = lambda order, rule, category, conclusion, confidence, strength, tip, meta: (F.col("id"), F.lit(order).alias("rule_order"), F.lit(rule).alias("rule_id"), F.lit(category).alias("category"), conclusion.alias("conclusion"), F.lit(confidence).alias("confidence"), F.lit(strength).alias("strength"), F.lit(tip).alias("human_tip"), F.to_json(meta).alias("metadata"))
-    text = F.concat(F.lit("Molecular formula "), "formula", F.lit(" gives DBE = "), parsing.general(F.col("dbe")), F.lit("."))
-    given = formulas.where("dbe is not null").select(*base(0, "FORMULA_DBE_001", "formula", text, 1.0, "hard", FORMULA_TIP, F.struct("formula", "dbe")))
-    counts = signal_counts(c_shifts, samples).where("feasible")
-    text = F.concat(F.lit("The "), F.col("observed").cast("string"), F.lit(" distinct 13C signals are compatible with the "), F.col("carbons").cast("string"), F.lit(" carbons in the supplied formula."))
-    count = counts.select(*base(1, "C13_SIGNAL_COUNT_001", "cross_spectrum", text, 0.85, "moderate", COUNT_TIP, F.struct(F.col("observed").alias("observed_c13_signals"), F.col("carbons").alias("formula_carbon_count"))))
-    return given.unionByName(count).unionByName(found)
+    h = h_peaks.groupBy(F.col("id").alias("h_id")).agg(*region_lists(library.h_regions), *first_peaks(library.singles), *pair_sides(library.pairs))
+    signals = F.size(F.collect_set(F.bround("shift", 3))).alias("observed")
+    c = c_shifts.groupBy(F.col("id").alias("c_id")).agg(signals, *region_lists(library.c_regions))
+    rows = h.join(c, F.col("h_id") == F.col("c_id"), "full").withColumn("peaks_id", F.coalesce("h_id", "c_id"))
+    own = [
+        F.trim("formula").alias("formula"),
+        parsing.dbe(F.col("formula")).alias("dbe"),
+        parsing.element_count(parsing.formula_tokens(F.col("formula")), "C").alias("carbons"),
+    ]
+    if include_formula:
+        rows = rows.join(samples.select("id", *own), F.col("peaks_id") == F.col("id"), "full").withColumn("id", F.coalesce("id", "peaks_id"))
+    else:
+        rows = rows.withColumn("id", F.col("peaks_id"))
+    rows = rows.withColumns({r[0]: first_pair(r) for r in library.pairs})
+    json = lambda **fields: F.to_json(F.struct(*(v.alias(k) for k, v in fields.items())))
+    entries = [(r[0], F.size(r[0]) > 0, json(matching_shifts_ppm=F.col(r[0]))) for r in (*library.h_regions, *library.c_regions)]
+    for r in library.pairs:
+        p = F.col(r[0])
+        entries.append((r[0], p.isNotNull(), json(matching_j_hz=p["matching_j"], shifts_ppm=F.array(p["shift_1"], p["shift_2"]))))
+    for r in library.singles:
+        p = F.col(r[0])
+        entries.append((r[0], p.isNotNull(), json(shift_ppm=p["shift"], integration=p["integration"], multiplicity=p["multiplicity"])))
+    texts = library.described(spark)
+    said = F.lit(None).cast("string")
+    if include_formula:
+        observed, carbons = F.col("observed"), F.col("carbons")
+        entries.append(("FORMULA_DBE_001", F.col("dbe").isNotNull(), json(formula=F.col("formula"), dbe=F.col("dbe"))))
+        entries.append(("C13_SIGNAL_COUNT_001", (carbons > 0) & (observed <= carbons), json(observed_c13_signals=observed, formula_carbon_count=carbons)))
+        given = [(0, "FORMULA_DBE_001", "formula", "", 1.0, "hard", FORMULA_TIP), (1, "C13_SIGNAL_COUNT_001", "cross_spectrum", "", 0.85, "moderate", COUNT_TIP)]
+        texts = texts.select("rule_order", "rule_id", "category", "conclusion", "confidence", "strength", "human_tip").unionByName(
+            spark.createDataFrame(given, "rule_order int, rule_id string, category string, conclusion string, confidence double, strength string, human_tip string")
+        )
+        said = F.when(F.col("rule_id") == "FORMULA_DBE_001", F.concat(F.lit("Molecular formula "), F.col("formula"), F.lit(" gives DBE = "), parsing.general(F.col("dbe")), F.lit("."))).when(
+            F.col("rule_id") == "C13_SIGNAL_COUNT_001",
+            F.concat(F.lit("The "), observed.cast("string"), F.lit(" distinct 13C signals are compatible with the "), carbons.cast("string"), F.lit(" carbons in the supplied formula.")),
+        )
+    held = [F.when(ok, F.struct(F.lit(rule).alias("rule_id"), value.alias("metadata"))) for rule, ok, value in entries]
+    kept = ["formula", "dbe", "carbons", "observed"] if include_formula else []
+    found = rows.select("id", *kept, F.explode(F.array_compact(F.array(*held))).alias("x")).select("id", *kept, "x.*")
+    found = found.join(F.broadcast(texts), "rule_id").withColumn("conclusion", F.coalesce(said, F.col("conclusion")))  # a row a rule
+    return found.select("id", "rule_order", "rule_id", "category", "conclusion", "confidence", "strength", "human_tip", "metadata")
 
 
 def warnings(samples: DataFrame, h_peaks: DataFrame, c_shifts: DataFrame) -> DataFrame:

@@ -92,7 +92,14 @@ def w5_nested_prefix(spark, d):
     return manifest.nested_subsets(_ordered(spark, d), [100, 500])
 
 
-@query()
+@query(f"""with recursive {A.MANIFEST}, keyed as (select *, coalesce(nullif(canonical_smiles, ''), id) structure from qc),
+g as (select structure, count(*) n, row_number() over (order by sha256('3407:' || structure), structure) rn from keyed group by 1),
+want as (select round_even(sum(n) * 0.1, 0)::bigint val, round_even(sum(n) * 0.1, 0)::bigint test from g),
+fold(rn, v, t, split) as (select 0::bigint, 0::bigint, 0::bigint, '' union all
+  select rn, v + case when split = 'val' then n else 0 end, t + case when split = 'test' then n else 0 end, split from (
+    select g.rn, g.n, f.v, f.t, case when f.v / val::double <= f.t / test::double then case when f.v < val then 'val' else 'train' end
+      else case when f.t < test then 'test' else 'train' end end split from fold f join g on g.rn = f.rn + 1, want) x)
+select k.id, k.canonical_smiles, f.split from keyed k join g on k.structure = g.structure join fold f on f.rn = g.rn""")
 def w6_grouped_split(spark, d):
     return manifest.grouped_splits(_qc(spark, d)).select("id", "canonical_smiles", "split")
 

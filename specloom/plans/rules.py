@@ -98,7 +98,25 @@ def j9_theta_self_join(spark, d):
     return rules.paired_multiplets(A.h_peaks(spark, d), WIDE)
 
 
-@query()
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+TEXTS = ", ".join(f"('{r[0]}', {rules.DEFAULT.order[r[0]]}, '{r[0].split('_', 1)[0].lower()}', {_quoted(r[-4])}, {r[-3]}::double, '{r[-2]}')" for r in (*rules.H_REGIONS, *rules.C_REGIONS, *rules.PAIRS, *rules.SINGLES))
+_HIT = """select p.id, r.rule_id, '{"matching_shifts_ppm":[' || string_agg(p.shift::varchar, ',' order by p.shift) || ']}' metadata from """
+
+
+@query(f"""with {A.H_PEAKS}, {A.C_SHIFTS}, {TOKENS}, known(rule_id, rule_order, category, conclusion, confidence, strength) as (values {TEXTS}),
+rh(o, rule_id, low, high) as (values {_values(rules.H_REGIONS)}), rc(o, rule_id, low, high) as (values {_values(rules.C_REGIONS)}),
+seen as (select id, count(distinct round(shift * 1000)) observed from c_shifts group by 1),
+found as ({_HIT} h_peaks p join rh r on p.shift between r.low and r.high group by 1, 2 union all {_HIT} c_shifts p join rc r on p.shift between r.low and r.high group by 1, 2
+  union all select id, rule_id, '{{"shift_ppm":' || shift || ',"integration":' || integration || ',"multiplicity":"' || m || '"}}' from ({SINGLE.replace("min(pos)::int pos", "arg_min(multiplicity, pos) m")}) s
+  union all select id, rule_id, '{{"matching_j_hz":' || matching_j || ',"shifts_ppm":[' || shift_1 || ',' || shift_2 || ']}}' from ({PAIR}) q)
+select f.id, rule_order, rule_id, category, conclusion, confidence, strength, metadata from found f join known using (rule_id)
+union all select d.id, 0, 'FORMULA_DBE_001', 'formula', 'Molecular formula ' || trim(t.formula) || ' gives DBE = ' || regexp_replace(d.v::varchar, '[.]0$', '') || '.', 1.0::double, 'hard',
+  '{{"formula":"' || trim(t.formula) || '","dbe":' || d.v || '}}' from dbes d join tok t on d.id = t.id where d.v >= 0
+union all select s.id, 1, 'C13_SIGNAL_COUNT_001', 'cross_spectrum', 'The ' || observed || ' distinct 13C signals are compatible with the ' || c || ' carbons in the supplied formula.', 0.85::double, 'moderate',
+  '{{"observed_c13_signals":' || observed || ',"formula_carbon_count":' || c || '}}' from seen s join counts k on s.id = k.id where c > 0 and observed <= c""")
 def r8_evidence(spark, d):
     return rules.analyze(A.formulas(spark, d), A.h_peaks(spark, d), A.c_shifts(spark, d)).select("id", "rule_order", "rule_id", "category", "conclusion", "confidence", "strength", "metadata")
 
