@@ -51,8 +51,16 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in the application's part of the shared folder, which is deleted when the application ends."""
+    sc = spark.sparkContext
+    top = f"{checkpoint_root(spark).rstrip('/')}/specloom-{sc.applicationId}"
+    if getattr(sc, "_specloom_folder", None) != top:
+        path = sc._jvm.org.apache.hadoop.fs.Path(top)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        sc._specloom_folder = top
+    return f"{top}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -60,4 +68,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._specloom_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what cut() wrote for df, which nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df._specloom_path)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
