@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import os
-import re
 import sys
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -15,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 import specloom
+from specloom.operators.order import cut, discard, shared_folder  # noqa: F401  the operators' helpers
 
 
 def ship(spark: SparkSession) -> None:
@@ -71,33 +70,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only a local master, as in tests, may do without."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        sc = spark.sparkContext
-        current = sc._jsc.sc().getCheckpointDir()
-        if current.isDefined():
-            return current.get()
-        if not re.match(r"local(\[[^,\]]*\])?$", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = "/tmp/checkpoints/specloom"
-    return root
-
-
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: the lineage ends here and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = shared_folder(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, whatever tasks it runs."""
     return sys.modules["pyspark"].__dict__.setdefault("_specloom_cache", {}).setdefault(name, {})
@@ -111,9 +83,19 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 
 def file_system(path: str):
-    """pyarrow's file system for a qualified path, and the path in it. For Python workers."""
+    """pyarrow's file system for a qualified path, and the path in it. For Python workers.
+
+    Archives and indexes are read by range, which Spark's readers don't offer, so the shared folder must be one that pyarrow
+    opens as well: a mounted folder (file), hdfs, s3 (s3a is the same store) or gs. Any other scheme raises.
+    """
     from pyarrow import fs
 
-    if path.startswith("file:"):
-        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
-    return fs.FileSystem.from_uri(path)
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }:{rest}")
+
+
+def vocabulary_bytes(spark: SparkSession, path: str):
+    """The bytes of a vocabulary file, read by the driver and broadcast, so that workers need no such path."""
+    return spark.sparkContext.broadcast(Path(path).read_bytes())

@@ -123,7 +123,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = common.cut(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        last, edges = edges, common.cut(least.select("u", F.col("m").alias("v")).unionByName(small).distinct(), "edges")
+        common.discard(last)
         now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges

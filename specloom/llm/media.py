@@ -45,14 +45,15 @@ def section(table_id: int, number: int, body: bytes) -> bytes:
     return head + body + crc_mpeg(head + body).to_bytes(4, "big")
 
 
-def table_packet(pid: int, data: bytes) -> bytes:
-    head = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10, 0])
+def table_packet(pid: int, data: bytes, counter: int) -> bytes:
+    head = bytes([SYNC, 0x40 | pid >> 8, pid & 0xFF, 0x10 | counter, 0])
     return (head + data).ljust(PACKET, b"\xff")
 
 
-_TABLES = table_packet(PAT_PID, section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))) + table_packet(
-    PMT_PID, section(2, 1, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([STREAM_TYPE]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\0")
-)
+_PAT = section(0, 1, (1).to_bytes(2, "big") + (0xE000 | PMT_PID).to_bytes(2, "big"))
+_PMT = section(2, 1, (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\0" + bytes([STREAM_TYPE]) + (0xE000 | STREAM_PID).to_bytes(2, "big") + b"\xf0\0")
+#: Both tables, for each value of their packets' counters.
+_TABLES = [table_packet(PAT_PID, _PAT, n) + table_packet(PMT_PID, _PMT, n) for n in range(16)]
 
 
 def timestamp(ticks: int, prefix: int) -> bytes:
@@ -64,16 +65,18 @@ def timestamp(ticks: int, prefix: int) -> bytes:
 def mux(payload: bytes) -> bytes:
     """A transport stream with one program and one stream; each access unit is an elementary packet with its time.
 
-    The first of every INTERVAL access units is a random-access point: its packet carries the flag and a clock reference.
-    Tables come first. Any payload fits, the empty one too.
+    The first of every INTERVAL access units is a random-access point: the tables come before it and its packet carries the
+    flag, so a reader can begin there. Every access unit carries a clock reference. Any payload fits, the empty one too.
     """
-    out = [_TABLES]
+    out = [] if payload else [_TABLES[0]]
     counter = 0
     for k, at in enumerate(range(0, len(payload), UNIT * UNITS)):
         unit = payload[at : at + UNIT * UNITS]
         pes = b"\0\0\1" + bytes([STREAM_ID]) + (len(unit) + 8).to_bytes(2, "big") + b"\x84\x80\x05" + timestamp(k * TICKS, 2) + unit
-        adaptation = b"\x50" + (k * TICKS << 15 & (1 << 48) - 1 | 0x7E00).to_bytes(6, "big") if k % INTERVAL == 0 else b""
-        room = PACKET - 4 - (len(adaptation) + 1 if adaptation else 0)
+        if k % INTERVAL == 0:
+            out.append(_TABLES[k // INTERVAL % 16])
+        adaptation = (b"\x10" if k % INTERVAL else b"\x50") + (k * TICKS << 15 & (1 << 48) - 1 | 0x7E00).to_bytes(6, "big")
+        room = PACKET - 4 - (len(adaptation) + 1)
         full = max(0, (len(pes) - room) // (PACKET - 4))
         rest = len(pes) - room - full * (PACKET - 4)
         sizes = np.full(1 + full + (rest > 0), PACKET - 4, np.int64)
@@ -188,13 +191,13 @@ def demux(data: bytes) -> Parsed:
                 continue
             yield s
 
-    for s in table(PAT_PID, 0):
+    for s in dict.fromkeys(table(PAT_PID, 0)):  # tables are repeated
         for k in range(8, len(s) - 4, 4):
             number, at = int.from_bytes(s[k : k + 2], "big"), int.from_bytes(s[k + 2 : k + 4], "big") & 0x1FFF
             if number:
                 parsed.programs[number] = at
     for number, at in parsed.programs.items():
-        for s in table(at, 2):
+        for s in dict.fromkeys(table(at, 2)):
             k = 12 + (int.from_bytes(s[10:12], "big") & 0xFFF)
             while k + 5 <= len(s) - 4:
                 parsed.streams.setdefault(int.from_bytes(s[k + 1 : k + 3], "big") & 0x1FFF, Stream(s[k], number))

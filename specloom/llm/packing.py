@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import zlib
 from collections.abc import Iterator
@@ -69,10 +70,10 @@ class WordEncoder:
     A hit counts only if the word found has the same code points; a text with any other goes through the tokenizer itself.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_buffer(data)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b <= 0xFF]
         rest = [b for b in range(256) if b not in plain]
@@ -146,11 +147,11 @@ class WordEncoder:
         return self.hashes[np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)] == hashes
 
 
-def encoder(path: str) -> WordEncoder:
-    cache = common.worker_cache("encoders")
-    if path not in cache:
-        cache[path] = WordEncoder(path)
-    return cache[path]
+def encoder(data: bytes) -> WordEncoder:
+    cache, key = common.worker_cache("encoders"), hashlib.sha256(data).digest()
+    if key not in cache:
+        cache[key] = WordEncoder(data)
+    return cache[key]
 
 
 def binary_lengths(n: int, largest: int) -> list[int]:
@@ -195,8 +196,10 @@ def pack(
         raise ValueError("max_tokens must be a power of two")
     schema = PIECES + (", ids array<int>" if with_ids else "")
 
+    vocabulary = common.vocabulary_bytes(docs.sparkSession, tokenizer)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(tokenizer)
+        code = encoder(vocabulary.value)
         local = 0
         for batch in batches:
             keys, texts, part = batch.column(0), batch.column(1).to_pylist(), batch.column(2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import struct
 import zlib
@@ -142,13 +143,12 @@ def build(model: Model):
 class Codec:
     """Encodes and decodes batches of texts, with as many threads as the process may use."""
 
-    def __init__(self, path: str, *, threads: int = 1):
-        with open(path, "rb") as f:
-            self.model = parse(f.read())
+    def __init__(self, data: bytes, *, threads: int = 1):
+        self.model = parse(data)
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         self.tokenizer = build(self.model)
-        self.path = path
+        self.data = data
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -160,7 +160,7 @@ class Codec:
         """Both libraries must give the same ids, and the same texts back."""
         import sentencepiece
 
-        own = sentencepiece.SentencePieceProcessor(model_file=self.path)
+        own = sentencepiece.SentencePieceProcessor(model_proto=self.data)
         for text, ids, want in zip(texts, got := self.encode(texts), own.encode(texts), strict=True):
             if ids != want:
                 raise ValueError(f"ids of {text!r} differ: {ids} and {want}")
@@ -169,12 +169,13 @@ class Codec:
                 raise ValueError(f"texts of {ids} differ: {a!r} and {b!r}")
 
 
-def codec(path: str, threads: int) -> Codec:
-    cache = common.worker_cache("codecs")
-    if path not in cache:
-        cache[path] = Codec(path, threads=threads)
-        cache[path].verify(PROBES)
-    return cache[path]
+def codec(data: bytes, threads: int) -> Codec:
+    cache, key = common.worker_cache("codecs"), hashlib.sha256(data).digest()
+    if key not in cache:
+        own = Codec(data, threads=threads)
+        own.verify(PROBES)
+        cache[key] = own
+    return cache[key]
 
 
 def encode(docs: DataFrame, model: str, *, threads: int = 2, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -191,10 +192,12 @@ def encode(docs: DataFrame, model: str, *, threads: int = 2, doc_id: str = "doc_
     schema += ", ids array<int>, decoded string" if with_ids else ""
     names = [x.split()[0] for x in schema.split(", ")]
 
+    held = common.vocabulary_bytes(docs.sparkSession, model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from specloom.llm.packing import chunks
 
-        own = codec(model, threads)
+        own = codec(held.value, threads)
         kinds = np.array([p[2] for p in own.model.pieces])
         for batch in batches:
             texts = batch.column(1).to_pylist()

@@ -6,6 +6,7 @@ import base64
 import bisect
 import hashlib
 import json
+import math
 import re
 import uuid
 import zlib
@@ -23,6 +24,8 @@ from specloom.llm import common
 #: Lines of an index block, bytes of an archive file, bytes of an archive that one fetching task reads, and the largest gap
 #: between records that is read over rather than jumped.
 BLOCK_LINES, FILE_BYTES, FETCH_BYTES, GAP = 2000, 1 << 30, 8 << 20, 1 << 16
+#: A payload is hot if more than one in so many copied rows have it.
+HOT = 1000
 DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LEVEL = 6
@@ -112,15 +115,20 @@ def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str =
     """Archives every row, and returns the manifest: key, page, file, offset, length and type of each record.
 
     Of rows with equal payloads the one with the smallest page_id is a response, others revisit it. Payloads are compressed
-    into records before the shuffle by digest, and revisits drop them after it. Each task writes files of its own with
-    unique names; only those of tasks that succeeded are in the manifest, so lost or repeated tasks leave no trace in it.
+    into records before the shuffle by digest. Digests of more than one in HOT rows are broadcast (HOT at most), so that
+    their copies drop the payload before the shuffle and spread over all tasks; other revisits drop it after. Each task
+    writes files of its own with unique names; only those of tasks that succeeded are in the manifest, so lost or repeated
+    tasks leave no trace in it, just files that nothing refers to.
     """
     spark = pages.sparkSession
     folder = common.qualified(spark, folder)
     body = F.coalesce(F.col(html), F.lit(""))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), body.cast("binary").alias("payload"))
     key = F.sha1("payload").alias("sha1")
-    groups = rows.groupBy(key).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    groups = rows.groupBy(key).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = common.cut(groups, "digests")
+    total = groups.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hot = groups.where(F.col("n") > max(1, total // HOT)).select("sha1", F.col("first").alias("hot_first"), F.lit(True).alias("hot"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +141,15 @@ def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], names=["page_id", "url", "sha1", "size", "member"])
 
     made = common.arrow_map(rows.withColumn("sha1", key), make, "page_id long, url string, sha1 string, size long, member binary")
-    joined = made.join(groups, "sha1", "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    joined = joined.select("page_id", "url", "sha1", "size", F.when(again, F.lit(None)).otherwise(F.col("member")).alias("member"), "first")
+    other_than = lambda first: ~F.col("page_id").eqNullSafe(F.col(first))
+    made = made.join(F.broadcast(hot), "sha1", "left")  # HOT rows at most
+    made = made.withColumn("member", F.when(F.col("hot") & other_than("hot_first"), F.lit(None)).otherwise(F.col("member")))
+    # copies of a hot payload are decided, and go anywhere
+    made = made.withColumn("at", F.when(F.col("hot"), F.concat(F.lit("hot:"), F.xxhash64("page_id", "url").cast("string"))).otherwise(F.col("sha1")))
+    joined = made.join(groups.where(F.col("n") <= max(1, total // HOT)).select(F.col("sha1").alias("at"), "first"), "at", "left")
+    joined = joined.withColumn("first", F.when(F.col("hot"), F.col("hot_first")).otherwise(F.col("first"))).withColumn("copied", F.coalesce("hot", F.col("first").isNotNull()))
+    member = F.when(F.col("copied") & other_than("first"), F.lit(None)).otherwise(F.col("member")).alias("member")
+    joined = joined.select("page_id", "url", "sha1", "size", member, "first")
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = common.file_system(folder)
@@ -291,12 +305,23 @@ def lookup(spark: SparkSession, wanted: DataFrame, folder: str, parts: list[dict
     return common.arrow_map(rows, run, _MANIFEST)
 
 
-def fetch(spark: SparkSession, lines: DataFrame, folder: str, *, with_payload: bool = False) -> DataFrame:
-    """The records at the given places, read by range: neighbours in a file are read at once. Responses must match their digest."""
+def fetch_tasks(spark: SparkSession, size: int) -> int:
+    """Tasks that read so many bytes of archives: one for each FETCH_BYTES, or the shuffle's partitions if they are more and
+    each still has a few bytes to read."""
+    return max(1, math.ceil(size / FETCH_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // GAP))
+
+
+def fetch(spark: SparkSession, lines: DataFrame, folder: str, size: int, *, with_payload: bool = False) -> DataFrame:
+    """The records at the given places, read by range: neighbours in a file are read at once. Responses must match their digest.
+
+    size: bytes of the records in all, which sets the number of tasks; the table of places is far smaller than they are.
+    """
     folder = common.qualified(spark, folder)
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
     names = [x.split()[0] for x in schema.split(", ")]
-    rows = lines.select("file", "offset", "length").repartition(F.col("file"), F.floor(F.col("offset") / FETCH_BYTES)).sortWithinPartitions("file", "offset")
+    tasks = fetch_tasks(spark, size)
+    chunk = max(GAP, min(FETCH_BYTES, size // (4 * tasks)))  # some chunks a task, so that tasks are even
+    rows = lines.select("file", "offset", "length").repartition(tasks, F.col("file"), F.floor(F.col("offset") / chunk)).sortWithinPartitions("file", "offset")
 
     def spans(rows: list[tuple[str, int, int]]) -> Iterator[list[tuple[str, int, int]]]:
         own: list[tuple[str, int, int]] = []
@@ -352,4 +377,5 @@ def archive_and_read(pages: DataFrame, *, page_id: str = "page_id", url: str = "
             yield pa.RecordBatch.from_arrays([pa.array([surt(u) for u in batch.column(0).to_pylist()], pa.string()), batch.column(1)], names=["surt", "page_id"])
 
     wanted = common.arrow_map(pages.select(F.col(url).cast("string").alias("url"), F.col(page_id).cast("long").alias("page_id")), keys, "surt string, page_id long")
-    return fetch(spark, lookup(spark, wanted, folder, parts), folder, with_payload=with_payload)
+    size = manifest.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    return fetch(spark, lookup(spark, wanted, folder, parts), folder, size, with_payload=with_payload)

@@ -1,5 +1,6 @@
 import hashlib
 import os
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -19,6 +20,37 @@ def test_transport_stream_round_trip(n):
     assert s.times == [k * media.TICKS for k in range(units)] and s.random == [k % media.INTERVAL == 0 for k in range(units)]
 
 
+def test_streams_can_be_entered_at_their_random_access_points():
+    payload = os.urandom(media.UNIT * media.UNITS * media.INTERVAL * 20 + 7)
+    stream = media.mux(payload)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    tables = [i for i, p in enumerate(packets) if p[1] & 0x1F == 0 and p[2] == media.PAT_PID]
+    points = [i for i, p in enumerate(packets) if p[1] & 0x40 and p[3] & 0x20 and p[4] and p[5] & 0x40]
+    assert len(points) == 21 and tables == [i - 2 for i in points]
+    assert [packets[i][3] & 15 for i in tables] == [packets[i + 1][3] & 15 for i in tables] == [k % 16 for k in range(21)]
+    for k in (0, 1, 17, 20):
+        s = media.demux(b"".join(packets[tables[k] :])).streams[media.STREAM_PID]
+        assert s.payload == payload[k * media.INTERVAL * media.UNITS * media.UNIT :] and s.random[0] and s.gaps == 0
+        assert s.times[0] == k * media.INTERVAL * media.TICKS
+    clocks = [i for i, p in enumerate(packets) if p[3] & 0x20 and p[4] and p[5] & 0x10]
+    assert len(clocks) == len(s.times) + 20 * media.INTERVAL  # one for each access unit
+
+
+def test_media_query_equals_plain_python(spark, data):
+    import zlib
+
+    from specloom.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    rows = queries.op7_media(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        raw = (texts[r.doc_id] or "").encode()
+        full = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
+        assert r.times == [k * 3600 for k in range(-(-len(full) // 9216))] and r.random_access == r.times[::8]
+
+
 def test_faults_are_counted():
     stream = media.mux(os.urandom(40_000))
     packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
@@ -45,11 +77,40 @@ def test_media_of_odd_rows(odd, none):
 
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
+DATA = Path(PATH).read_bytes()
 
 
 def test_parity_with_sentencepiece(spark, data):
     texts = [r.text for r in spark.read.parquet(f"{data}/documents.parquet").select("text").collect()]
-    pieces.Codec(PATH).verify([*texts, *pieces.PROBES])
+    pieces.Codec(DATA).verify([*texts, *pieces.PROBES])
+
+
+def test_pieces_query_equals_sentencepiece(spark, data):
+    import zlib
+
+    import numpy as np
+
+    from specloom.llm import queries
+
+    own = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()}
+    texts = dict(texts.items())
+    rows = queries.op10_pieces(spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = own.encode(texts[r.doc_id])
+        back = own.decode(ids)
+        want = (len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes()), sum(own.is_byte(i) for i in ids), sum(own.is_unknown(i) for i in ids), zlib.crc32(back.encode()), back == texts[r.doc_id])
+        assert (r.n_tokens, r.ids_crc32, r.n_bytes_fallback, r.n_unknown, r.decoded_crc32, r.lossless) == want
+
+
+def test_very_long_texts(spark):
+    text = "Ein langer Text mit Wörtern, die sich wiederholen. " * 40_000 + "x" * 100_000
+    rows = spark.createDataFrame([(1, text), (1, text)], "doc_id long, text string")
+    a, b = media.store(rows).collect()
+    assert a == b and a.n_bytes == len(text.encode())
+    a, b = pieces.encode(rows, PATH).collect()
+    assert a == b and a.lossless and a.n_tokens == len(sentencepiece.SentencePieceProcessor(model_file=PATH).encode(text))
 
 
 def small_unigram(**fields):
@@ -76,7 +137,7 @@ def test_unigram_models_too(tmp_path, single):
     path = tmp_path / "m.model"
     path.write_bytes(small_unigram(single=single))
     own = sentencepiece.SentencePieceProcessor(model_file=str(path))
-    codec = pieces.Codec(str(path))
+    codec = pieces.Codec(path.read_bytes())
     texts = ["ab", "aba bab", "ab  ba", " a ", "xyz", "é b", ""]
     assert codec.encode(texts) == own.encode(texts)
     assert codec.decode(codec.encode(texts)) == own.decode(own.encode(texts))

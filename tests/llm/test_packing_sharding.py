@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 from specloom.llm import packing, queries, sharding, textkit
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
+DATA = Path(PATH).read_bytes()
 
 
 def reference():
@@ -27,7 +29,7 @@ def test_words_are_told_apart(monkeypatch):
     texts += ["a bb ccc dddd", "words that collide with each other", "日本語 𝒳𝒴 naïve", ""]
 
     def check():
-        ids, offsets = packing.WordEncoder(PATH).encode(texts)
+        ids, offsets = packing.WordEncoder(DATA).encode(texts)
         want = reference().encode_batch(texts, add_special_tokens=False)
         assert all(ids[offsets[i] : offsets[i + 1]].tolist() == w.ids for i, w in enumerate(want))
 
@@ -43,7 +45,7 @@ def test_ids_equal_the_library():
     signs = list(" \n\t'strevdlmABé1½!.,  日<|endoftext|>")
     texts = ["", " ", "a  ", "it's we'll I'd 'start ''s '", "x's", "can't\n\n  foo \n bar", "<|endoftext|>", "a" * 5000]
     texts += ["".join(rng.choice(signs, rng.integers(0, 40))) for _ in range(3000)]
-    ids, offsets = packing.WordEncoder(PATH).encode(texts)
+    ids, offsets = packing.WordEncoder(DATA).encode(texts)
     want = reference().encode_batch(texts, add_special_tokens=False)
     assert all(ids[offsets[i] : offsets[i + 1]].tolist() == w.ids for i, w in enumerate(want))
 
@@ -68,7 +70,7 @@ def test_added_tokens_are_one_id(spark):
     for key, text in enumerate(texts):
         own = sorted((r.start, r.ids) for r in rows if r.doc_id == key)
         assert sum((ids for _, ids in own), []) == [*tok.encode(text, add_special_tokens=False).ids, 0]
-    assert packing.WordEncoder(PATH).encode([])[1].tolist() == [0]
+    assert packing.WordEncoder(DATA).encode([])[1].tolist() == [0]
 
 
 def test_binary_lengths():
