@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,7 +17,7 @@ from specloom.llm import common, textkit
 #: Words of a shingle, least similarity, and the least chance that a pair of just that similarity becomes a candidate.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Members and n-grams of a block of a large candidate group; two blocks are compared at once.
-BLOCK_MEMBERS, BLOCK_GRAMS = 512, 1_000_000
+BLOCK_MEMBERS, BLOCK_GRAMS = 256, 1_000_000
 _INCIDENCE = 4096
 
 
@@ -109,6 +110,77 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = low
 
 
+class Members:
+    """Members of a block: names, n-gram sets, band hashes and counts of copies."""
+
+    def __init__(self, names: list[bytes], grams: list[np.ndarray], marks: np.ndarray, copies: np.ndarray):
+        self.names, self.grams, self.marks, self.copies = names, grams, marks, copies
+
+    def packed(self) -> bytes:
+        """The sets as steps through the list of all their n-grams: near copies take the same steps, which compress well."""
+        every = np.unique(np.concatenate(self.grams))
+        steps = [np.diff(np.searchsorted(every, g), prepend=0).astype(np.uint32) for g in self.grams]
+        size = np.asarray([len(g) for g in self.grams], np.int64)
+        head = np.asarray([len(self.names), len(every), self.marks.shape[1]], np.int64)
+        return zlib.compress(b"".join(x.tobytes() for x in (head, size, self.copies, every, self.marks, *steps)) + b"".join(self.names), 1)
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Members:
+        data = zlib.decompress(data)
+        at = 0
+
+        def take(kind, n: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, n, at)
+            at += out.nbytes
+            return out
+
+        n, every, bands = take(np.int64, 3).tolist()
+        size, copies, grams = take(np.int64, n), take(np.int64, n), take(np.uint64, every)
+        marks = take(np.int64, n * bands).reshape(n, bands)
+        sets = [grams[np.cumsum(take(np.uint32, k), dtype=np.int64)] for k in size.tolist()]
+        return cls([data[at + 16 * k : at + 16 * k + 16] for k in range(n)], sets, marks, copies)
+
+    def __add__(self, other: Members) -> Members:
+        return Members(self.names + other.names, self.grams + other.grams, np.concatenate([self.marks, other.marks]), np.concatenate([self.copies, other.copies]))
+
+    def links(self, side: np.ndarray, band: int, threshold: float, *, apart: bool) -> list[pa.Array]:
+        """Members with links, the first member of the component of each, and the links' number."""
+        linked = verify_group(self.grams, self.marks, side, band, threshold, apart=apart)
+        links, root = linked @ self.copies, roots(linked)
+        has = np.flatnonzero(linked.any(1))
+        return [pa.array([self.names[k] for k in has], pa.binary()), pa.array([self.names[root[k]] for k in has], pa.binary()), pa.array(links[has], pa.int64())]
+
+
+def within(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links inside a block; and the block, packed, if its group has others."""
+    band, key, i, blocks = (group.column(c)[0].as_py() for c in ("band", "hash", "i", "blocks"))
+    names = group.column("member").to_pylist()
+    first = {m: k for k, m in reversed(list(enumerate(names)))}  # a repeated row gives its set twice
+    pick = sorted(first.values(), key=names.__getitem__)
+    group = group.take(pa.array(pick))
+    own = Members([names[k] for k in pick], [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()], np.asarray(group.column("bands").to_pylist(), np.int64), np.asarray(group.column("copies"), np.int64))
+    columns = own.links(np.zeros(len(pick), bool), band, threshold, apart=False)
+    n = len(columns[0])
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+    names = ["u", "v", "links", "band", "hash", "i", "blocks", "packed"]
+    if n:
+        yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(n, t) for t in types)], names=names)
+    if blocks > 1:
+        row = (None, None, None, band, key, i, blocks, own.packed())
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, [pa.binary(), pa.binary(), pa.int64(), *types], strict=True)], names=names)
+
+
+def between(group: pa.Table, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Links from one of two blocks of a group to the other; a block without members is not there."""
+    if group.num_rows < 2:
+        return
+    band, (a, b) = group.column("band")[0].as_py(), (Members.unpacked(x) for x in group.column("packed").to_pylist())
+    columns = (a + b).links(np.arange(len(a.names) + len(b.names)) < len(a.names), band, threshold, apart=True)
+    if len(columns[0]):
+        yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "links"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Smallest vertex of each vertex's component, by alternating large-star and small-star; columns u, v of edges.
 
@@ -147,8 +219,9 @@ def similar(
     n_links (other rows at least as similar as the threshold), n_shingles, keeper (the row is its class's first).
 
     Rows of equal sets become one member with a count, so copies are never expanded. Members shuffle on band hashes.
-    Buckets with the same members are merged; each is compared within itself, large ones in pairs of blocks. A pair counts
-    in the first band that it shares. Only sums and a forest of links leave a comparison, never all pairs; no candidate is
+    Buckets with the same members are merged; each is compared within itself, large ones in blocks and pairs of blocks. Sets
+    travel once for each block they are in; what meets in pairs are blocks packed to little more than one of their sets, if
+    they hold near copies. A pair counts in the first band that it shares. Only sums and a forest of links leave a comparison, never all pairs; no candidate is
     left out.
 
     A null text is empty; empty texts have the empty set and are copies of each other. A text of fewer than n words is one
@@ -206,32 +279,16 @@ def similar(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(column, pa.binary())], names=["member", "bands", "copies", "grams"])
 
     sets = common.arrow_map(texts.select("member", "bands", "copies", "text"), gather, "member binary, bands array<long>, copies long, grams binary")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = inside.select("member", "band", "hash", "own", other)
-    dealt = dealt.select("band", "hash", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "member")
-
-    def compare(group: pa.Table) -> Iterator[pa.RecordBatch]:
-        band, i, j = (group.column(c)[0].as_py() for c in ("band", "i", "j"))
-        names = group.column("member").to_pylist()
-        first = {m: k for k, m in reversed(list(enumerate(names)))}  # a repeated row gives its set twice
-        pick = sorted(first.values(), key=names.__getitem__)
-        if len(pick) < 2:
-            return
-        group = group.take(pa.array(pick))
-        names = group.column("member").to_pylist()
-        grams = [np.frombuffer(x, np.uint64) for x in group.column("grams").to_pylist()]
-        marks = np.asarray(group.column("bands").to_pylist(), np.int64)
-        linked = verify_group(grams, marks, np.asarray(group.column("own")) == i, band, threshold, apart=i != j)
-        links = linked @ np.asarray(group.column("copies"), np.int64)
-        root = roots(linked)
-        has = np.flatnonzero(linked.any(1))
-        if len(has):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[k] for k in has], pa.binary()), pa.array([names[root[k]] for k in has], pa.binary()), pa.array(links[has])], names=["u", "v", "links"]
-            )
-
-    found = common.by_group(dealt.join(sets, "member"), ["band", "hash", "i", "j"], compare, "u binary, v binary, links long")
-    found = common.cut(found, "links")
+    first = "u binary, v binary, links long"
+    dealt = inside.select("band", "hash", F.col("own").alias("i"), "blocks", "member").join(sets, "member")
+    # what blocks found within themselves, and those that have others to meet, packed
+    met = common.cut(common.by_group(dealt, ["band", "hash", "i"], lambda g: within(g, threshold), f"{first}, band int, hash long, i int, blocks int, packed binary"), "blocks")
+    found = met.where("u is not null").select("u", "v", "links")
+    other = F.explode(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: j != F.col("i"))).alias("other")
+    pairs = met.where("packed is not null").select("band", "hash", "i", other, "packed")
+    pairs = pairs.select("band", "hash", F.least("i", "other").alias("i"), F.greatest("i", "other").alias("j"), F.col("i").alias("own"), "packed")
+    across = common.by_group(pairs, ["band", "hash", "i", "j"], lambda g: between(g, threshold), first)
+    found = common.cut(found.unionByName(across), "links")
     label = components(found.select("u", "v"))
     links = found.groupBy(F.col("u").alias("member")).agg(F.sum("links").alias("links"))
     members = members.select("member", "first", "copies").join(links, "member", "left").join(label.withColumnRenamed("u", "member"), "member", "left")
