@@ -16,8 +16,13 @@ from specloom.llm import common
 EDITS, MIN_CHARS = 2, 20
 #: For all lines: those with a visible sign are held against equal ones, and edits may be a fifth of a line.
 ALL_LINES = {"min_chars": 5 * EDITS, "exact_chars": 1}
+#: A document of whose visible signs at least this share repeats the lines of one other document is a copy, as similar as
+#: near duplicates must be.
+COPY_SHARE = 0.8
 #: A sign that isn't blank.
 VISIBLE = r"[^ \t\n\f\r\x0b]"
+#: Signs that are blank.
+BLANKS = " \t\n\f\r\x0b"
 #: A line is hot if it makes up more than one in so many lines; there can't be more hot lines than that.
 HOT = 1000
 
@@ -148,6 +153,11 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return F.when(near, F.transform(F.array(F.struct(signs(a).alias("a"), signs(b).alias("b"))), run)[0]).otherwise(F.lit(False))
 
 
+def visible(text: Column) -> Column:
+    """How many signs of a text aren't blank."""
+    return F.char_length(F.translate(text, BLANKS, ""))
+
+
 class Lines:
     """The lines of a table that take part, and the decisions on them."""
 
@@ -187,7 +197,8 @@ class Lines:
         return found.where("low = high and n > 0 and first is not null and mark is not null and line is not null").select("id", "first", "n", "mark", "line")
 
     def later(self) -> DataFrame:
-        """Ids of distinct lines that are within the edits of a line whose first place comes before theirs."""
+        """Ids of distinct lines that are within the edits of a line whose first place comes before theirs, and the first of
+        these places as source."""
         lines = self.distinct()
         # length, then keys, are columns of their own, so that each is computed once a line and not in every use
         line, n = F.col("line"), F.col("n_chars")
@@ -211,25 +222,34 @@ class Lines:
         a, b = F.col("line_a"), F.col("line_b")
         pairs = pairs.where(F.when(counts_near(a, b, self.edits), within(a, b, self.edits)).otherwise(F.lit(False)))
         # two lines can't share a first place, unless different documents share an id; then the smaller hash stays
-        return pairs.select(F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+        gone = F.when(F.col("first_a") > F.col("first_b"), F.col("a")).otherwise(F.col("b")).alias("id")
+        return pairs.groupBy(gone).agg(F.min(F.least("first_a", "first_b")).alias("source"))
 
-    def dropped(self) -> DataFrame:
+    def dropped(self, *, shares: bool = False) -> DataFrame:
         """Places of the lines to drop: doc_id, text_hash, and the positions in the document.
 
-        Decisions on hot lines are broadcast (HOT at most), those on others joined by hash.
+        With shares, copied is the number of visible signs in the dropped lines that come from one other document, of the
+        document that gives most. Decisions on hot lines are broadcast (HOT at most), those on others joined by hash.
         """
         later = self.later().withColumn("later", F.lit(True))
         decided = self.distinct().select("id", "first", "n").join(later, "id", "left")
-        decided = decided.where("n > 1 or later").select("id", "first", F.coalesce("later", F.lit(False)).alias("later"), "n")
+        decided = decided.where("n > 1 or later").select("id", "first", F.coalesce("later", F.lit(False)).alias("later"), "n", F.coalesce("source", "first").alias("source"))
         decided = common.cut(decided, "lines")
-        places = self.lines.select("doc_id", "text_hash", "pos", "id")
+        places = self.lines.select("doc_id", "text_hash", "pos", "id", *([visible(F.col("line")).alias("signs")] if shares else []))
+        kept = ["doc_id", "text_hash", "pos"]
+        if shares:
+            kept += ["signs", F.floor(F.col("source") / F.lit(1 << 31).cast("decimal(11,0)")).cast("long").alias("source")]
         total = decided.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         hot = F.broadcast(decided.where(F.col("n") > total / HOT).drop("n"))
         cool = decided.where(F.col("n") <= total / HOT).drop("n")
         goes = F.col("later") | (self.place() != F.col("first"))
-        found = places.join(hot, "id").where(goes).select("doc_id", "text_hash", "pos")
-        found = found.unionByName(places.join(hot.select("id"), "id", "left_anti").join(cool, "id").where(goes).select("doc_id", "text_hash", "pos"))
-        return found.distinct().groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
+        found = places.join(hot, "id").where(goes).select(*kept)
+        found = found.unionByName(places.join(hot.select("id"), "id", "left_anti").join(cool, "id").where(goes).select(*kept)).distinct()
+        if not shares:
+            return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("pos")).alias("dropped"))
+        foreign = F.when(F.col("source") != F.coalesce("doc_id", F.lit((1 << 63) - 1)), F.col("signs")).otherwise(0)
+        found = found.groupBy("doc_id", "text_hash", "source").agg(F.collect_list("pos").alias("some"), F.sum(foreign).alias("copied"))
+        return found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.flatten(F.collect_list("some"))).alias("dropped"), F.max("copied").alias("copied"))
 
 
 def decisions(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -257,18 +277,22 @@ def _with_dropped(rows: DataFrame, dropped: DataFrame) -> DataFrame:
     return keyed(rows).join(found, ["__k", "__n", "text_hash"], "left").drop("__k", "__n").withColumn("dropped", F.coalesce("dropped", F.array().cast("array<int>")))
 
 
-def clean(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, exact_chars: int | None = None, copy_share: float | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines that decisions() drops, with all their columns.
 
-    A document that loses lines and keeps none that is visible goes. One that loses none is left as it is, null texts too.
+    A document that loses lines and keeps none that is visible goes. So does, with a copy_share, one of whose visible signs
+    at least that share goes as lines of one other document (the first that has them): what is left of a near copy is a
+    shred, not a document. One that loses no line is left as it is, null texts too.
     """
     own = Lines(docs, edits=edits, min_chars=min_chars, exact_chars=exact_chars, doc_id=doc_id, text=text)
     names = docs.columns
     rows = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key, body = F.col(f"c{names.index(doc_id)}").cast("long"), F.col(f"c{names.index(text)}")
     rows = rows.withColumns({"doc_id": key, "text_hash": F.xxhash64(F.coalesce(body, F.lit("")))})
-    rows = _with_dropped(rows, own.dropped())
+    rows = _with_dropped(rows, own.dropped(shares=copy_share is not None))
     kept = F.array_join(F.filter(F.split(body, "\n"), lambda _, i: ~F.array_contains(F.col("dropped"), i)), "\n")
     rows = rows.withColumn("text", F.when(F.size("dropped") > 0, kept).otherwise(body))
     rows = rows.where((F.size("dropped") == 0) | F.col("text").rlike(r"\S"))
+    if copy_share is not None:
+        rows = rows.where((F.size("dropped") == 0) | (F.col("copied") < F.lit(copy_share) * visible(body)))
     return rows.select(*((F.col("text") if c == text else F.col(f"c{i}")).alias(c) for i, c in enumerate(names)))

@@ -160,6 +160,22 @@ def test_all_lines_take_part(spark):
     assert kept == {1: rows[0][1], 2: "some more words\n\n\r", 3: "Las."}
 
 
+def test_shreds_of_copies_go(spark):
+    """A near copy of one document goes; one that takes its lines from several, or repeats its own, stays."""
+    body = ["the first line of a longer text", "its second line is about as long", "and a third one ends it for now", "four more words here"]
+    other = ["other lines that are quite long too", "and that nobody else has written yet"]
+    rows = [
+        (1, "\n".join(body)), (2, "\n".join([*body[:3], "own!"])), (3, "\n".join(other)), (4, "\n".join([body[0], other[0], body[1], other[1], "and its own end"])),
+        (5, "\n".join(["again and again the same words"] * 6)), (6, "\n".join([body[0].replace("longer", "larger"), *body[1:3], "Own"])), (7, None), (None, "\n".join([*body, "x"])),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    all_lines = {r.doc_id: r.text for r in linededup.clean(df, **linededup.ALL_LINES).collect()}
+    assert all_lines[2] == "own!" and all_lines[6] == "Own" and all_lines[None] == "x"
+    kept = {r.doc_id: r.text for r in linededup.clean(df, copy_share=linededup.COPY_SHARE, **linededup.ALL_LINES).collect()}
+    assert kept == {1: rows[0][1], 3: rows[2][1], 4: "and its own end", 5: "again and again the same words", 7: None}
+    assert linededup.clean(df.where("false"), copy_share=0.8).count() == 0
+
+
 def test_all_lines_equal_sql(spark, data):
     c = duckdb.connect()
     c.execute(f"create view documents as select * from '{data}/documents.parquet'")
