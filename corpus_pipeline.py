@@ -13,7 +13,7 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return linededup.clean(docs, **linededup.ALL_LINES)
+    return linededup.clean(docs, copy_share=linededup.COPY_SHARE, **linededup.ALL_LINES)
 
 
 def one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
