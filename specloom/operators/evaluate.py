@@ -298,3 +298,8 @@ def aligned(predictions: DataFrame, references: DataFrame, key: str = "id") -> D
     both = predictions.withColumn("__p", F.lit(True)).join(references.withColumn("__r", F.lit(True)), key, "full")
     bad = F.col("__p").isNull() | F.col("__r").isNull()
     return both.withColumn(key, F.when(bad, F.raise_error(F.lit("predictions and references don't have the same keys"))).otherwise(F.col(key))).drop("__p", "__r")
+
+
+def funnel_means(rows: DataFrame, stages: tuple[str, ...], by: str = "run") -> DataFrame:
+    """by, and for each stage of the candidate funnel its mean; what a row lacks counts as 0."""
+    return rows.groupBy(by).agg(*(F.avg(F.coalesce(F.col(s).cast("double"), F.lit(0.0))).alias(s) for s in stages))

@@ -43,6 +43,36 @@ def counters(raw: DataFrame) -> DataFrame:
     return raw.agg(F.count(F.lit(1)).alias("rows"), F.count_if(kept).alias("candidates"), F.count_if(~kept).alias("unsupported"))
 
 
+def _by_structure(raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """Records counted by structure, before they meet its facts: kept (of a supported nucleus), n, and the facts, null for what
+    can't be read. A structure of many records is summed up before the shuffle."""
+    counted = raw.groupBy("smiles", nucleus(F.col("nmr_type")).isNotNull().alias("kept")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(facts.select("smiles", "accepted", "isotopes", "violations"), "smiles", "left")
+
+
+def molecule_counters(raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """One row over all raw records: rows seen, candidates, records of unreadable structures and of unsupported nuclei, and
+    candidates that had isotope labels, with the number of labels. facts: molecule dimension by smiles. 0 without records."""
+    kept, accepted = F.col("kept"), F.coalesce("accepted", F.lit(False))
+    total = lambda when, n=F.col("n"): F.coalesce(F.sum(F.when(when, n)), F.lit(0))
+    labelled = kept & accepted & (F.col("isotopes") > 0)
+    return _by_structure(raw, facts).agg(
+        total(F.lit(True)).alias("rows_seen"),
+        total(kept & accepted).alias("candidate_rows"),
+        total(kept & F.col("accepted").isNull()).alias("invalid_smiles"),
+        total(~kept).alias("unsupported_nmr_rows"),
+        total(labelled).alias("isotope_normalized_rows"),
+        total(labelled, F.col("n") * F.col("isotopes")).alias("isotope_labels_removed"),
+    )
+
+
+def rejections(raw: DataFrame, facts: DataFrame) -> DataFrame:
+    """violation, n: records of supported nuclei that each violation rejects. A record may have several."""
+    why = F.when(F.col("accepted").isNull(), F.array(F.lit("invalid_smiles"))).when(~F.col("accepted"), F.col("violations"))
+    rows = _by_structure(raw, facts).where("kept").select("n", F.explode(why).alias("violation"))
+    return rows.groupBy("violation").agg(F.sum("n").alias("n"))
+
+
 def paired_keys(found: DataFrame) -> DataFrame:
     """Keys that have candidates of both nuclei."""
     both = found.groupBy("mol_key").agg(F.count_if(F.col("nucleus") == "1h").alias("h_count"), F.count_if(F.col("nucleus") == "13c").alias("c_count"))
@@ -90,25 +120,36 @@ def _literal(text: str | None):
         return None
 
 
-def literal_tables(rows: DataFrame, column: str, out: str) -> DataFrame:
+#: Between the couplings of one cell, and the fields of a 1H peak given as a mapping with what a missing one counts as.
+APART = "\x1f"
+H_FIELDS = (("shift", None), ("multiplicity", "s"), ("J", ()), ("integration", 1.0))
+
+
+def literal_tables(rows: DataFrame, column: str, out: str, fields: tuple[tuple[str, object], ...] = ()) -> DataFrame:
     """Adds out: the tuples of a Python-literal text as arrays of arrays of texts, null where it doesn't parse.
 
-    Couplings inside a tuple are joined by ';'. The only step of ingest that needs Python, in Arrow batches.
+    Couplings inside a tuple are joined by APART. With fields, a mapping becomes the tuple of these. The only step of ingest
+    that needs Python, in Arrow batches.
     """
 
     @F.pandas_udf("array<array<string>>")
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def cell(x) -> str | None:
             if isinstance(x, (list, tuple)):
-                return ";".join("" if y is None else str(y) for y in x)
+                return APART.join("" if y is None else str(y) for y in x)
             return None if x is None else str(x)
 
+        def cells(v) -> list[str | None]:
+            if fields and isinstance(v, dict):
+                v = [v.get(name, missing) for name, missing in fields]
+            return [cell(x) for x in (v if isinstance(v, (list, tuple)) else [v])]
+
         def whole(text: str | None):
             value = _literal(text)
             if value is None:
                 return None
             values = value if isinstance(value, (list, tuple)) else [value]
-            return [[cell(x) for x in (v if isinstance(v, (list, tuple)) else [v])] for v in values]
+            return [cells(v) for v in values]
 
         for batch in batches:
             yield batch.map(whole, na_action=None)
@@ -125,7 +166,7 @@ def h_peak(t: Column) -> Column:
 
     def peak(shift: Column, mult: Column, js: Column, area: Column, low_high: Column) -> Column:
         return F.struct(
-            shift.alias("shift"), parsing.multiplicity(mult).alias("multiplicity"), parsing.couplings(F.split(js, ";")).alias("J"), parsing.integration(F.coalesce(area, F.lit("1"))).alias("integration"), low_high.alias("shift_range")
+            shift.alias("shift"), parsing.multiplicity(mult).alias("multiplicity"), parsing.couplings(F.split(js, APART)).alias("J"), parsing.integration(F.coalesce(area, F.lit("1"))).alias("integration"), low_high.alias("shift_range")
         )
 
     ends = F.array(F.least(number(3), number(4)), F.greatest(number(3), number(4)))
@@ -146,7 +187,7 @@ def c_table(tuples: Column) -> Column:
 def samples(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Nested samples of chosen pairs. pairs: mol_key and structs h, c of raw records; facts: molecule dimension by
     canonical. A pair whose table doesn't parse, or whose molecule isn't accepted, gives none."""
-    rows = literal_tables(literal_tables(pairs, "h.processed", "h_raw"), "c.processed", "c_raw")
+    rows = literal_tables(literal_tables(pairs, "h.processed", "h_raw", H_FIELDS), "c.processed", "c_raw")
     rows = rows.where("h_raw is not null and c_raw is not null")
     rows = rows.join(facts.where("accepted").select(F.col("canonical").alias("mol_key"), "formula").distinct(), "mol_key")
     source = lambda s: F.struct(*(F.col(f"{s}.{n}").alias(n) for n in ("filename", "page_mol", "page_para", "location_mol", "location_para")))
@@ -158,3 +199,9 @@ def samples(pairs: DataFrame, facts: DataFrame) -> DataFrame:
         F.struct("c.frequency", "c.solvent", c_table(F.col("c_raw")).alias("peaks")).alias("c13_nmr"),
         F.struct("h.frequency", "h.solvent", h_table(F.col("h_raw")).alias("peaks")).alias("h1_nmr"),
     )
+
+
+def first_samples(made: DataFrame, most: int | None = None) -> DataFrame:
+    """Samples by their canonical structure, at most so many of those that could be made."""
+    ordered = made.orderBy("canonical_smiles")
+    return ordered if most is None else ordered.limit(most)

@@ -194,6 +194,11 @@ def summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def split_sizes(rows: DataFrame) -> DataFrame:
+    """split, n: rows of each split; a missing one is the empty text."""
+    return rows.groupBy(F.coalesce("split", F.lit("")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def top_solvents(rows: DataFrame, k: int = 10) -> DataFrame:
     """The commonest pairs of solvents; ties by name."""
     pairs = rows.groupBy(F.trim("h_solvent").alias("h_solvent"), F.trim("c_solvent").alias("c_solvent")).agg(F.count(F.lit(1)).alias("n"))

@@ -113,7 +113,7 @@ def task_examples(rows: DataFrame, *, labels: tuple[str, ...], stereo: str = "pr
 def with_fallback(rows: DataFrame, sidecar: DataFrame) -> DataFrame:
     """Candidates of each sample, and structure prediction instead of ranking where it has none."""
     rows = rows.join(sidecar.select("id", "candidates"), "id", "left")
-    return rows.withColumn("task", F.when((F.col("task") == RANKING) & F.col("candidates").isNull(), STRUCTURE).otherwise(F.col("task")))
+    return rows.withColumn("task", F.when((F.col("task") == RANKING) & (F.coalesce(F.size("candidates"), F.lit(0)) <= 0), STRUCTURE).otherwise(F.col("task")))
 
 
 def template_index(seed: int, key: Column) -> Column:

@@ -29,12 +29,13 @@ H_TYPE = "struct<frequency:string,solvent:string,peaks:array<struct<shift:double
 SPLIT_ALIASES = {"validation": "val"}
 
 
-def read_raw_csv(spark: SparkSession, path: str, *, max_rows: int | None = None, row_index: str | None = None) -> DataFrame:
+def read_raw_csv(spark: SparkSession, path: str, *, max_rows: int | None = None, row_index: str | None = None, quoted_newlines: bool = True) -> DataFrame:
     """The raw file's known columns as text, renamed. Without a column that numbers the rows, they are numbered in file order.
 
-    Numbering counts rows by partition first and needs a second look at the file; a stored row_index saves it.
+    Numbering counts rows by partition first and needs a second look at the file; a stored row_index saves it. A quoted cell
+    may hold line ends, for which a file is read by one task; quoted_newlines=False splits large files that hold none.
     """
-    header = spark.read.option("header", True).option("multiLine", False).option("escape", '"').csv(path)
+    header = spark.read.option("header", True).option("multiLine", quoted_newlines).option("escape", '"').csv(path)
     rows = header.select(*(F.col(k).alias(v) for k, v in RAW_COLUMNS.items()), *([F.col(row_index).cast("long").alias("row_index")] if row_index else []))
     if row_index is None:
         rows = numbered(rows)
@@ -52,11 +53,12 @@ def numbered(rows: DataFrame, name: str = "row_index") -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON lines without the blank ones."""
+    """JSON lines without the blank ones. A line that isn't JSON stops the job, as it would otherwise be a row of nulls."""
     lines = spark.read.text(path).where(F.trim("value") != "")
+    strict = {"mode": "FAILFAST"}
     if schema is None:
-        return spark.read.json(path)
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+        return spark.read.options(**strict).json(path)
+    return lines.select(F.from_json("value", schema, strict).alias("r")).select("r.*")
 
 
 def carbon_shifts(value: Column) -> Column:

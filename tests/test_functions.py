@@ -44,6 +44,12 @@ def test_peak_tuples(spark):
     assert (c.shift, c.J, c.shift_range) == (3.68, [3.8], [3.68, 3.68])
 
 
+def test_peaks_given_as_mappings(spark):
+    rows = spark.createDataFrame([("[{'shift': '3.6 ppm', 'multiplicity': 'quint', 'J': ['7;1 Hz', 6], 'integration': '2H'}, {'shift': 1}, {'J': 7}, {}]",)], "processed string")
+    got = rows.transform(I.literal_tables, "processed", "t", I.H_FIELDS).select(I.h_table(F.col("t"))).first()[0]
+    assert [(p.shift, p.multiplicity, p.J, p.integration) for p in got] == [(3.6, "p", [7.0, 6.0], 2.0), (1.0, "s", [], 1.0)]
+
+
 def test_peak_table(spark):
     peaks = [(3.65, "q", [7.0], 2.0), (1.18, "t", [7.0], 3.0), (2.0, "brs", [], 1.0)]
     row = spark.createDataFrame([(peaks, [58.1, 18.2])], "h array<struct<shift:double,multiplicity:string,J:array<double>,integration:double>>, c array<double>")

@@ -143,3 +143,26 @@ def test_tasks_and_masks(spark):
     assert (got["c"].reject, got["d"].reject, got["e"].reject) == ("target_not_in_candidates", "unsupported_task", "invalid_target")
     mask = spark.createDataFrame([([10, 11, 12, 13],)], "ids array<int>").select(tasks.response_mask(F.col("ids"), F.lit(2), F.lit(2))).first()[0]
     assert mask == [-100, -100, 12, 13]
+
+
+def test_counters_of_records_and_structures(spark):
+    raw = spark.createDataFrame([("CCO", "1H NMR")] * 5 + [("[13CH3]CO", "13C")] * 2 + [("C.C", "1H"), ("nope", "1H"), (None, "1H"), ("nope", "19F"), ("CCO", None)], "smiles string, nmr_type string")
+    facts = chemistry.facts(raw)
+    assert ingest.molecule_counters(raw, facts).first()[:] == (12, 7, 2, 2, 2, 2)
+    assert {tuple(r) for r in ingest.rejections(raw, facts).collect()} == {("multiple_components", 1), ("invalid_smiles", 2)}
+    none = raw.limit(0)
+    assert ingest.molecule_counters(none, facts).first()[:] == (0,) * 6 and ingest.rejections(none, facts).count() == 0
+
+
+def test_ranking_without_candidates_falls_back(spark):
+    rows = spark.createDataFrame([(i, tasks.RANKING) for i in range(3)] + [(3, tasks.GROUPS)], "id int, task string")
+    sidecar = spark.createDataFrame([(0, ["a"]), (1, [])], "id int, candidates array<string>")
+    got = {r.id: r.task for r in tasks.with_fallback(rows, sidecar).collect()}
+    assert got == {0: tasks.RANKING, 1: tasks.STRUCTURE, 2: tasks.STRUCTURE, 3: tasks.GROUPS}
+
+
+def test_sizes_of_splits_and_means_of_the_funnel(spark):
+    rows = spark.createDataFrame([("a", "train", 4), ("b", "train", None), ("a", None, 1)], "run string, split string, raw int")
+    assert {tuple(r) for r in manifest.split_sizes(rows).collect()} == {("train", 2), ("", 1)}
+    assert {tuple(r) for r in evaluate.funnel_means(rows, ("raw",)).collect()} == {("a", 2.5), ("b", 0.0)}
+    assert [r.canonical_smiles for r in ingest.first_samples(rows.withColumnRenamed("run", "canonical_smiles"), 2).collect()] == ["a", "a"]

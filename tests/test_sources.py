@@ -41,3 +41,20 @@ def test_sinks_and_logs(spark, tmp_path):
     assert log.columns == ["step", "loss", "lr"] and log.count() == 2
     T.write_report({"b": {2, 1}, "a": (1,)}, tmp_path / "r.json")
     assert '"b": [\n    1,' in (tmp_path / "r.json").read_text()
+
+
+def test_quoted_newlines_stay_in_their_cell(spark, tmp_path):
+    names = list(T.RAW_COLUMNS)
+    rest = ["x"] * (len(names) - 2)
+    (tmp_path / "raw.csv").write_text("\n".join([",".join(names), ",".join(["f0", '"C\nC"', *rest]), ",".join(["f1", '"say ""C"""', *rest])]) + "\n")
+    rows = T.read_raw_csv(spark, str(tmp_path / "raw.csv"))
+    assert [(r.filename, r.smiles, r.row_index) for r in rows.orderBy("row_index").collect()] == [("f0", "C\nC", 0), ("f1", 'say "C"', 1)]
+
+
+@pytest.mark.parametrize("schema", ["id string, v int", None])
+def test_a_malformed_json_line_stops_the_job(spark, tmp_path, schema):
+    (tmp_path / "a.jsonl").write_text('{"id":"a","v":1}\n\n{"id":"b"}\n')
+    assert sorted((r.id, r.v) for r in T.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema).collect()) == [("a", 1), ("b", None)]
+    (tmp_path / "a.jsonl").write_text('{"id":"a","v":1}\n{"id":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        T.read_jsonl(spark, str(tmp_path / "a.jsonl"), schema).collect()
