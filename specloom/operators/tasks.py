@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,14 +165,17 @@ def last_assistant(rows: DataFrame) -> DataFrame:
 
 
 def tokenize(rows: DataFrame, column: str, tokenizer: str, out: str = "ids", *, length: int | None = None, pad: int = 0) -> DataFrame:
-    """Adds token ids by a tokenizer file of the tokenizers library, cut and padded to a length if one is given."""
-    import pandas as pd
+    """Adds token ids by a tokenizer file of the tokenizers library, cut and padded to a length if one is given. A null text is
+    empty. The driver reads the file, and tasks get its content, so that executors need no such path."""
+    content = rows.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text(encoding="utf-8"))  # a vocabulary, whatever the rows
 
     @F.pandas_udf("array<int>")
-    def run(texts: pd.Series) -> pd.Series:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         from tokenizers import Tokenizer
 
-        return pd.Series([e.ids for e in Tokenizer.from_file(tokenizer).encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
+        own = Tokenizer.from_str(content.value)
+        for texts in batches:
+            yield pd.Series([e.ids for e in own.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)])
 
     rows = rows.withColumn(out, run(F.col(column)))
     if length is None:

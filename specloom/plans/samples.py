@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.functions import chemistry, parsing
+from specloom.functions import chemistry, outputs, parsing
 from specloom.operators import evaluate, ingest, manifest, tasks
 from specloom.plans import adapters as A
 from specloom.plans import curation
@@ -210,3 +210,25 @@ select r.id, task, reject, case when reject is not null then null when task = '{
   else '{{"smiles":"' || target || '"}}' end target from r join part on r.id = p_partkey""")
 def g1_task_examples(spark, d):
     return tasks.task_examples(tasks.with_fallback(*_task_rows(spark, d)), labels=GROUPS_OFFERED)
+
+
+# Predictions are the reference in another writing (as JSON, or bare), or another molecule in a fenced block.
+READ = "heavy is not null"
+LIKE = f"(id % 3 < 2 and {READ} or id % 3 = 2 and coalesce(stereo, false))"
+
+
+@query(f"""with {TRUE_OF}, m as (select *, {READ} or id % 3 = 2 valid, {LIKE} same_skeleton from t)
+select id, valid valid_smiles, id % 3 < 2 and {READ} exact_match, same_skeleton connectivity_exact_match, same_skeleton formula_match, coalesce(stereo, false) reference_stereo, coalesce(ring, '') <> '' ring_scaffold_applicable,
+  case when coalesce(ring, '') <> '' then same_skeleton end ring_scaffold_match, valid and (not same_skeleton or parts = 1) is_single_component, valid and (not same_skeleton or charge = 0) is_neutral,
+  valid and (not same_skeleton or radicals = 0) has_no_radicals, valid and (not same_skeleton or isotopes = 0) has_no_isotope_labels, valid and (not same_skeleton or violations not like 'unsupported%') has_only_allowed_elements,
+  valid and (not same_skeleton or violations = '' and isotopes = 0) domain_valid_smiles, case when id % 3 < 2 then ({READ})::int::double end tanimoto_of_equal from m""")
+def m1_row_evaluator(spark, d):
+    """The evaluator on the real kernel: one row of metrics for each prediction."""
+    k = F.col("p_partkey")
+    of = lambda i: A.pick(k % len(STRUCTURES), tuple(s[i] for s in STRUCTURES))
+    text = F.when(k % 3 == 0, F.to_json(F.struct(of(1).alias("smiles")))).when(k % 3 == 1, of(1)).otherwise(F.concat(F.lit("```smiles\n"), of(2), F.lit("\n```")))
+    rows = A.table(spark, d, "part").select(k.alias("id"), text.alias("prediction"), of(0).alias("reference"))
+    every = rows.select(F.explode(F.array(outputs.final_smiles(F.col("prediction")), F.col("reference"))).alias("smiles"))
+    got = evaluate.evaluate(rows, chemistry.facts(every))
+    names = ("valid_smiles", "exact_match", "connectivity_exact_match", "formula_match", "reference_stereo", "ring_scaffold_applicable", "ring_scaffold_match", *evaluate.DOMAIN_FLAGS)
+    return got.select("id", *names, F.when(F.col("id") % 3 < 2, F.col("tanimoto")).alias("tanimoto_of_equal"))

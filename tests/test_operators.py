@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from specloom.functions import chemistry
@@ -166,3 +167,13 @@ def test_sizes_of_splits_and_means_of_the_funnel(spark):
     assert {tuple(r) for r in manifest.split_sizes(rows).collect()} == {("train", 2), ("", 1)}
     assert {tuple(r) for r in evaluate.funnel_means(rows, ("raw",)).collect()} == {("a", 2.5), ("b", 0.0)}
     assert [r.canonical_smiles for r in ingest.first_samples(rows.withColumnRenamed("run", "canonical_smiles"), 2).collect()] == ["a", "a"]
+
+
+def test_tokens_by_a_vocabulary_file(spark, tmp_path):
+    tokenizers = pytest.importorskip("tokenizers")
+    own = tokenizers.Tokenizer(tokenizers.models.WordLevel({"?": 0, "a": 1, "b": 2}, unk_token="?"))
+    own.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    own.save(str(tmp_path / "t.json"))
+    rows = spark.createDataFrame([("a b a",), ("c  b",), ("",), (None,), ("a " * 9,)], "t string")
+    assert [r.ids for r in tasks.tokenize(rows, "t", str(tmp_path / "t.json")).collect()] == [[1, 2, 1], [0, 2], [], [], [1] * 9]
+    assert [r.ids for r in tasks.tokenize(rows, "t", str(tmp_path / "t.json"), length=4, pad=7).collect()] == [[1, 2, 1, 7], [0, 2, 7, 7], [7] * 4, [7] * 4, [1] * 4]
