@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specloom.llm import ann, common, extraction, jaccard, linededup, media, packing, pieces, quality, sharding, sql, warc
+from specloom.llm import ann, collocation, common, exact, extraction, jaccard, linededup, media, packing, pieces, quality, sharding, sql, trie, warc
 
 
 def vocabulary(name: str) -> str:
@@ -63,5 +63,17 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(common.table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op3_all_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(common.table(spark, sf_dir, "documents"))
+
+
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.decisions(common.table(spark, sf_dir, "documents"))
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(common.table(spark, sf_dir, "conversations")).drop("position", "subtree_end")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op3_all_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces, op11_phrases, op12_exact, op13_trie)}
 SQL: dict[str, str] = sql.SQL
