@@ -25,7 +25,7 @@ DEPTH, LEAST = 4, 30
 #: A phrase inside a longer one that makes at least so many percent of its occurrences is dropped.
 SHARE = 80
 #: Words whose windows a shard's trie holds, words of a range on average, most ranges, and bytes of text cut into words at once.
-SHARD, RANGE, RANGES, SLICE = 2_000_000, 1_000_000, 1 << 18, 4_000_000
+SHARD, RANGE, RANGES, SLICE = 1_000_000, 2_500_000, 1 << 18, 4_000_000
 #: Texts and windows that are sampled to balance the ranges, about; they decide on nothing else.
 TEXTS, WINDOWS = 2_000, 100_000
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -72,6 +72,15 @@ def byte_slices(text: np.ndarray) -> Iterator[tuple[np.ndarray, bool]]:
         a = b
 
 
+def _sums(group: np.ndarray, counts: np.ndarray | None, n: int) -> np.ndarray:
+    """Exact sums of counts (of rows, if there are none) by group."""
+    if counts is None:
+        return np.bincount(group, minlength=n)
+    out = np.zeros(n, np.int64)
+    np.add.at(out, group, counts)
+    return out
+
+
 class Paths:
     """Sorted distinct paths: a column of words for each depth (null beyond a piece's end), and counts."""
 
@@ -83,7 +92,7 @@ class Paths:
         """Paths of rows of ids (numbers from 1 in words, 0 for none), not sorted; also, for each depth, the number of the
         prefix of each path and the counts of prefixes, in order."""
         order = pc.sort_indices(words).to_numpy()
-        rank = np.zeros(len(words) + 1, np.int64)
+        rank = np.zeros(len(words) + 1, np.int32)
         rank[order + 1] = np.arange(1, len(words) + 1)
         ids = rank[ids]
         node = np.zeros(len(ids), np.int64)
@@ -91,10 +100,10 @@ class Paths:
         totals: list[np.ndarray] = []
         for k in range(DEPTH):
             _, first, node = np.unique(node << np.int64(32) | ids[:, k], return_index=True, return_inverse=True)
-            totals.append(np.bincount(node, counts, len(first)).astype(np.int64))
-            numbers.append(node)
+            totals.append(_sums(node, counts, len(first)))
+            numbers.append(node.astype(np.int32))
         at = first
-        return cls(words.take(pa.array(order)), ids[at].astype(np.int32), totals[-1]), [n[at] for n in numbers], totals
+        return cls(words.take(pa.array(order)), ids[at], totals[-1]), [n[at] for n in numbers], totals
 
     def piece(self, a: int, b: int) -> bytes:
         """The paths from a to b alone, with the words that they use, as compressed bytes."""
@@ -159,10 +168,10 @@ class Shard:
         windows may go on, are kept."""
         words = pa.chunked_array(self.words or [pa.array([], pa.large_binary())]).dictionary_encode().unify_dictionaries()
         vocabulary = words.chunk(0).dictionary if words.num_chunks else pa.array([], pa.large_binary())
-        ids = np.concatenate([c.indices.to_numpy() for c in words.chunks] or [np.zeros(0, np.int32)]).astype(np.int64) + 1
+        ids = np.concatenate([c.indices.to_numpy() for c in words.chunks] or [np.zeros(0, np.int32)]) + np.int32(1)
         piece = np.concatenate(self.pieces or [np.zeros(0, np.int64)])
         n = len(ids) if final else max(len(ids) - (DEPTH - 1), 0)
-        rows = np.zeros((n, DEPTH), np.int64)
+        rows = np.zeros((n, DEPTH), np.int32)
         for k in range(DEPTH):
             m = min(n, len(ids) - k)
             if m > 0:
@@ -234,7 +243,7 @@ def bounds(rows: DataFrame, total: int, words: int) -> dict[str, list[list[bytes
 
 
 def shards(rows: DataFrame, cuts) -> DataFrame:
-    """The tries of all shards (lang and text of rows) in pieces: lang, range, words (counted), piece."""
+    """The tries of all shards (lang and text of rows) in pieces: lang, range, piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
@@ -248,7 +257,7 @@ def shards(rows: DataFrame, cuts) -> DataFrame:
                 at = [0, *(paths.below(c) for c in cuts.value.get(lang, [])), len(paths.ids)]
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     if a < b:
-                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([int(paths.counts[a:b].sum())]), pa.array([paths.piece(a, b)], pa.binary())], names=["lang", "range", "words", "piece"])
+                        yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([paths.piece(a, b)], pa.binary())], names=["lang", "range", "piece"])
             if not final:
                 for lang in [lang for lang, shard in held.items() if not shard.n]:
                     del held[lang]
@@ -261,14 +270,14 @@ def shards(rows: DataFrame, cuts) -> DataFrame:
                         yield from flush(False)
         yield from flush(True)
 
-    return common.arrow_map(rows.select("lang", "text"), run, "lang string, range int, words long, piece binary")
+    return common.arrow_map(rows.select("lang", "text"), run, "lang string, range int, piece binary")
 
 
 def phrases(pieces: DataFrame, cuts, least: int) -> DataFrame:
     """Phrases of merged ranges: lang, phrase (words joined by a space), size, a (count), lefts (counts of its first words;
     null where a range doesn't see all of them), whole (whether its count is all there is).
 
-    Phrases on the path of a range's bound may go on in the next range: they come from each with a part of their count, and
+    A range's number of words comes as a phrase of no words. Phrases on the path of a range's bound may go on in the next range: they come from each with a part of their count, and
     whatever it is.
     """
 
@@ -278,13 +287,13 @@ def phrases(pieces: DataFrame, cuts, least: int) -> DataFrame:
         words = pa.chunked_array([w for w, _, _ in blobs]).dictionary_encode().unify_dictionaries()
         vocabulary, rows = words.chunk(0).dictionary, []
         for c, (_, ids, _) in zip(words.chunks, blobs, strict=True):
-            rows.append(np.append(0, c.indices.to_numpy().astype(np.int64) + 1)[ids])
+            rows.append(np.append(np.int32(0), c.indices.to_numpy() + np.int32(1))[ids])
         paths, numbers, totals = Paths.summed(vocabulary, np.concatenate(rows), np.concatenate([n for _, _, n in blobs]))
         own = cuts.value.get(lang, [])
         edges = [own[i] for i in (k - 1, k) if 0 <= i < len(own)]
         names = ["lang", "phrase", "size", "a", "lefts", "whole"]
         types = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_()]
-        out: list[tuple] = []
+        out: list[tuple] = [(lang, "", 0, int(paths.counts.sum()), [], True)]
         shared = [np.zeros(len(t), bool) for t in totals]
         for edge in edges:
             a, b = 0, len(paths.ids)
@@ -304,10 +313,9 @@ def phrases(pieces: DataFrame, cuts, least: int) -> DataFrame:
                 lefts = [None if shared[e][numbers[e][at]] else int(totals[e][numbers[e][at]]) for e in range(d)]
                 text = b" ".join(paths.vocabulary[int(i) - 1].as_py() for i in paths.ids[at, : d + 1]).decode()
                 out.append((lang, text, d + 1, int(totals[d][node]), lefts, not shared[d][node]))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return common.by_group(pieces.select("lang", "range", "piece"), ["lang", "range"], run, "lang string, phrase string, size int, a long, lefts array<long>, whole boolean")
+    return common.by_group(pieces, ["lang", "range"], run, "lang string, phrase string, size int, a long, lefts array<long>, whole boolean")
 
 
 def _words_of(phrase: Column, first: Column | int, n: Column | int) -> Column:
@@ -371,9 +379,9 @@ def collocations(docs: DataFrame, *, top: int = 2000, least: int = LEAST, share:
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), body.alias("text"))
     total, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     cuts = rows.sparkSession.sparkContext.broadcast(bounds(rows, total, size // 6))
-    pieces = common.cut(shards(rows, cuts), "tries")
-    words = pieces.groupBy("lang").agg(F.sum("words").alias("n"))
-    found = common.cut(phrases(pieces, cuts, least), "phrases")
+    found = common.cut(phrases(shards(rows, cuts), cuts, least), "phrases")
+    words = found.where("size = 0").groupBy("lang").agg(F.sum("a").alias("n"))
+    found = found.where("size > 0")
     scored = common.cut(_scored(found, least, found.count()), "scored")
 
     inside = [F.when(F.col("size") > k, _words_of(F.col("phrase"), i + 1, k)) for k in range(2, DEPTH) for i in range(DEPTH - k + 1)]
