@@ -25,7 +25,7 @@ DEPTH, LEAST = 4, 30
 #: A phrase inside a longer one that makes at least so many percent of its occurrences is dropped.
 SHARE = 80
 #: Words whose windows a shard's trie holds, words of a range on average, most ranges, and bytes of text cut into words at once.
-SHARD, RANGE, RANGES, SLICE = 1_000_000, 2_500_000, 1 << 18, 4_000_000
+SHARD, RANGE, RANGES, SLICE = 500_000, 1_250_000, 1 << 18, 1_000_000
 #: Texts and windows that are sampled to balance the ranges, about; they decide on nothing else.
 TEXTS, WINDOWS = 2_000, 100_000
 _WORD, _BLANK, _BREAK = 0, 1, 2
@@ -258,6 +258,7 @@ def shards(rows: DataFrame, cuts) -> DataFrame:
                 for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                     if a < b:
                         yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([paths.piece(a, b)], pa.binary())], names=["lang", "range", "piece"])
+            pa.default_memory_pool().release_unused()
             if not final:
                 for lang in [lang for lang, shard in held.items() if not shard.n]:
                     del held[lang]
@@ -288,7 +289,9 @@ def phrases(pieces: DataFrame, cuts, least: int) -> DataFrame:
         vocabulary, rows = words.chunk(0).dictionary, []
         for c, (_, ids, _) in zip(words.chunks, blobs, strict=True):
             rows.append(np.append(np.int32(0), c.indices.to_numpy() + np.int32(1))[ids])
-        paths, numbers, totals = Paths.summed(vocabulary, np.concatenate(rows), np.concatenate([n for _, _, n in blobs]))
+        counts = np.concatenate([n for _, _, n in blobs])
+        blobs.clear()
+        paths, numbers, totals = Paths.summed(vocabulary, np.concatenate(rows), counts)
         own = cuts.value.get(lang, [])
         edges = [own[i] for i in (k - 1, k) if 0 <= i < len(own)]
         names = ["lang", "phrase", "size", "a", "lefts", "whole"]
@@ -314,6 +317,7 @@ def phrases(pieces: DataFrame, cuts, least: int) -> DataFrame:
                 text = b" ".join(paths.vocabulary[int(i) - 1].as_py() for i in paths.ids[at, : d + 1]).decode()
                 out.append((lang, text, d + 1, int(totals[d][node]), lefts, not shared[d][node]))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        pa.default_memory_pool().release_unused()
 
     return common.by_group(pieces, ["lang", "range"], run, "lang string, phrase string, size int, a long, lefts array<long>, whole boolean")
 
