@@ -28,6 +28,8 @@ SHARE = 80
 SHARD, RANGE, RANGES, SLICE = 500_000, 1_250_000, 1 << 18, 1_000_000
 #: Texts and windows that are sampled to balance the ranges, about; they decide on nothing else.
 TEXTS, WINDOWS = 2_000, 100_000
+#: Buckets in which a language's phrases are ranked first.
+BUCKETS = 256
 _WORD, _BLANK, _BREAK = 0, 1, 2
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[0x20, 0x09]] = _BLANK
@@ -393,6 +395,10 @@ def collocations(docs: DataFrame, *, top: int = 2000, least: int = LEAST, share:
     parts = F.array_compact(F.array(*(F.when(ok, x) for ok, x in zip(fits, inside, strict=True))))
     longer = scored.where("size > 2").select("lang", F.explode(parts).alias("phrase"), F.col("a").alias("longer")).groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(longer, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < share * F.col("a")))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")).cast("long")
+    best = [F.desc("score"), F.desc("a"), F.col("phrase")]
+    # first in each bucket of a language, so that the last task of a language sees `top` rows of each at most
+    kept = kept.withColumn("bucket", F.pmod(F.xxhash64("phrase"), F.lit(BUCKETS)))
+    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", "bucket").orderBy(*best))).where(F.col("rank") <= top)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(*best)).cast("long")
     kept = kept.withColumn("rank", rank).where(F.col("rank") <= top).join(words, "lang")
     return kept.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -16,6 +16,8 @@ from specloom.llm import common, textkit
 
 #: Words of a shingle, least similarity, and the least chance that a pair of just that similarity becomes a candidate.
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
+#: Sets of so few n-grams are named by both sides of their hashes.
+FEW = 4
 #: Members and n-grams of a block of a large candidate group; two blocks are compared at once.
 BLOCK_MEMBERS, BLOCK_GRAMS = 256, 1_000_000
 _INCIDENCE = 4096
@@ -26,11 +28,16 @@ def choose_bands(threshold: float, recall: float, rows: int = 5) -> tuple[int, i
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
-def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
-    """Sorted distinct hashes of each text's n-grams of words; a shorter text is one shingle of all its words."""
+def shingle_sets(texts: pa.Array, n: int, side: int = 0) -> Iterator[np.ndarray]:
+    """Sorted distinct hashes of each text's n-grams of words; a shorter text is one shingle of all its words.
+
+    There are two sides, made from different halves of the words' digests: members meet by the one and are compared by the
+    other, so that a link needs n-grams which agree in both.
+    """
     for a, b in textkit.slices(texts):
-        words, at = textkit.word_hashes(texts.slice(a, b - a))
-        grams, off = textkit.ngram_hashes(words, at, n)
+        words, at = textkit.word_digests(texts.slice(a, b - a))
+        words = np.ascontiguousarray(words[:, side])
+        grams, off = textkit.ngram_hashes(words, at, n, chained=True)
         for i in range(b - a):
             if off[i] < off[i + 1]:
                 yield np.unique(grams[off[i] : off[i + 1]])
@@ -59,10 +66,11 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int, seed: int) -> np.
     return out
 
 
-def fingerprint(grams: np.ndarray) -> bytes:
-    """128 bits that stand for the set."""
+def fingerprint(grams: np.ndarray, other: np.ndarray | None = None) -> bytes:
+    """128 bits that stand for the set; half of them come from its other side, if that is given."""
+    other = grams if other is None else other
     a = textkit.mix(grams).sum(dtype=np.uint64) + np.uint64(len(grams))
-    b = np.bitwise_xor.reduce(textkit.mix(grams ^ np.uint64(0x5851F42D4C957F2D))) if len(grams) else np.uint64(0)
+    b = np.bitwise_xor.reduce(textkit.mix(other ^ np.uint64(0x5851F42D4C957F2D))) if len(other) else np.uint64(0)
     return np.asarray([a, b], ">u8").tobytes()
 
 
@@ -218,7 +226,7 @@ def similar(
     Returns doc_id, text_hash (with doc_id, the row's identity), class_id (smallest doc_id of its component of links),
     n_links (other rows at least as similar as the threshold), n_shingles, keeper (the row is its class's first).
 
-    Rows of equal sets become one member with a count, so copies are never expanded. Members shuffle on band hashes.
+    Words are named by cryptographic digests. Rows of equal sets become one member with a count, so copies are never expanded. Members shuffle on band hashes.
     Buckets with the same members are merged; each is compared within itself, large ones in blocks and pairs of blocks. Sets
     travel once for each block they are in; what meets in pairs are blocks packed to little more than one of their sets, if
     they hold near copies. A pair counts in the first band that it shares. Only sums and a forest of links leave a comparison, never all pairs; no candidate is
@@ -236,6 +244,10 @@ def similar(
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(shingle_sets(batch.column(2), n))
+            names = [fingerprint(s) for s in sets]
+            few = [i for i, s in enumerate(sets) if 0 < len(s) <= FEW]
+            for i, s in zip(few, shingle_sets(batch.column(2).take(pa.array(few, pa.int64())), n, 1), strict=True):
+                names[i] = fingerprint(sets[i], s)
             marks: list[list[int]] = [[]] * len(sets)
             full = [i for i, s in enumerate(sets) if len(s)]
             size = np.cumsum([len(sets[i]) for i in full])
@@ -247,7 +259,7 @@ def similar(
                     marks[i] = row
                 a = b
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([fingerprint(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
+                [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "member", "n_shingles", "bands"],
             )
 
@@ -275,7 +287,7 @@ def similar(
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = [s.tobytes() for s in shingle_sets(batch.column(3), n)]
+            column = [s.tobytes() for s in shingle_sets(batch.column(3), n, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(column, pa.binary())], names=["member", "bands", "copies", "grams"])
 
     sets = common.arrow_map(texts.select("member", "bands", "copies", "text"), gather, "member binary, bands array<long>, copies long, grams binary")

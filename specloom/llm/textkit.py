@@ -121,18 +121,23 @@ def _byte_classes() -> np.ndarray:
     return cache["bytes"]
 
 
-def word_hashes(texts: pa.Array, *, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the lower-cased words of each text and the offsets of the texts in them; null texts have none.
-
-    Words are maximal runs of letters, digits and characters beyond ASCII; with punctuation, runs of other signs count too.
-    """
+def _words_in(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lower-cased bytes of all texts, the class of each byte, and where texts start (with the end as last entry)."""
     texts = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
-    starts = at - at[0]
-    kinds = _byte_classes()[data]
+    return data, _byte_classes()[data], at - at[0]
+
+
+def word_hashes(texts: pa.Array, *, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the lower-cased words of each text and the offsets of the texts in them; null texts have none.
+
+    Words are maximal runs of letters, digits and characters beyond ASCII; with punctuation, runs of other signs count too.
+    The hashes spread words over buckets; they don't name them (word_digests does).
+    """
+    data, kinds, starts = _words_in(texts)
     begin, end = runs(kinds, starts)
     kind = kinds[begin]
     keep = kind != SPACE if punctuation else kind == LETTER
@@ -142,6 +147,37 @@ def word_hashes(texts: pa.Array, *, punctuation: bool = False) -> tuple[np.ndarr
     return span_hashes(data, begin, end), np.searchsorted(begin, starts)
 
 
+#: Words whose digests a worker keeps.
+KNOWN = 300_000
+
+
+def word_digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit columns of BLAKE2b digests of the lower-cased words of each text, and the offsets of the texts in them.
+
+    Nobody finds two words of one digest, as one can for hashes that are quick to invert. Words are told apart by their
+    bytes before they are hashed, each once a call, and known ones are looked up.
+    """
+    data, kinds, starts = _words_in(texts)
+    begin, end = runs(kinds, starts)
+    keep = kinds[begin] == LETTER
+    begin, end = begin[keep], end[keep]
+    at = np.zeros(len(begin) + 1, np.int64)
+    np.cumsum(end - begin, out=at[1:])
+    letters = data[kinds == LETTER]
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(at), pa.py_buffer(letters)]).dictionary_encode()
+    known = worker_cache("digests")
+    if len(known) > KNOWN:
+        known.clear()
+    found = []
+    for w in words.dictionary.to_pylist():
+        d = known.get(w)
+        if d is None:
+            d = known[w] = hashlib.blake2b(w, digest_size=16).digest()
+        found.append(d)
+    digests = np.frombuffer(b"".join(found), "<u8").reshape(-1, 2)
+    return digests[words.indices.to_numpy()], np.searchsorted(begin, starts)
+
+
 def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Slices of a column of about so many bytes, a text at least."""
     size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
@@ -152,8 +188,11 @@ def slices(texts: pa.Array, most: int = 1_000_000) -> Iterator[tuple[int, int]]:
         k = end
 
 
-def ngram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the n-grams of words within each text, and the offsets of the texts in them."""
+def ngram_hashes(words: np.ndarray, offsets: np.ndarray, n: int, *, chained: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams of words within each text, and the offsets of the texts in them.
+
+    Chained hashes are mixed after each word, so that they aren't sums in which words can make up for each other.
+    """
     count = np.maximum(np.diff(offsets) - (n - 1), 0)
     out = np.zeros(len(offsets), np.int64)
     np.cumsum(count, out=out[1:])
@@ -161,4 +200,6 @@ def ngram_hashes(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.nda
     h = np.zeros(out[-1], np.uint64)
     for k in range(n):
         h = h * np.uint64(_STEP) + words[at + k]
-    return mix(h), out
+        if chained:
+            h = mix(h)
+    return h if chained else mix(h), out

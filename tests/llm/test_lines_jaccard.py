@@ -3,11 +3,12 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specloom.llm import jaccard, linededup, queries
+from specloom.llm import jaccard, linededup, queries, textkit
 
 
 def shingles(text):
@@ -182,3 +183,25 @@ def test_all_lines_equal_sql(spark, data):
     got = sorted(tuple(r) for r in queries.op3_all_lines(spark, data).collect())
     assert got == sorted(c.execute(queries.SQL["op3_all_lines"]).fetchall())
     assert sum(r[2] for r in got) > sum(r.n_dropped for r in queries.op3_lines(spark, data).collect())
+
+
+def test_words_that_share_a_quick_hash(spark):
+    """Two words of one quick hash, made by running its steps backwards, are neither linked nor copies, alone or in a text."""
+    a, b = "botcajhdaaaaadaa", "fpqvuehyzsqzfyhi"
+    assert len(set(textkit.word_hashes(pa.array([a, b]))[0].tolist())) == 1
+    both = textkit.word_digests(pa.array([a, b]))[0]
+    assert both[0, 0] != both[1, 0] and both[0, 1] != both[1, 1]
+    rest = " ".join(f"w{i}" for i in range(3))
+    df = spark.createDataFrame([(1, a), (2, b), (3, f"{a} {rest}"), (4, f"{b} {rest}"), (5, a)], "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard.similar(df).collect()}
+    assert got == {1: (1, 1), 2: (2, 0), 3: (3, 0), 4: (4, 0), 5: (1, 1)}
+    assert {r.doc_id for r in jaccard.keep_one(df).collect()} == {1, 2, 3, 4}
+
+
+def test_a_link_needs_both_sides_of_the_hashes(monkeypatch, spark):
+    """If all words share the side by which members meet, they are compared by the other, and short texts stay apart."""
+    whole = textkit.word_digests
+    monkeypatch.setattr(textkit, "word_digests", lambda texts: (lambda d, at: (np.stack([np.zeros(len(d), np.uint64), d[:, 1]], 1), at))(*whole(texts)))
+    sets = [list(jaccard.shingle_sets(pa.array(["p q r s t", "u v w x y"]), 5, side)) for side in (0, 1)]
+    assert sets[0][0].tolist() == sets[0][1].tolist() and sets[1][0].tolist() != sets[1][1].tolist()
+    assert jaccard.fingerprint(sets[0][0], sets[1][0]) != jaccard.fingerprint(sets[0][1], sets[1][1])
