@@ -117,7 +117,9 @@ def a5_top_solvents(spark, d):
 
 PAIRS = f"""{A.MOLECULES}, uniq as (select formula, smiles, min(id) id from molecules group by 1, 2),
 allp as (select m.id target_id, m.smiles target, m.formula, u.id, u.smiles from molecules m join uniq u on m.formula = u.formula and m.smiles <> u.smiles),
-pool as (select * exclude (r) from (select *, row_number() over (partition by target_id order by sha256('3407:' || target_id || ':' || id), id) r from allp) x where r <= 16)"""
+pool as (select * exclude (r) from (select *, row_number() over (partition by target_id order by sha256('3407:' || target_id || ':' || id), id) r from allp) x where r <= {negatives.POOL})"""
+#: The pool of w7_stable_pool, whose feature the cap is; below most groups' size, so that it shows.
+SMALL = 16
 FACTS = """facts as (select smiles, any_value(ring_scaffold) ring_scaffold, any_value(groups) groups, any_value(bits) bits
   from (select distinct on (smiles) * from molecules order by smiles, id) x group by 1)"""
 SCORED = f"""{PAIRS}, {FACTS}, scored as (select p.*, coalesce(a.ring_scaffold <> '' and a.ring_scaffold = b.ring_scaffold, false) same_ring_scaffold,
@@ -125,10 +127,6 @@ SCORED = f"""{PAIRS}, {FACTS}, scored as (select p.*, coalesce(a.ring_scaffold <
     else len(list_intersect(a.groups, b.groups))::double / len(list_distinct(list_concat(a.groups, b.groups))) end group_jaccard,
   coalesce(len(list_intersect(a.bits, b.bits))::double / nullif(len(a.bits) + len(b.bits) - len(list_intersect(a.bits, b.bits)), 0), 0) tanimoto
   from pool p join facts a on p.target = a.smiles join facts b on p.smiles = b.smiles)"""
-#: The same with the operator's own pool in place of the small one.
-FULL = SCORED.replace("r <= 16", f"r <= {negatives.POOL}")
-#: Negatives pooled before scoring; below most groups' size, so that the cap shows.
-POOL = 16
 
 
 def _facts(spark, d):
@@ -136,12 +134,12 @@ def _facts(spark, d):
     return rows.groupBy("smiles").agg(F.min_by(F.struct("ring_scaffold", "groups", "bits"), "id").alias("f")).select("smiles", "f.*")
 
 
-def _pairs(spark, d, pool=POOL):
+def _pairs(spark, d, pool=negatives.POOL):
     return negatives.formula_pairs(A.molecules(spark, d).select("id", "smiles", "formula"), pool=pool)
 
 
-def _scored(spark, d, pool=POOL):
-    return negatives.scored(_pairs(spark, d, pool), _facts(spark, d))
+def _scored(spark, d):
+    return negatives.scored(_pairs(spark, d), _facts(spark, d))
 
 
 @query(f"with {PAIRS} select target_id, id, formula from allp")
@@ -149,9 +147,9 @@ def j5_formula_pairs(spark, d):
     return negatives.formula_pairs(A.molecules(spark, d).select("id", "smiles", "formula"), pool=1 << 30).select("target_id", "id", "formula")
 
 
-@query(f"with {PAIRS} select target_id, id from pool")
+@query(f"with {PAIRS} select target_id, id from pool".replace(f"r <= {negatives.POOL}", f"r <= {SMALL}"))
 def w7_stable_pool(spark, d):
-    return _pairs(spark, d).select("target_id", "id")
+    return _pairs(spark, d, SMALL).select("target_id", "id")
 
 
 @query(f"with {SCORED} select target_id, id, group_jaccard from scored")
@@ -174,27 +172,6 @@ def w8_hard_negatives(spark, d):
   from scored) x where rank < 8), shown as (select target_id, target s from best union select target_id, smiles from best)
 select target_id id, string_agg(s, ' ' order by sha256('3407:' || target_id || ':' || s), s) candidates from shown group by 1""")
 def w9_display_order(spark, d):
-    rows = A.molecules(spark, d).select("id", "smiles", "formula")
-    return negatives.sidecar(rows, _facts(spark, d), pool=POOL).select("id", F.array_join("candidates", " ").alias("candidates"))
-
-
-@query(f"with {FULL} select target_id, id, group_jaccard from scored")
-def t1_group_jaccard_full(spark, d):
-    return _scored(spark, d, negatives.POOL).select("target_id", "id", "group_jaccard")
-
-
-@query(f"with {FULL} select target_id, id, tanimoto from scored")
-def t6_tanimoto_full(spark, d):
-    return _scored(spark, d, negatives.POOL).select("target_id", "id", "tanimoto")
-
-
-@query(SQL["w8_hard_negatives"].replace(SCORED, FULL))
-def w8_hard_negatives_full(spark, d):
-    return negatives.hardest(_scored(spark, d, negatives.POOL)).select("target_id", "id", "same_ring_scaffold", "rank")
-
-
-@query(SQL["w9_display_order"].replace(SCORED, FULL))
-def w9_display_order_full(spark, d):
     rows = A.molecules(spark, d).select("id", "smiles", "formula")
     return negatives.sidecar(rows, _facts(spark, d)).select("id", F.array_join("candidates", " ").alias("candidates"))
 

@@ -147,31 +147,14 @@ SUPPORTED = " union all ".join(
 )
 
 
-@query(f"""with {A.H_PEAKS}, {A.C_SHIFTS}, both_shifts as (select id, shift h, null::double c from h_peaks union all select id, null, shift from c_shifts),
-checks as (select id, label, coalesce(ok, false) ok from ({SUPPORTED}) x) select id, label, ok from checks where label in ('ketone', 'ester', 'alcohol', 'aldehyde') and (label <> 'ester' or id % 2 = 0)""")
-def r11_group_support(spark, d):
-    h = A.h_peaks(spark, d).groupBy("id").agg(F.collect_list("shift").alias("h"))
-    c = A.c_shifts(spark, d).groupBy("id").agg(F.collect_list("shift").alias("c"))
-    groups = F.array_compact(F.array(F.lit("ketone"), F.lit("alcohol"), F.lit("aldehyde"), F.lit("phenol"), F.when(F.col("id") % 2 == 0, F.lit("ester"))))
-    return h.join(c, "id").select("id", F.explode(rules.group_checks(groups, F.col("h"), F.col("c"))).alias("label", "ok"))
-
-
-@query(f"""with {A.C_SHIFTS}, {TOKENS}, seen as (select id, count(distinct round(shift * 1000)) observed from c_shifts group by 1),
+#: Checks of validity, formula, DBE and signal count.
+CHECKS = f"""with {A.C_SHIFTS}, {TOKENS}, seen as (select id, count(distinct round(shift * 1000)) observed from c_shifts group by 1),
 own as (select t.id, t.formula, t.id % 8 <> 3 valid, case when t.id % 5 = 0 then 'C3H8O' else t.formula end wanted from tok t),
 k as (select o.id, o.valid, trim(o.wanted) <> '' given, coalesce(m.c, 0) c, s.observed, t.fine, d.v, o.wanted = 'C3H8O' and o.id % 5 = 0 other,
     m.c = 3 and m.h = 8 and m.o = 1 and m.n is null and m.x is null is_other from own o join tok t on o.id = t.id left join counts m on o.id = m.id left join dbes d on o.id = d.id left join seen s on o.id = s.id)
 select id, 1 + case when valid and given then 2 else 0 end + case when valid and observed is not null then 1 else 0 end applicable,
   case when valid then 1 else 0 end + case when valid and given and case when other then coalesce(is_other, false) else fine end then 1 else 0 end
-  + case when valid and given and case when other then v = 0 else v >= 0 end then 1 else 0 end + case when valid and observed <= c then 1 else 0 end satisfied from k""")
-def r10_validation(spark, d):
-    rows = A.formulas(spark, d)
-    k = F.col("id")
-    own = rows.select("id", (k % 8 != 3).alias("valid"), "formula", F.when(k % 5 == 0, F.lit("C3H8O")).otherwise(F.col("formula")).alias("wanted"), F.array().cast("array<string>").alias("fragments"))
-    none = rules.analyze(rows, A.h_peaks(spark, d), A.c_shifts(spark, d)).where("false")
-    counts = rules.signal_counts(A.c_shifts(spark, d), rows)
-    return rules.validate(own, none, counts).select("id", "applicable", "satisfied")
-
-
+  + case when valid and given and case when other then v = 0 else v >= 0 end then 1 else 0 end + case when valid and observed <= c then 1 else 0 end satisfied from k"""
 #: Which candidates have a fragment's pattern: those whose id leaves less than the second number, divided by the first.
 PATTERNS = dict(zip(rules.FRAGMENT_CHECKS, ((2, 1), (3, 2), (5, 3), (7, 4)), strict=True))
 
@@ -179,9 +162,9 @@ PATTERNS = dict(zip(rules.FRAGMENT_CHECKS, ((2, 1), (3, 2), (5, 3), (7, 4)), str
 @query(f"""with {A.H_PEAKS}, pattern(rule_id, m, below) as (values {", ".join(f"('{r}', {m}, {b})" for r, (m, b) in PATTERNS.items())}),
 detected as (select id, rule_id from ({SINGLE}) s union all select id, rule_id from ({PAIR}) q),
 hit as (select id, count(*) a, count(*) filter (id % m < below) s from detected join pattern using (rule_id) where id % 8 <> 3 group by 1),
-base as ({SQL["r10_validation"]})
+base as ({CHECKS})
 select b.id, b.applicable + coalesce(h.a, 0) applicable, b.satisfied + coalesce(h.s, 0) satisfied from base b left join hit h on b.id = h.id""")
-def r10_validation_full(spark, d):
+def r10_validation(spark, d):
     rows, k = A.formulas(spark, d), F.col("id")
     fragments = F.array_compact(F.array(*(F.when(k % m < below, F.lit(r)) for r, (m, below) in PATTERNS.items())))
     own = rows.select("id", (k % 8 != 3).alias("valid"), "formula", F.when(k % 5 == 0, F.lit("C3H8O")).otherwise(F.col("formula")).alias("wanted"), fragments.alias("fragments"))
@@ -192,7 +175,7 @@ def r10_validation_full(spark, d):
 
 @query(f"""with {A.H_PEAKS}, {A.C_SHIFTS}, both_shifts as (select id, shift h, null::double c from h_peaks union all select id, null, shift from c_shifts)
 select id, label, coalesce(ok, false) ok from ({SUPPORTED}) x""")
-def r11_group_support_full(spark, d):
+def r11_group_support(spark, d):
     h = A.h_peaks(spark, d).groupBy("id").agg(F.collect_list("shift").alias("h"))
     c = A.c_shifts(spark, d).groupBy("id").agg(F.collect_list("shift").alias("c"))
     groups = F.array(*(F.lit(g) for g in (*(s[0] for s in rules.SUPPORT), "phenol")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from specloom.sources import files, quoted_csv
+
 # Columns of the raw file and the names they get.
 RAW_COLUMNS = {
     "Filename": "filename",
@@ -29,16 +31,17 @@ H_TYPE = "struct<frequency:string,solvent:string,peaks:array<struct<shift:double
 SPLIT_ALIASES = {"validation": "val"}
 
 
-def read_raw_csv(spark: SparkSession, path: str, *, max_rows: int | None = None, row_index: str | None = None, quoted_newlines: bool = True) -> DataFrame:
-    """The raw file's known columns as text, renamed. Without a column that numbers the rows, they are numbered in file order.
+def read_raw_csv(spark: SparkSession, path: str, *, max_rows: int | None = None, row_index: str | None = None, size: int | None = None) -> DataFrame:
+    """The raw file's known columns as text, renamed, and row_index: a column that numbers the rows, or their place in the file.
 
-    Numbering counts rows by partition first and needs a second look at the file; a stored row_index saves it. A quoted cell
-    may hold line ends, for which a file is read by one task; quoted_newlines=False splits large files that hold none.
+    Quoted cells may hold line ends; a file is read by as many tasks as it has ranges of `size` bytes (see quoted_csv). Only
+    ranges with the first max_rows rows are parsed, if rows are numbered by their place.
     """
-    header = spark.read.option("header", True).option("multiLine", quoted_newlines).option("escape", '"').csv(path)
-    rows = header.select(*(F.col(k).alias(v) for k, v in RAW_COLUMNS.items()), *([F.col(row_index).cast("long").alias("row_index")] if row_index else []))
-    if row_index is None:
-        rows = numbered(rows)
+    columns = RAW_COLUMNS | ({row_index: "given"} if row_index else {})
+    rows = quoted_csv.read(spark, path, columns, max_rows=None if row_index else max_rows, size=size or files.RANGE)
+    if not row_index:
+        return rows
+    rows = rows.withColumn("row_index", F.col("given").cast("long")).drop("given")
     return rows if max_rows is None else rows.where(F.col("row_index") < max_rows)
 
 
@@ -129,11 +132,6 @@ def union_logs(frames: list[DataFrame], first: tuple[str, ...] = ("step", "epoch
     return out.select(*(c for c in first if c in out.columns), *sorted(c for c in out.columns if c not in first))
 
 
-def at_position(rows: DataFrame, position: int, name: str = "position") -> DataFrame:
-    """The row at a place, by a stored position: Parquet's statistics skip all other row groups."""
-    return rows.where(F.col(name) == position)
-
-
 def load_yaml(path: str | Path) -> dict:
     import yaml
 

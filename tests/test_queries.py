@@ -38,17 +38,16 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-def test_full_pool_scores_all_pairs(spark):
+def test_the_pool_scores_all_pairs(spark):
     pairs = {(r.target_id, r.id) for r in catalogue.QUERIES["j5_formula_pairs"](spark, DATA).collect()}
-    for name in ("t1_group_jaccard_full", "t6_tanimoto_full"):
+    for name in ("t1_group_jaccard", "t6_tanimoto"):
         assert {(r.target_id, r.id) for r in catalogue.QUERIES[name](spark, DATA).collect()} == pairs
-    small, full = ({tuple(r) for r in catalogue.QUERIES[f"w8_hard_negatives{end}"](spark, DATA).collect()} for end in ("", "_full"))
-    assert len(small) == len(full) and small != full
+    assert {(r.target_id, r.id) for r in catalogue.QUERIES["w7_stable_pool"](spark, DATA).collect()} < pairs
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_all_checks_of_rules_run(spark):
-    small, full = ({r.id: (r.applicable, r.satisfied) for r in catalogue.QUERIES[f"r10_validation{end}"](spark, DATA).collect()} for end in ("", "_full"))
-    more = {(full[i][0] - small[i][0], full[i][1] - small[i][1]) for i in small}
-    assert {(0, 0), (1, 0), (1, 1)} <= more
-    assert catalogue.QUERIES["r11_group_support_full"](spark, DATA).select("label").distinct().count() == 12
+    """Four checks at most without those of fragments; some candidates have more, and all labels are offered."""
+    found = {(r.applicable, r.satisfied) for r in catalogue.QUERIES["r10_validation"](spark, DATA).collect()}
+    assert max(a for a, _ in found) > 4 and any(0 < s < a for a, s in found)
+    assert catalogue.QUERIES["r11_group_support"](spark, DATA).select("label").distinct().count() == 12
