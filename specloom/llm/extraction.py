@@ -57,14 +57,18 @@ _PLACES = frozenset("nav footer aside dialog menu button fieldset head search".s
 _CONTENT = frozenset(("article", "main"))
 # A class, id or role names a part that isn't the article if it consists of such names alone: words that may stand before a
 # mark, marks, and words that may follow one. So "cookie-notice" and "site-footer" do, "has-sidebar" and "share-price" don't.
-_MARK = r"""ads?|adverts?|advertisements?|advertising|alert|alertdialog|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|
-    cookies?|dialog|disqus|footer|gdpr|hidden|login|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notices?|
-    notifications?|pager|pagination|popup|promos?|promotions?|related|replies|respond|search|share|sharing|sidebar|signin|signup|
-    social|sponsor|sponsored|sponsors|subscribe|toolbar|widgets?"""
+_MARK = r"""ads?|adverts?|advertisements?|advertising|alert|alertdialog|auto-placed|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|
+    cookies?|dialog|disqus|footer|gdpr|hidden|login|masthead|menu|menubar|modal|more-(?:articles|from|news|posts|reading|stories)|most-read|nav|navbar|
+    navigation|newsletter|notices?|notifications?|pager|pagination|popup|promos?|promotions?|read-next|recommendations?|recommended|related|replies|
+    respond|responses?|search|share|sharing|sidebar|signin|signup|social|sponsor|sponsored|sponsors|subscribe|teasers?|toolbar|trending|up-next|widgets?"""
+#: Marks of what readers wrote and of other articles, which are never a page's main text.
+_REMARK = re.compile(r"\b(?:comments?|disqus|more|most-read|read-next|recommendations?|recommended|related|replies|respond|responses?|teasers?|trending|up-next)\b")
+#: Marks that say too little of a part of an article.
+_WEAK = frozenset(("widget", "widgets"))
 _BEFORE = "article|blog|bottom|desktop|entry|fixed|floating|footer|global|google|header|inline|js|left|main|mobile|page|post|primary|reader|right|secondary|site|sticky|story|sub|the|top|user|wp"
 _AFTER = (
     "actions|area|articles?|bar|block|body|bottom|box|buttons?|col|column|container|content|feed|form|group|header|heading|icons?|inner|items?|"
-    "left|links?|list|media|module|outer|overlay|panel|posts?|primary|reply|right|row|secondary|section|slot|stories|text|thread|title|top|unit|wrap|wrapper|[0-9]+"
+    "info|law|left|links?|list|media|module|outer|overlay|panel|policy|posts?|primary|reply|right|row|secondary|section|settings|slot|stories|text|thread|title|tools|top|unit|wrap|wrapper|[0-9]+"
 )
 _MARKS = re.compile(rf"(?:(?:{_BEFORE})-+)*(?:{_MARK})(?:-+(?:{_MARK}|{_AFTER}))*", re.VERBOSE)
 #: Names of a page's header; inside an article they hold its title.
@@ -81,14 +85,14 @@ GOOD, NEAR, UNCLEAR, BAD = "good", "near", "unclear", "bad"
 class Block:
     """Text between two block tags. place: number of the enclosing article or main element, 0 outside; barred: in a part
     that tags or attributes mark as no article; within: so marked by what lies inside the article; formed: by a form alone;
-    listed: in an item of a list."""
+    remark: in a part of readers' comments or of other articles; listed: in an item of a list."""
 
-    __slots__ = ("barred", "formed", "heading", "label", "linked", "listed", "place", "text", "within")
+    __slots__ = ("barred", "formed", "heading", "label", "linked", "listed", "place", "remark", "text", "within")
 
     def __init__(self, text: str, linked: int, heading: bool, frame: Frame):
         self.text, self.linked, self.heading = text, linked, heading
         self.place, self.barred, self.within, self.formed, self.listed = frame.place, frame.barred or frame.form, frame.within or frame.form, frame.form and not frame.barred, frame.listed
-        self.label = UNCLEAR
+        self.remark, self.label = frame.remark, UNCLEAR
 
 
 class Frame(NamedTuple):
@@ -100,20 +104,32 @@ class Frame(NamedTuple):
     within: bool = False
     form: bool = False
     listed: bool = False
+    remark: bool = False
+    quoted: bool = False
 
 
-def marked(attributes: str, place: int) -> bool:
-    """Whether attributes hide an element or name it as a part that isn't the article."""
+def marked(attributes: str, place: int, element: str = "div") -> tuple[bool, bool]:
+    """Whether attributes hide an element or name it as a part that isn't the article, and whether they name it a remark.
+
+    Ids of headings are made from their words, and inside an article those of sections are too; they say nothing.
+    """
+    heading = element[0] == "h" and element[1:].isdigit()
+    bars = remark = False
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), values[0] or values[1] or values[2]
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _INVISIBLE.search(value):
-            return True
-        if name in ("class", "id", "role"):
+            bars = True
+        if name == "itemprop" and value.lower() == "comment":
+            bars = remark = True
+        if name in ("class", "role") or name == "id" and not heading and not (place and element == "section"):
             for token in value.split():
                 token = _CAMEL.sub("-", token).strip("-").lower()
+                if place and token in _WEAK:
+                    continue
                 if _MARKS.fullmatch(token) or not place and _HEADERS.fullmatch(token):
-                    return True
-    return False
+                    bars = True
+                    remark = remark or _REMARK.search(token) is not None
+    return bars, remark
 
 
 def blocks(html: str) -> list[Block]:
@@ -163,7 +179,7 @@ def blocks(html: str) -> list[Block]:
             links = max(0, links - 1) if ends else 1
         if name == "br" or name == "img":
             parts.append(" ")
-        if name not in _BLOCK:
+        if name not in _BLOCK or name == "button" and stack[-1].place and stack[-1].name == "p":  # a button in a sentence
             continue
         close()
         if ends:
@@ -177,14 +193,18 @@ def blocks(html: str) -> list[Block]:
                     stack.pop()
             frame = stack[-1]
             bars = name in _PLACES or name == "header" and not frame.place
-            bars = bars or bool(attributes) and not frame.barred and name not in ("html", "body") and marked(attributes, frame.place)
-            form = frame.form or name == "form"
+            bars = bars and not (name == "footer" and frame.quoted)  # who is quoted
+            named = remark = False
+            if attributes and name not in ("html", "body"):
+                named, remark = marked(attributes, frame.place, name)
+            bars, remark = bars or named, frame.remark or remark
+            form, quoted = frame.form or name == "form", bool(frame.place) and (frame.quoted or name == "blockquote")
             if name in _CONTENT:
                 places += 1
                 # what marks the article itself, or lies around it, isn't inside it
-                frame = Frame(name, places, frame.barred or bars or form, False, False, False)
+                frame = Frame(name, places, frame.barred or bars or form, False, False, False, remark)
             else:
-                frame = Frame(name, frame.place, frame.barred or bars, frame.within or bars, form, frame.listed or name == "li")
+                frame = Frame(name, frame.place, frame.barred or bars, frame.within or bars, form, frame.listed or name == "li", remark, quoted)
             stack.append(frame)
             heading = name[0] == "h" and name[1:].isdigit()
     close()
@@ -220,6 +240,22 @@ def judge(block: Block, foreign: bool = False) -> str:
     return UNCLEAR if block.place else BAD  # tables, lists and code of an article have few stop words
 
 
+def sources(found: list[Block]) -> None:
+    """Lists of links inside an article that text of the same article leads up to with a colon or goes on after are text."""
+    k = 0
+    while k < len(found):
+        first, end = found[k], k
+        while end < len(found) and found[end].listed and found[end].label == BAD and not found[end].barred and found[end].place == first.place:
+            end += 1
+        if end > k and first.place:
+            before = found[k - 1] if k else None
+            after = next((b for b in found[end:] if b.place == first.place and not b.barred and not b.listed and not b.heading), None)
+            if before is not None and before.place == first.place and before.text.endswith(":") or after is not None and after.label in (GOOD, NEAR):
+                for b in found[k:end]:
+                    b.label = GOOD
+        k = max(end, k + 1)
+
+
 def classify(found: list[Block]) -> None:
     """Second pass: undecided blocks take the label of the nearest decided blocks of the same article, or of the page.
 
@@ -230,6 +266,7 @@ def classify(found: list[Block]) -> None:
     foreign = unlisted(found)
     for b in found:
         b.label = judge(b, foreign)
+    sources(found)
     groups: dict[int, list[Block]] = {}
     for b in found:
         if not (b.place and b.barred):
@@ -277,13 +314,13 @@ def main_text(html: str) -> str:
     """Good blocks in page order, a line each; empty if there is none.
 
     A page without a good block is judged again: articles that are barred from outside, or by their own attributes, are taken
-    for what they are, then parts that only a form around them bars.
+    for what they are, then parts that only a form around them bars; but never comments or teasers of other articles.
     """
     found = blocks(html)
     classify(found)
     if not any(b.label == GOOD for b in found):
-        articles = [b for b in found if b.place and not b.within]
-        for b in articles or [b for b in found if b.formed]:
+        articles = [b for b in found if b.place and not b.within and not b.remark]
+        for b in articles or [b for b in found if b.formed and not b.remark]:
             b.barred = False
         classify(found)
     return "\n".join(b.text for b in found if b.label == GOOD)

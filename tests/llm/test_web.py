@@ -63,6 +63,51 @@ def test_marks_bar_what_they_name_and_no_more(html):
     assert extraction.main_text(html) == GOOD
 
 
+SHORT_LINK = "<a href=x>A source of the article</a>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<h2 id='advertising'>Advertising</h2>", "Advertising"),
+        ("<h2 id='comments'>Comments</h2>", "Comments"),
+        (f"<section id='navigation'><p>{GOOD}</p></section>", GOOD),
+        (f"<section id='search'><h3 id=search-form>Search</h3><p>{GOOD}</p></section>", f"Search\n{GOOD}"),
+        (f"<div class='widget'><p>{GOOD}</p></div>", GOOD),
+        (f"<blockquote><p>{GOOD}</p><footer>Some Body</footer></blockquote>", f"{GOOD}\nSome Body"),
+        ("<p>Press <button>Start</button> and wait for it.</p>", "Press Start and wait for it."),
+        (f"<ul><li>{SHORT_LINK}</li><li>{SHORT_LINK}</li></ul>", "A source of the article\nA source of the article"),
+    ],
+)
+def test_parts_of_an_article_stay(inner, want):
+    assert extraction.main_text(f"<article><p>{GOOD}</p>{inner}<p>{GOOD}</p></article>") == f"{GOOD}\n{want}\n{GOOD}"
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        f"<div class='response'><p>{GOOD}</p></div>",
+        f"<section class='more-stories'><p>{GOOD}</p></section>",
+        f"<div class='google-auto-placed'><p>{GOOD}</p></div>",
+        f"<div class='cookie-law-info'><p>{GOOD}</p></div>",
+        f"<div class='dateline share-tools'><p>{GOOD}</p></div>",
+        f"<section id='x' class='comments'><p>{GOOD}</p></section>",
+        f"<div itemprop='comment'><p>{GOOD}</p></div>",
+        f"<footer><p>{GOOD}</p></footer>",
+    ],
+)
+def test_parts_beside_and_inside_an_article_go(part):
+    assert extraction.main_text(f"<article><p>{GOOD}</p>{part}</article>") == GOOD
+    assert extraction.main_text(f"<article><p>{GOOD}</p></article>{part}") == GOOD
+
+
+@pytest.mark.parametrize("mark", ["class='comment'", "class='comment-body'", "id='response-7'", "class='related-post'", "itemprop=comment", "class=teaser"])
+def test_a_comment_or_teaser_is_never_the_main_text(mark):
+    assert extraction.main_text(f"<article></article><article {mark}><p>{GOOD}</p></article>") == ""
+    assert extraction.main_text(f"<article></article><div {mark}><article><p>{GOOD}</p></article></div>") == ""
+    assert extraction.main_text(f"<form><div {mark}><p>{GOOD}</p></div></form>") == ""
+
+
 def test_links_and_short_parts_of_articles():
     linked = "Most of this <a href=x>paragraph of the article is a link and it stays in the text</a> with the rest of it."
     page = f"<article><h1>Head</h1><p>{GOOD}</p><p>{linked}</p><p><a href=x>Yes.</a></p><ul><li>One</li><li>Two</li></ul><figure><figcaption>A view</figcaption></figure><pre>x = 1</pre><p>{GOOD}</p></article>"
