@@ -30,10 +30,6 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linededup.decisions(common.table(spark, sf_dir, "documents"))
-
-
-def op3_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.decisions(common.table(spark, sf_dir, "documents"), **linededup.ALL_LINES)
 
 
@@ -75,5 +71,5 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(common.table(spark, sf_dir, "conversations")).drop("position", "subtree_end")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op3_all_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces, op11_phrases, op12_exact, op13_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pack, op2_shard, op3_lines, op4_warc, op5_extract, op6_quality, op7_media, op8_jaccard, op9_neighbours, op10_pieces, op11_phrases, op12_exact, op13_trie)}
 SQL: dict[str, str] = sql.SQL

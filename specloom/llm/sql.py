@@ -116,4 +116,4 @@ select k.conv_id, k.d::bigint as depth, o.conv_id parent_conv_id, k.n_convs, k.n
 from k join up on k.path = up.path left join k o on k.d > 0 and o.path = k.path[1:k.d - 1] and o.d = k.d - 1
 """
 
-SQL = {"op3_lines": LINES, "op3_all_lines": ALL_LINES, "op4_warc": WARC, "op8_jaccard": JACCARD, "op11_phrases": PHRASES, "op12_exact": EXACT, "op13_trie": TRIE}
+SQL = {"op3_lines": ALL_LINES, "op4_warc": WARC, "op8_jaccard": JACCARD, "op11_phrases": PHRASES, "op12_exact": EXACT, "op13_trie": TRIE}
