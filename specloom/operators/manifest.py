@@ -130,11 +130,13 @@ def nested_subsets(ordered: DataFrame, sizes: list[int], **fractions) -> DataFra
 
 def grouped_splits(rows: DataFrame, *, val_fraction: float = 0.1, test_fraction: float = 0.1, seed: int = SEED) -> DataFrame:
     """Adds split; rows of one structure stay together. In hashed order each group goes to val or test, to whichever is
-    filled less, unless that one is full, then to train.
+    filled less (shares compared exactly; equal ones: fewer rows), unless that one is full, then to train.
 
-    The order is sequential by nature, so the groups' sizes are folded block by block of the hashes: a block of about BLOCK
-    groups is one task, and only the two sums go on to the next. It ends where val and test are full; all further groups are
-    train. Groups and blocks' decisions lie in the shared folder; rows get them by a join.
+    The order is sequential by nature, but all that a group needs to know is the rows before it, a prefix sum, and how many of
+    them went to val. While both are open that number lies within the largest group's size of val's share, so a block of about
+    BLOCK groups is a function of it, in few pieces, as paths meet. All blocks' functions are made at once; one task looks up
+    the number that each block starts with; all blocks are then folded at once. Once one is full the prefix sum decides alone.
+    The number of jobs doesn't depend on the number of blocks, and blocks behind the last decision are not folded.
     """
     if not (0 <= val_fraction < 1 and 0 <= test_fraction < 1 and val_fraction + test_fraction < 1):
         raise ValueError("fractions must leave training rows")
@@ -144,44 +146,128 @@ def grouped_splits(rows: DataFrame, *, val_fraction: float = 0.1, test_fraction:
     groups = cut(groups, "groups")
     number, total = groups.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     val, test = round(total * val_fraction), round(total * test_fraction)
+    if not val and not test:
+        return rows.drop("structure").withColumn("split", F.lit("train"))
     digits = 0
     while number > BLOCK * 16**digits:
         digits += 1
-    done = None
-    taken = {"val": 0, "test": 0}
-    for block in range(16**digits):
-        if taken["val"] >= val and taken["test"] >= test:
+    groups = groups.withColumn("block", F.substring("h", 1, digits))
+    ahead = W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)  # a row a block: at most 16 * number / BLOCK
+    blocks = groups.groupBy("block").agg(F.sum("n").alias("size"), F.max("n").alias("most"))
+    blocks = cut(blocks.select("block", F.coalesce(F.sum("size").over(ahead), F.lit(0)).alias("before"), F.coalesce(F.max("most").over(ahead), F.lit(0)).alias("widest")), "blocks")
+    starts, filled, at = None, 0, 0
+    if val and test:
+        opened = groups.select("block", "structure", "h", "n").join(F.broadcast(blocks.where(F.col("before") < val + test)), "block")
+        pieces = opened.groupBy("block").applyInPandas(_block_function(val, test), PIECE)
+        starts = cut(pieces.repartition(1).sortWithinPartitions("block", "low").mapInPandas(_follow, "block string, start long, filled long, at long"), "starts")
+        filled, at = starts.where("at is not null").select("filled", "at").first()  # val's rows and all rows when one got full
+    done, want, open_split = (filled, test, "test") if filled >= val else (at - filled, val, "val")
+    held = blocks.where(F.col("before") < done + want)
+    held = held.withColumn("start", F.lit(None).cast("long")) if starts is None else held.join(F.broadcast(starts.select("block", "start")), "block", "left")
+    named = groups.join(F.broadcast(held.drop("widest")), "block").groupBy("block").applyInPandas(_fold(val, test, at, done, want, open_split), "structure string, split string")
+    return rows.drop("split").join(cut(named, "split"), "structure", "left").drop("structure").withColumn("split", F.coalesce("split", F.lit("train")))
+
+
+#: From low to high, rows in val before a block, to those after it: all the same if flat, else rising with them from low's.
+#: at: rows of all groups before the first that met a full split, null while both are open.
+PIECE = "block string, low long, high long, filled long, flat boolean, at long"
+
+
+def _most_to_val(before: int, val: int, test: int) -> int:
+    """The most rows that val can have of those before a group that goes there while both are open."""
+    most, rest = divmod(before * val, val + test)
+    return most - 1 if not rest and most > before - most else most
+
+
+def transitions(sizes: list[int], before: int, widest: int, val: int, test: int) -> list[tuple[int, int, int, bool, int | None]]:
+    """The pieces (low, high, filled, flat, at) of a block of groups, for all numbers of val's rows that can precede it.
+
+    Of two shares the lesser grows, so they never differ by more than the widest group so far; that bounds the numbers.
+    """
+    both = val + test
+    low = max(0, before - test + 1, -((widest - before) * val // both))
+    high = min(val - 1, before, (before * val + widest * test) // both)
+    live, full = [(low, high, low, False)] if low <= high else [], []
+    for n in sizes:
+        if not live:
             break
-        held = groups.where(F.col("h").startswith(f"{block:0{digits}x}")) if digits else groups
-        got = cut(_fold(held.coalesce(1).sortWithinPartitions("h", "structure"), taken["val"], taken["test"], val, test), "split")
-        for r in got.groupBy("split").agg(F.sum("n").alias("n")).collect():  # two rows at most
-            taken[r["split"]] += r["n"]
-        done = got if done is None else done.unionByName(got)
-    if done is None:
-        return rows.drop("structure").withColumn("split", F.lit("train"))
-    return rows.drop("split").join(done.drop("n"), "structure", "left").drop("structure").withColumn("split", F.coalesce("split", F.lit("train")))
-
-
-def _fold(groups: DataFrame, v: int, t: int, val: int, test: int) -> DataFrame:
-    """Groups of one ordered partition that go to val or test, from the sums v and t on: structure, n, split."""
-
-    def run(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        share = lambda done, want: done / want if want else 1.0
-        done = {"val": v, "test": t}
-        want = {"val": val, "test": test}
-        for table in tables:
-            named = []
-            for n in table["n"].tolist():
-                a, b = share(done["val"], val), share(done["test"], test)
-                split = "val" if a < b or a == b and done["val"] <= done["test"] else "test"
-                split = split if done[split] < want[split] else None
-                named.append(split)
-                if split:
-                    done[split] += n
-            table["split"] = pd.Series(named, index=table.index, dtype=object)
-            yield table.loc[table["split"].notna(), ["structure", "n", "split"]]
-
-    return groups.mapInPandas(run, "structure string, n long, split string")
+        most = _most_to_val(before, val, test)
+        before += n
+        moved: list[tuple[int, int, int, bool]] = []
+        for a, z, v, flat in live:
+            for x, y, to in _cuts(a, z, v, flat, most):
+                to += n if to <= most else 0
+                for i, j, w in _cuts(x, y, to, flat, before - test, val - 1):
+                    if w >= val or w <= before - test:
+                        full.append((i, j, w, flat, before))
+                        continue
+                    if moved and moved[-1][1] + 1 == i:
+                        p, q, u, even = moved[-1]
+                        if u == w and (even or p == q) and (flat or i == j):
+                            moved[-1] = (p, j, u, True)
+                            continue
+                        if not (even and p < q) and not (flat and i < j) and w == u + i - p:
+                            moved[-1] = (p, j, u, False)
+                            continue
+                    moved.append((i, j, w, flat))
+        live = moved
+    return sorted([(*piece, None) for piece in live] + full)
+
+
+def _cuts(low: int, high: int, filled: int, flat: bool, *bounds: int) -> list[tuple[int, int, int]]:
+    """A piece cut behind each bound (rising) of its values: (low, high, filled)."""
+    out = []
+    for bound in () if flat else sorted(bounds):
+        if filled <= bound < filled + high - low:
+            out.append((low, low + bound - filled, filled))
+            low, filled = low + bound - filled + 1, bound + 1
+    return [*out, (low, high, filled)]
+
+
+def _block_function(val: int, test: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["h", "structure"])
+        name, before, widest = block["block"].iloc[0], int(block["before"].iloc[0]), int(block["widest"].iloc[0])
+        found = transitions(block["n"].tolist(), before, widest, val, test)
+        out = pd.DataFrame([(name, *piece) for piece in found], columns=["block", "low", "high", "filled", "flat", "at"])
+        return out.astype({"at": "Int64"})
+
+    return run
+
+
+def _follow(tables: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The start of each block while both splits are open, from the pieces of all blocks in order; one of them at a time."""
+    state, last = 0, None
+    for table in tables:
+        out = []
+        for block, low, high, filled, flat, at in table.astype({"at": "Int64"}).itertuples(index=False):
+            if state is None or block == last or not low <= state <= high:
+                continue
+            after, over = filled + (0 if flat else state - low), not pd.isna(at)
+            out.append((block, state, after if over else None, at if over else None))
+            state, last = None if over else after, block
+        yield pd.DataFrame(out, columns=["block", "start", "filled", "at"]).astype({"start": "Int64", "filled": "Int64", "at": "Int64"})
+
+
+def _fold(val: int, test: int, at: int, done: int, want: int, open_split: str):
+    """Groups of a block that go to val or test: structure, split. From `at` rows on, open_split takes groups while the rows
+    before them less those of the full one (done) are below want."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values(["h", "structure"])
+        before, start = int(block["before"].iloc[0]), block["start"].iloc[0]
+        filled, named = None if pd.isna(start) else int(start), []
+        for n in block["n"].tolist():
+            if before < at:
+                named.append("val" if filled <= _most_to_val(before, val, test) else "test")
+                filled += n if named[-1] == "val" else 0
+            else:
+                named.append(open_split if before - done < want else None)
+            before += n
+        out = pd.DataFrame({"structure": block["structure"], "split": pd.Series(named, index=block.index, dtype=object)})
+        return out[out["split"].notna()]
+
+    return run
 
 
 def summary(rows: DataFrame) -> DataFrame:

@@ -2,9 +2,12 @@
 
 import hashlib
 import random
+from fractions import Fraction
 from itertools import groupby
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from specloom.operators import manifest, negatives, order
@@ -82,6 +85,66 @@ def test_grouped_splits(table, molecules, block, monkeypatch):
     assert none.count() == 0 and none.columns == [*(c for c in table.columns if c != "split"), "split"]
 
 
+def brute_groups(sizes, val, test):
+    """Splits by the shares as fractions, and the rows of val and of all before each group while both are open."""
+    done, named, path = {"val": 0, "test": 0}, [], []
+    for n in sizes:
+        if done["val"] < val and done["test"] < test:
+            path.append((done["val"], done["val"] + done["test"]))
+        split = min(("val", "test"), key=lambda s: (Fraction(done[s], (val, test)[s == "test"]) if (val, test)[s == "test"] else 1, done[s]))
+        named.append(split if done[split] < (val, test)[split == "test"] else "train")
+        if named[-1] != "train":
+            done[split] += n
+    return named, path
+
+
+@given(st.lists(st.one_of(st.integers(1, 3), st.integers(1, 60)), min_size=1, max_size=120), st.integers(1, 150), st.integers(1, 150), st.integers(0, 60))
+@settings(max_examples=300, deadline=None)
+def test_a_block_is_a_function_of_what_val_holds(sizes, val, test, head):
+    """Each number that val can hold before the second block goes where a fold of the second block takes it."""
+    first, second = sizes[:head], sizes[head:]
+    before, widest = sum(first), max(first, default=0)
+    pieces = manifest.transitions(second, before, widest, val, test)
+    assert len(pieces) <= 2 * len(second) + 3 and all(a[1] < b[0] for a, b in zip(pieces, pieces[1:], strict=False))
+    for low, high, filled, flat, at in pieces:
+        for v in {low, high, (low + high) // 2}:
+            own, s = v, before
+            for n in second:
+                if own >= val or s - own >= test:
+                    break
+                a, b = Fraction(own, val), Fraction(s - own, test)
+                own, s = (own + n if (a, own) <= (b, s - own) else own), s + n
+            over = own >= val or s - own >= test
+            assert (filled + (0 if flat else v - low), at) == (own, s if over else None)
+    path = brute_groups(sizes, val, test)[1]
+    if len(path) > head:  # both still open: the true number is among those of the pieces
+        assert any(p[0] <= path[head][0] <= p[1] for p in pieces) or not second
+
+
+@pytest.mark.parametrize(("block", "val", "test", "hot"), [(30, 0.1, 0.1, 1), (30, 0.3, 0.05, 1), (500, 0.2, 0.0, 1), (20, 0.0, 0.2, 9), (20, 0.25, 0.35, 60), (20, 0.0, 0.0, 1)])
+def test_grouped_splits_in_many_blocks(spark, monkeypatch, block, val, test, hot):
+    monkeypatch.setattr(manifest, "BLOCK", block)
+    sizes = {f"m{k}": 1 + (k * k) % 4 + (hot * 5 if k % 97 == 3 else 0) for k in range(500)}
+    ids = [(f"{m}-{i}", m) for m, n in sizes.items() for i in range(n)]
+    order = sorted(sizes, key=lambda m: sha(3407, m))
+    named, _ = brute_groups([sizes[m] for m in order], round(len(ids) * val), round(len(ids) * test))
+    want = dict(zip(order, named, strict=True))
+    got = manifest.grouped_splits(spark.createDataFrame(ids, "id string, canonical_smiles string"), val_fraction=val, test_fraction=test)
+    assert {r.id: r.split for r in got.collect()} == {i: want[m] for i, m in ids}
+
+
+def test_jobs_of_grouped_splits_do_not_follow_the_blocks(table, spark, monkeypatch):
+    def jobs(block):
+        monkeypatch.setattr(manifest, "BLOCK", block)
+        spark.sparkContext.setJobGroup(f"blocks-{block}", "")
+        manifest.grouped_splits(table)
+        found = spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks-{block}")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(found)
+
+    assert abs(jobs(5) - jobs(1_000_000)) <= 2
+
+
 def test_pools_of_a_common_formula(spark, monkeypatch):
     monkeypatch.setattr(negatives, "BLOCK", 16)
     rows = [(f"i{k}", f"m{k % 130}", "hot" if k % 3 else f"f{k % 7}") for k in range(300)]
