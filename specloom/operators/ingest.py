@@ -81,33 +81,38 @@ def paired_keys(found: DataFrame) -> DataFrame:
 
 def top_candidates(found: DataFrame, k: int = 3) -> DataFrame:
     """The k best records of each key and nucleus: by falling score, then by row."""
-    rank = F.row_number().over(W.partitionBy("mol_key", "nucleus").orderBy(F.desc("score"), "row_index"))
+    falling = F.asc("falling") if "falling" in found.columns else F.desc("score")  # stored candidates lie in the former order
+    rank = F.row_number().over(W.partitionBy("mol_key", "nucleus").orderBy(falling, "row_index"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def pair_score(h: str, c: str, rows_a_point: int) -> Column:
-    same = (F.col(f"{h}.solvent") == F.col(f"{c}.solvent")) & ~F.col(f"{h}.solvent").isin("", "not_known")
-    both = (F.col(f"{h}.solvent") == "CDCl3") & (F.col(f"{c}.solvent") == "CDCl3")
-    apart = F.abs(F.col(f"{h}.row_index") - F.col(f"{c}.row_index"))
-    return F.col(f"{h}.score") + F.col(f"{c}.score") + F.when(same, SAME_SOLVENT).otherwise(0) + F.when(both, BOTH_CHLOROFORM).otherwise(0) - F.floor(apart / rows_a_point)
+def pair_score(h: Column, c: Column, rows_a_point: int) -> Column:
+    same = (h["solvent"] == c["solvent"]) & ~h["solvent"].isin("", "not_known")
+    both = (h["solvent"] == "CDCl3") & (c["solvent"] == "CDCl3")
+    apart = F.abs(h["row_index"] - c["row_index"])
+    return h["score"] + c["score"] + F.when(same, SAME_SOLVENT).otherwise(0) + F.when(both, BOTH_CHLOROFORM).otherwise(0) - F.floor(apart / rows_a_point)
 
 
 def best_pairs(found: DataFrame, *, k: int = 3, rows_a_point: int = ROWS_A_POINT) -> DataFrame:
     """The best pair of each key. Ties go to the better 1H record, then to the better 13C record.
 
-    The k best of each side come from one window; the pairs of a key are built inside its row from two arrays of k entries,
-    so that a single exchange by key serves ranking, pairing and choice.
+    The k best of each side come from one window; the pairs of a key are built and chosen inside its row from two arrays of k
+    entries, so that a single exchange by key serves ranking, pairing and choice.
     """
     entry = F.struct("rank", "score", "row_index", "solvent")
     sides = top_candidates(found, k).groupBy("mol_key").agg(
         F.array_sort(F.collect_list(F.when(F.col("nucleus") == "1h", entry))).alias("hs"),
         F.array_sort(F.collect_list(F.when(F.col("nucleus") == "13c", entry))).alias("cs"),
     )
-    pairs = sides.where("size(hs) > 0 and size(cs) > 0").select("mol_key", F.explode("hs").alias("h"), "cs").select("mol_key", "h", F.explode("cs").alias("c"))
-    pairs = pairs.withColumn("pair_score", pair_score("h", "c", rows_a_point))
-    order = F.struct((-F.col("pair_score")).alias("s"), "h.rank", F.col("c.rank").alias("c_rank"))
-    best = pairs.groupBy("mol_key").agg(F.min_by(F.struct("h", "c", "pair_score"), order).alias("b"))
-    return best.select("mol_key", F.col("b.h.row_index").alias("h_row"), F.col("b.c.row_index").alias("c_row"), F.col("b.pair_score").cast("bigint").alias("pair_score"))
+
+    def pair(h: Column, c: Column) -> Column:
+        score = pair_score(h, c, rows_a_point).cast("bigint")
+        # without a score (a null score or solvent) a pair is the last choice
+        return F.struct(score.isNull().alias("none"), (-score).alias("down"), h["rank"].alias("h_rank"), c["rank"].alias("c_rank"), h["row_index"].alias("h_row"), c["row_index"].alias("c_row"), score.alias("pair_score"))
+
+    pairs = F.flatten(F.transform("hs", lambda h: F.transform("cs", lambda c: pair(h, c))))
+    best = sides.where("size(hs) > 0 and size(cs) > 0").select("mol_key", F.array_min(pairs).alias("b"))
+    return best.select("mol_key", "b.h_row", "b.c_row", "b.pair_score")
 
 
 PEAK = "shift double, multiplicity string, J array<double>, integration double, shift_range array<double>"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from specloom.operators import ingest
+from specloom.operators.order import shared_folder
 from specloom.plans import adapters as A
 from specloom.plans.registry import registry
+from specloom.sources.candidate_store import CandidateStore
 
 QUERIES, SQL, query = registry()
 
@@ -48,6 +50,20 @@ def j3_best_pair(spark, d):
     return ingest.best_pairs(ingest.candidates(A.raw_records(spark, d)), rows_a_point=ROWS_A_POINT)
 
 
+def _stored(spark, d):
+    return CandidateStore(spark, shared_folder(spark, "candidates"), 8).write(ingest.candidates(A.raw_records(spark, d))).rows()
+
+
+@query(SQL["w1_topk_per_nucleus"])
+def s4_stored_topk(spark, d):
+    return ingest.top_candidates(_stored(spark, d)).select("mol_key", "nucleus", "row_index", "score", "rank")
+
+
+@query(SQL["j3_best_pair"])
+def s4_stored_pairs(spark, d):
+    return ingest.best_pairs(_stored(spark, d), rows_a_point=ROWS_A_POINT)
+
+
 @query("""select o.o_orderkey, o.o_custkey, o.o_orderstatus from orders o where o.o_custkey in (select c_custkey from customer where c_mktsegment = 'BUILDING')""")
 def s6_split_semi_join(spark, d):
     ids = A.table(spark, d, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
