@@ -88,29 +88,56 @@ def regions_table(spark: SparkSession, regions: tuple) -> DataFrame:
     return spark.createDataFrame([(i, *r[:3]) for i, r in enumerate(regions)], "rule_order int, rule_id string, low double, high double")
 
 
-def interval_join(points: DataFrame, ranges: DataFrame, value: str, *, width: float | None = None) -> DataFrame:
-    """points ⋈ ranges where low <= value <= high.
+#: Cells narrower than 2 to this power are not told apart; the level of ranges without an end, whose one cell holds all.
+FINEST, ENDLESS = -20, 1024
 
-    A table of ranges that is a rule library is broadcast. With a width, for ranges of any number: both sides get the cells
-    of that width that they touch and meet by equal cells, so neither side is broadcast.
+
+def cells(low: Column, high: Column) -> Column:
+    """(level, cell) of a range: cells of width 2**level start at its multiples; of the least level that is no narrower than
+    the range, the one or two cells that it touches. Null where no value can lie in the range."""
+    width = high - low
+    bounded = F.abs(low) + F.abs(high) < float("inf")
+    level = F.greatest(F.lit(FINEST), F.ceil(F.log2(F.when(width > 0, width))).cast("int"))
+    level = F.when(bounded & (width < float("inf")), level).otherwise(ENDLESS)
+    held = F.sequence(cell(low, level), F.least(cell(high, level), cell(low, level) + 2))  # the logarithm may be an ulp short
+    return F.when((low <= high) & ~F.isnan(low) & ~F.isnan(high), F.transform(held, lambda c: F.struct(level.alias("level"), c.alias("cell"))))
+
+
+def cell(value: Column, level: Column) -> Column:
+    return F.when(level == ENDLESS, F.lit(0).cast("bigint")).otherwise(F.floor(value / F.pow(F.lit(2.0), level)))
+
+
+def interval_join(points: DataFrame, ranges: DataFrame, value: str, *, library: bool = False) -> DataFrame:
+    """points ⋈ ranges where low <= value <= high; ranges of any number and widths.
+
+    A range goes to the one or two dyadic cells of its own width, a point to its cell at each level that the ranges have (there
+    are at most 1,045, and few in practice); both meet by equal cells, so that neither side is broadcast, a cell is less than
+    twice as wide as its ranges, and wide ranges are not copied to narrow cells. Null and not-a-number values meet nothing, and
+    neither do ranges with such bounds or with low above high; infinite bounds hold. Repeated rows stay repeated.
+    A rule library (library=True), whose size its Library bounds, is broadcast.
     """
-    inside = (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high"))
-    if width is None:
+    inside = (F.col(value) >= F.col("low")) & (F.col(value) <= F.col("high")) & ~F.isnan(value)
+    if library:
         return points.join(F.broadcast(ranges), inside)
-    cell = F.floor(F.col(value) / width).alias("cell")
-    cells = F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("cell")
-    return points.select("*", cell).join(ranges.select("*", cells), "cell").where(inside).drop("cell")
+    spread = ranges.withColumn("__c", F.explode(cells(F.col("low").cast("double"), F.col("high").cast("double"))))
+    levels = [r["level"] for r in spread.select("__c.level").distinct().collect()]
+    if not levels:
+        return points.join(ranges, F.lit(False))
+    number = F.col(value).cast("double")
+    probes = F.array(*(F.struct(F.lit(n).alias("level"), cell(number, F.lit(n)).alias("cell")) for n in sorted(levels)))
+    probed = points.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__p", F.explode(probes))
+    return probed.join(spread, F.col("__p") == F.col("__c")).where(inside).drop("__p", "__c")
 
 
-def region_evidence(points: DataFrame, regions: tuple, *, width: float | None = None) -> DataFrame:
+def region_evidence(points: DataFrame, regions: tuple, *, library: bool = True) -> DataFrame:
     """id, rule_id, shifts (rising): regions that hold a peak of the sample. Bounds belong to their region."""
-    hits = interval_join(points, regions_table(points.sparkSession, regions), "shift", width=width)
+    hits = interval_join(points, regions_table(points.sparkSession, regions), "shift", library=library)
     return hits.groupBy("id", "rule_id").agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
 
 
 def region_labels(points: DataFrame, regions: tuple) -> DataFrame:
     """id, labels: the regions of each sample in the order of the rules."""
-    hits = interval_join(points, regions_table(points.sparkSession, regions), "shift").select("id", "rule_order", "rule_id").distinct()
+    hits = interval_join(points, regions_table(points.sparkSession, regions), "shift", library=True).select("id", "rule_order", "rule_id").distinct()
     return hits.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rule_order", "rule_id"))), lambda x: x["rule_id"]).alias("labels"))
 
 

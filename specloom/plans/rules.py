@@ -37,7 +37,20 @@ def r5_c_regions(spark, d):
 
 @query(_regions(A.C_SHIFTS, "c_shifts", rules.C_REGIONS))
 def j8_bucketed_range_join(spark, d):
-    return _joined(rules.region_evidence(A.c_shifts(spark, d), rules.C_REGIONS, width=10.0))
+    return _joined(rules.region_evidence(A.c_shifts(spark, d), rules.C_REGIONS, library=False))
+
+
+#: A range for each part: from a tenth of its price on, of a width from 0 to about 1,000,000.
+@query("""with ranges as (select p_partkey range_id, round(p_retailprice * 10)::bigint / 100.0::double low, round(p_retailprice * 10)::bigint / 100.0::double + ((p_partkey % 7) * power(10, p_partkey % 7) / 1000)::double high from part),
+points as (select l_orderkey, l_linenumber, l_extendedprice::double price from lineitem)
+select r.range_id, count(*) n, min(p.price) least, max(p.price) most from points p join ranges r on p.price >= r.low and p.price <= r.high group by 1""")
+def j8_ranges_of_any_width(spark, d):
+    k = F.col("p_partkey") % 7
+    low = F.round(F.col("p_retailprice") * 10).cast("bigint").cast("double") / 100.0
+    ranges = A.table(spark, d, "part").select(F.col("p_partkey").alias("range_id"), low.alias("low"), (low + k * F.pow(F.lit(10.0), k) / 1000).alias("high"))
+    points = A.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").cast("double").alias("price"))
+    hits = rules.interval_join(points, ranges, "price")
+    return hits.groupBy("range_id").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("least"), F.max("price").alias("most"))
 
 
 @query(f"""with {A.C_SHIFTS}, rule(o, rule_id, low, high) as (values {_values(rules.C_REGIONS)}), hits as (select distinct p.id, o, rule_id from c_shifts p join rule r on p.shift >= r.low and p.shift <= r.high)

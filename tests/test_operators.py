@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,10 +31,28 @@ def test_rules_on_ethanol(spark):
 def test_interval_join_both_ways(spark):
     points = spark.createDataFrame([(i, i * 0.37) for i in range(700)], "id int, shift double")
     ranges = rules.regions_table(spark, rules.C_REGIONS)
-    pick = lambda w: {(r.id, r.rule_id) for r in rules.interval_join(points, ranges, "shift", width=w).collect()}
-    assert pick(None) == pick(7.0)
+    pick = lambda w: {(r.id, r.rule_id) for r in rules.interval_join(points, ranges, "shift", library=w).collect()}
+    assert pick(True) == pick(False)
     edge = spark.createDataFrame([(1, 50.0)], "id int, shift double")
     assert rules.interval_join(edge, ranges, "shift").count() == 2
+    assert rules.interval_join(points, ranges.where("false"), "shift").count() == 0
+    assert rules.interval_join(points.where("false"), ranges, "shift").count() == 0
+
+
+def test_ranges_of_any_width(spark):
+    """Widths from 0 to endless in one table, bounds on and beside cells, against plain Python; each range in three cells at most."""
+    rng, inf, nan = random.Random(5), float("inf"), float("nan")
+    widths = [0.0, 0.001, 0.3, 1.0, 2.0, 7.5, 1024.0, 1e6, 1e-12]
+    own = [(low, low + rng.choice(widths)) for low in (rng.choice([rng.uniform(-1e6, 1e6), float(rng.randrange(-64, 64)), rng.uniform(-2, 2)]) for _ in range(300))]
+    own += [(-inf, inf), (-inf, 0.0), (3.0, inf), (inf, inf), (5.0, 4.0), (None, 1.0), (1.0, None), (nan, 1.0), (0.0, nan), (-1.7e308, 1.7e308), (1e300, 1e300), (1.0, 1.0), (1.0, 1.0)]
+    values = [x for low, high in own[:200] for x in (low, high, (low + high) / 2)] + [rng.uniform(-3, 3) for _ in range(300)] + [None, nan, inf, -inf, 1e300, 1.0, 1.0, -0.0, 0.0]
+    ranges = spark.createDataFrame([(k, *r) for k, r in enumerate(own)], "r int, low double, high double")
+    points = spark.createDataFrame(list(enumerate(values)), "p int, x double")
+    fine = lambda x: x is not None and x == x
+    want = sorted((p, r) for p, x in enumerate(values) if fine(x) for r, (low, high) in enumerate(own) if fine(low) and fine(high) and low <= x <= high)
+    assert sorted((h.p, h.r) for h in rules.interval_join(points, ranges, "x").collect()) == want
+    copies = ranges.select(F.size(rules.cells(F.col("low"), F.col("high"))).alias("n"), "low", "high").collect()
+    assert max(c.n or 0 for c in copies) <= 3
 
 
 def test_validation(spark):
