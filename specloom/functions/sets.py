@@ -18,13 +18,6 @@ def tanimoto(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(shared, F.size(a) + F.size(b) - shared), F.lit(0.0))
 
 
-def tanimoto_words(a: Column, b: Column) -> Column:
-    """The same for bits packed into arrays of longs of equal size."""
-    count = lambda x: F.aggregate(x, F.lit(0), lambda n, w: n + F.bit_count(w))
-    both = count(F.zip_with(a, b, lambda x, y: x.bitwiseAND(y)))
-    return F.coalesce(F.try_divide(both, count(a) + count(b) - both), F.lit(0.0))
-
-
 def overlap_scores(predicted: Column, reference: Column, valid: Column | None = None) -> list[Column]:
     """Precision, recall and F1 of two label sets: all 1 if both are empty, all 0 if the prediction isn't valid."""
     shared = F.size(F.array_intersect(predicted, reference))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from specloom.functions.sets import jaccard, tanimoto
+from specloom.functions.sets import tanimoto
 
 SEED, POOL, SHOWN = 3407, 512, 8
 #: Targets, and structures, of one formula that a task brings together.
@@ -39,26 +39,49 @@ def formula_pairs(rows: DataFrame, *, seed: int = SEED, pool: int = POOL) -> Dat
     return pairs.withColumn("pool_rank", rank).where(F.col("pool_rank") <= pool).drop("pool_rank")
 
 
-def scored(pairs: DataFrame, facts: DataFrame) -> DataFrame:
-    """Adds same_ring_scaffold, group_jaccard and tanimoto. facts: smiles, ring_scaffold, groups, bits, one row a structure."""
-    own = facts.select(F.col("smiles").alias("target"), F.col("ring_scaffold").alias("s1"), F.col("groups").alias("g1"), F.col("bits").alias("b1"))
-    other = facts.select("smiles", F.col("ring_scaffold").alias("s2"), F.col("groups").alias("g2"), F.col("bits").alias("b2"))
+def overlaps(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds same_ring_scaffold and group_jaccard. facts: smiles, ring_scaffold, groups, one row a structure."""
+    groups = F.array_distinct("groups")  # once a structure, so that a pair needs the shared ones alone
+    own = facts.select(F.col("smiles").alias("target"), F.col("ring_scaffold").alias("s1"), groups.alias("g1"))
+    other = facts.select("smiles", F.col("ring_scaffold").alias("s2"), groups.alias("g2"))
+    same = F.coalesce((F.col("s1") != "") & (F.col("s1") == F.col("s2")), F.lit(False))
+    shared = F.size(F.array_intersect("g1", "g2"))
+    either = F.size("g1") + F.size("g2") - shared
+    alike = F.when(either == 0, F.lit(1.0)).otherwise(shared / F.when(either != 0, either))
     rows = pairs.join(own, "target").join(other, "smiles")
-    same = (F.col("s1") != "") & (F.col("s1") == F.col("s2"))
-    return rows.select("target_id", "target", "formula", "id", "smiles", F.coalesce(same, F.lit(False)).alias("same_ring_scaffold"), jaccard(F.col("g1"), F.col("g2")).alias("group_jaccard"), tanimoto(F.col("b1"), F.col("b2")).alias("tanimoto"))
+    return rows.select("target_id", "target", "formula", "id", "smiles", same.alias("same_ring_scaffold"), alike.alias("group_jaccard"))
+
+
+def similar(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds tanimoto. facts: smiles, bits, one row a structure."""
+    bits = facts.select("smiles", F.col("bits").alias("b1"))
+    rows = rows.join(bits.withColumnRenamed("smiles", "target"), "target").join(bits.withColumnRenamed("b1", "b2"), "smiles")
+    return rows.withColumn("tanimoto", tanimoto(F.col("b1"), F.col("b2"))).drop("b1", "b2")
+
+
+def scored(pairs: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds same_ring_scaffold, group_jaccard and tanimoto to all pairs. facts: smiles, ring_scaffold, groups, bits."""
+    return similar(overlaps(pairs, facts), facts).select("target_id", "target", "formula", "id", "smiles", "same_ring_scaffold", "group_jaccard", "tanimoto")
 
 
-def hardest(rows: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """The shown - 1 hardest negatives of each target, with their rank."""
+def hardest(pairs: DataFrame, facts: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """The shown - 1 hardest negatives of each target, scored, with their rank.
+
+    Scaffold and groups come before the fingerprints in the order, so a pair that has shown - 1 others before it by these two
+    can't be among the hardest: fingerprints are read and moved for the rest only, all ties included.
+    """
     if shown < 2:
         raise ValueError("at least one negative must be shown")
-    order = W.partitionBy("target_id").orderBy(F.desc("same_ring_scaffold"), F.desc("group_jaccard"), F.desc("tanimoto"), F.desc("smiles"))
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") < shown)
+    first = (F.desc("same_ring_scaffold"), F.desc("group_jaccard"))
+    own = W.partitionBy("target_id")
+    near = overlaps(pairs, facts).withColumn("ahead", F.rank().over(own.orderBy(*first))).where(F.col("ahead") < shown).drop("ahead")
+    rank = F.row_number().over(own.orderBy(*first, F.desc("tanimoto"), F.desc("smiles")))
+    return similar(near, facts).withColumn("rank", rank).where(F.col("rank") < shown)
 
 
 def sidecar(rows: DataFrame, facts: DataFrame, *, seed: int = SEED, pool: int = POOL, shown: int = SHOWN) -> DataFrame:
     """One record a target: candidates (target and negatives in hashed order), and the negatives with their hardness."""
-    best = hardest(scored(formula_pairs(rows, seed=seed, pool=pool), facts), shown)
+    best = hardest(formula_pairs(rows, seed=seed, pool=pool), facts, shown)
     entry = F.struct("rank", "smiles", "same_ring_scaffold", F.round("group_jaccard", 6).alias("functional_group_jaccard"), F.round("tanimoto", 6).alias("tanimoto"))
     lists = best.groupBy("target_id", "target", "formula").agg(F.array_sort(F.collect_list(entry)).alias("n"))
     shuffled = F.array_sort(F.transform(F.concat(F.array("target"), F.transform("n", lambda x: x["smiles"])), lambda s: F.struct(F.sha2(F.concat_ws(":", F.lit(str(seed)), "target_id", s), 256).alias("h"), s.alias("s"))))

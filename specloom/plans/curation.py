@@ -165,7 +165,7 @@ def t6_tanimoto(spark, d):
 @query(f"""with {SCORED} select target_id, id, same_ring_scaffold, rank::int rank from (select *, row_number() over (partition by target_id
   order by same_ring_scaffold desc, group_jaccard desc, tanimoto desc, smiles desc) rank from scored) x where rank < 8""")
 def w8_hard_negatives(spark, d):
-    return negatives.hardest(_scored(spark, d)).select("target_id", "id", "same_ring_scaffold", "rank")
+    return negatives.hardest(_pairs(spark, d), _facts(spark, d)).select("target_id", "id", "same_ring_scaffold", "rank")
 
 
 @query(f"""with {SCORED}, best as (select * from (select *, row_number() over (partition by target_id order by same_ring_scaffold desc, group_jaccard desc, tanimoto desc, smiles desc) rank

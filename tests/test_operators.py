@@ -141,6 +141,23 @@ def test_sidecar(spark):
     assert negatives.report(rows).first()[:] == (4, 3, 1, 0.75)
 
 
+def test_hardest_negatives_with_ties(spark):
+    """Ties of scaffold and groups reach past the last place; fingerprints and names decide among them, as in plain Python."""
+    rng = random.Random(2)
+    facts = {f"m{k}": ("" if k % 3 == 0 else f"r{k % 2}", [["a"], ["a", "b"], []][k % 3], sorted(rng.sample(range(100), k % 5 * 7))) for k in range(40)}
+    table = spark.createDataFrame([(s, *f) for s, f in facts.items()], "smiles string, ring_scaffold string, groups array<string>, bits array<int>")
+    pairs = [(f"t{t}", t, "C", s, s) for t in facts for s in facts if s != t]
+    got = negatives.hardest(spark.createDataFrame(pairs, "target_id string, target string, formula string, id string, smiles string"), table, 6)
+
+    def score(t, s):
+        (r, g, b), (q, h, c) = facts[t], facts[s]
+        share = lambda x, y, none: len(set(x) & set(y)) / len({*x, *y}) if {*x, *y} else none
+        return r != "" and r == q, share(g, h, 1.0), share(b, c, 0.0), s
+
+    want = {(f"t{t}", s, k, *score(t, s)[:3]) for t in facts for k, s in enumerate(sorted((s for s in facts if s != t), key=lambda s: score(t, s), reverse=True)[:5], 1)}
+    assert {(r.target_id, r.smiles, r["rank"], r.same_ring_scaffold, r.group_jaccard, r.tanimoto) for r in got.collect()} == want
+
+
 def test_ingest_and_stream(spark, tmp_path):
     data = [(i, i % 5, ("1H NMR", "13C NMR", "19F")[i % 3], "CDCl3" if i % 4 else "", "[(1.0,)]") for i in range(300)]
     raw = spark.createDataFrame(data, "row_index long, mol_key long, nmr_type string, solvent string, processed string")
