@@ -97,7 +97,9 @@ def cells(low: Column, high: Column) -> Column:
     the range, the one or two cells that it touches. Null where no value can lie in the range."""
     width = high - low
     bounded = F.abs(low) + F.abs(high) < float("inf")
-    level = F.greatest(F.lit(FINEST), F.ceil(F.log2(F.when(width > 0, width))).cast("int"))
+    far = F.greatest(F.abs(low), F.abs(high))
+    power = lambda x: F.ceil(F.log2(F.when(x > 0, x))).cast("int")
+    level = F.greatest(F.lit(FINEST), power(width), power(far) - 60)  # far from 0 cells are wider, so that their numbers are longs
     level = F.when(bounded & (width < float("inf")), level).otherwise(ENDLESS)
     held = F.sequence(cell(low, level), F.least(cell(high, level), cell(low, level) + 2))  # the logarithm may be an ulp short
     return F.when((low <= high) & ~F.isnan(low) & ~F.isnan(high), F.transform(held, lambda c: F.struct(level.alias("level"), c.alias("cell"))))
