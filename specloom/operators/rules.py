@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specloom.functions import parsing
+from specloom.operators import order
 
 # The default rule library. Regions: id, lowest and highest ppm, conclusion, confidence, strength, tip.
 H_REGIONS = (
@@ -90,6 +93,8 @@ def regions_table(spark: SparkSession, regions: tuple) -> DataFrame:
 
 #: Cells narrower than 2 to this power are not told apart; the level of ranges without an end, whose one cell holds all.
 FINEST, ENDLESS = -20, 1024
+#: Values and bounds of a part of interval_summary.
+PLACES = 500_000
 
 
 def cells(low: Column, high: Column) -> Column:
@@ -131,6 +136,38 @@ def interval_join(points: DataFrame, ranges: DataFrame, value: str, *, library:
     return probed.join(spread, F.col("__p") == F.col("__c")).where(inside).drop("__p", "__c")
 
 
+def interval_summary(points: DataFrame, ranges: DataFrame, value: str) -> DataFrame:
+    """Ranges that hold values of points, with n (how many), least and most of these; ranges of any number and widths.
+
+    The same values meet the same ranges as in interval_join, but no pair of the two is made: distinct values and bounds stand
+    in one order, dealt to parts by range, and a range reads running sums and neighbours at its two bounds. So the work follows
+    points and ranges, not how many values the ranges hold.
+    """
+    low, high = F.col("low"), F.col("high")
+    fine = ranges.where((low <= high) & ~F.isnan(low) & ~F.isnan(high))
+    held = points.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("x")).agg(F.count(F.lit(1)).alias("n"))
+    # a lower bound stands before its equal value, an upper one after it
+    bound = lambda name, side: fine.select(F.col(name).alias("x")).distinct().select("x", F.lit(side).alias("side"), F.lit(0).cast("bigint").alias("n"))
+    places = order.cut(held.select("x", F.lit(1).alias("side"), "n").union(bound("low", 0)).union(bound("high", 2)), "places")
+    parts = max(1, math.ceil(places.count() / PLACES))
+    places = places.repartitionByRange(parts, "x", "side").withColumn("part", F.spark_partition_id())
+    dealt = order.cut(places, "dealt")  # the cuts between parts come from a sample and must stay
+    seen = F.when(F.col("side") == 1, F.col("x"))
+    sums = dealt.groupBy("part").agg(F.sum("n").alias("n"), F.min(seen).alias("first"), F.max(seen).alias("last"))
+    earlier, later = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1), W.orderBy(F.desc("part")).rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.max("last").over(earlier).alias("x_before"), F.min("first").over(later).alias("x_after"))
+    up, down = W.partitionBy("part").orderBy("x", "side"), W.partitionBy("part").orderBy(F.desc("x"), F.desc("side"))
+    so_far = lambda w: w.rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = dealt.withColumns({"sum": F.sum("n").over(so_far(up)), "below": F.last(seen, True).over(so_far(up)), "above": F.last(seen, True).over(so_far(down))})
+    rows = rows.where("side <> 1").join(F.broadcast(sums), "part")
+    at = rows.select("x", "side", (F.col("n_before") + F.col("sum")).alias("sum"), F.coalesce("below", "x_before").alias("below"), F.coalesce("above", "x_after").alias("above"))
+    lows = at.where("side = 0").select(F.col("x").alias("__low"), F.col("sum").alias("__below"), F.col("above").alias("least"))
+    highs = at.where("side = 2").select(F.col("x").alias("__high"), F.col("sum").alias("__to"), F.col("below").alias("most"))
+    found = fine.join(lows, low == F.col("__low")).join(highs, high == F.col("__high"))
+    found = found.withColumn("n", F.col("__to") - F.col("__below")).where("n > 0")
+    return found.select(*ranges.columns, "n", "least", "most")
+
+
 def region_evidence(points: DataFrame, regions: tuple, *, library: bool = True) -> DataFrame:
     """id, rule_id, shifts (rising): regions that hold a peak of the sample. Bounds belong to their region."""
     hits = interval_join(points, regions_table(points.sparkSession, regions), "shift", library=library)

@@ -214,3 +214,24 @@ def test_tokens_by_a_vocabulary_file(spark, tmp_path):
     rows = spark.createDataFrame([("a b a",), ("c  b",), ("",), (None,), ("a " * 9,)], "t string")
     assert [r.ids for r in tasks.tokenize(rows, "t", str(tmp_path / "t.json")).collect()] == [[1, 2, 1], [0, 2], [], [], [1] * 9]
     assert [r.ids for r in tasks.tokenize(rows, "t", str(tmp_path / "t.json"), length=4, pad=7).collect()] == [[1, 2, 1, 7], [0, 2, 7, 7], [7] * 4, [7] * 4, [1] * 4]
+
+
+def test_range_summary_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(rules, "PLACES", 7)  # many parts
+    inf, nan = float("inf"), float("nan")
+    values = [k * 7 % 50 / 2.0 for k in range(80)] + [3.0, 3.0, -5.0, inf, None, nan]
+    bounds = [(k % 11 - 3.0, k % 11 - 3.0 + (k % 5) * 2.5) for k in range(40)] + [(3.0, 3.0), (2.6, 2.9), (4.0, 1.0), (-inf, inf), (10.0, inf), (None, 5.0), (nan, 9.0), (200.0, 300.0)]
+    points = spark.createDataFrame([(v,) for v in values], "v double")
+    ranges = spark.createDataFrame([(k, *b) for k, b in enumerate(bounds)], "k int, low double, high double")
+    got = {r.k: (r.n, r.least, r.most) for r in rules.interval_summary(points, ranges, "v").collect()}
+    want = {}
+    for k, (a, b) in enumerate(bounds):
+        inside = [v for v in values if None not in (v, a, b) and a <= v <= b]
+        if inside:
+            want[k] = (len(inside), min(inside), max(inside))
+    assert got == want and len(want) > 30
+    # 4,000 ranges that each hold 300,000 values: 1.2e9 pairs, which are never made
+    wide = spark.range(4000).select(F.col("id").alias("k"), (-1.0 - F.col("id")).alias("low"), F.lit(1e9).alias("high"))
+    monkeypatch.setattr(rules, "PLACES", 500_000)
+    rows = rules.interval_summary(spark.range(300_000).select(F.col("id").cast("double").alias("v")), wide, "v")
+    assert rows.agg(F.count(F.lit(1)), F.min("n"), F.max("most")).first() == (4000, 300_000, 299_999.0)
