@@ -1,17 +1,19 @@
 """Runs of a generator over prompts that can be broken off and gone on with, and the two evaluations that rest on them.
 
-What a generator gave is kept in a ledger, a folder of small Parquet files in the shared file system. Each file is written
-under a hidden name and then renamed, so the ledger holds whole files only; a run that starts again does what isn't there.
+What a generator gave is kept in a ledger, a folder of Parquet files in the shared file system. Each file is written under a
+hidden name and then renamed, so the ledger holds whole files only; a run that starts again does what isn't there.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,11 @@ from specloom.sources import files
 
 #: From a prompt, a seed and a number of answers to that many answers: text, and tokens with the end token if it came.
 Generator = Callable[[str, int, int], list[tuple[str, list[int]]]]
-#: Prompts of a file of the ledger, and of a task.
-CHUNK, TASK = 16, 1024
+#: Prompts after which a file of the ledger may end, and prompts of a task. A file goes on until it took SECONDS or holds SIZE
+#: signs and tokens, so that slow generators lose few answers when a task ends, and the files of quick ones are few.
+CHUNK, TASK, SECONDS, SIZE = 16, 1024, 5.0, 8_000_000
+#: Tasks grow up to so many prompts once there are WAVES tasks for each core.
+LARGEST_TASK, WAVES = 32_768, 4
 LEDGER = "id string, index long, seed long, outputs array<struct<text: string, tokens: array<int>>>, error string"
 _TYPE = pa.schema(
     [("id", pa.string()), ("index", pa.int64()), ("seed", pa.int64()), ("outputs", pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.list_(pa.int32()))]))), ("error", pa.string())]
@@ -53,24 +58,42 @@ def generate(rows: DataFrame, generator: Callable[[], Generator], folder: str, *
     n = todo.count()
     if n:
         files.ship(spark)
+        mark = uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             system, inner = files.file_system(place)
-            answer = None
-            for batch in batches:
-                for k in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(k, CHUNK).to_pydict()
-                    keys = list(zip(part["id"], part["index"], strict=True))
-                    name = f"{inner}/{hashlib.sha256(repr(keys).encode()).hexdigest()}.parquet"
-                    made = 0
-                    if system.get_file_info(name).type.name == "NotFound":
+            own = f"{mark}-{TaskContext.get().partitionId()}"
+            known = _written(system, inner, own)
+            answer, held, size, at, made, began = None, [], 0, 0, 0, time.monotonic()
+
+            def save() -> None:
+                if held:
+                    _write(system, f"{inner}/{own}-{at - len(held)}-{at}.parquet", held)
+                    held.clear()
+
+            try:
+                for batch in batches:
+                    for name, index, prompt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        if any(a <= at < b for a, b in known):
+                            save()
+                            at += 1
+                            continue
                         answer = answer or generator()
-                        finished = [_answered(answer, i, x, p, seed + x, samples) for (i, x), p in zip(keys, part["prompt"], strict=True)]
-                        _write(system, name, finished)
-                        made = len(finished)
-                    yield pa.RecordBatch.from_arrays([pa.array([made])], names=["made"])
-
-        spread = todo.repartition(max(1, math.ceil(n / TASK)), "index").sortWithinPartitions("index", "id")
+                        if not held:
+                            size, began = 0, time.monotonic()
+                        row = _answered(answer, name, index, prompt, seed + index, samples)
+                        held.append(row)
+                        at, made = at + 1, made + 1
+                        size += sum(len(x["text"] or "") + len(x["tokens"]) for x in row["outputs"])
+                        if size >= SIZE or len(held) >= CHUNK and time.monotonic() - began >= SECONDS:
+                            save()
+            finally:
+                save()  # what is finished stays, also if the task fails
+            yield pa.RecordBatch.from_arrays([pa.array([made])], names=["made"])
+
+        least = WAVES * spark.sparkContext.defaultParallelism
+        parts = max(math.ceil(n / LARGEST_TASK), min(math.ceil(n / TASK), least))
+        spread = todo.select("id", "index", "prompt").repartition(parts, "index").sortWithinPartitions("index", "id", "prompt")
         spread.mapInArrow(run, "made long").agg(F.sum("made")).collect()
     order.discard(todo)
     wanted = rows.select(F.col("id").cast("string").alias("__id"), F.col("index").cast("long").alias("__index"))
@@ -78,6 +101,12 @@ def generate(rows: DataFrame, generator: Callable[[], Generator], folder: str, *
     return found.select("id", "index", "seed", "outputs", "error")
 
 
+def _written(system, folder: str, own: str) -> list[tuple[int, int]]:
+    """Places of a task's rows that an earlier attempt of it has written."""
+    names = [f.base_name for f in system.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith(f"{own}-")]
+    return [tuple(map(int, x.removesuffix(".parquet").split("-")[-2:])) for x in names]
+
+
 def _answered(answer: Generator, name: str | None, index: int, prompt: str, seed: int, samples: int) -> dict:
     row = {"id": name, "index": index, "seed": seed, "outputs": [], "error": None}
     try:

@@ -99,3 +99,24 @@ def test_summaries_of_runs(spark, tmp_path):
     assert by[3].prediction == "CCCC" and by[3].ranking_attempted and not by[3].ranking_failed  # the answer of seed 3
     report = generation.constrained_report(found).first()
     assert report.num_examples == 26 and report.generation_errors == 2 and report.candidate_oracle_exact == 24 / 26
+
+
+def test_files_follow_time_and_not_prompts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(generation, "TASK", 200)
+    assert generation.generate(prompts(spark, 800), counted(tmp_path / "calls"), str(tmp_path / "quick"), seed=1).count() == 800
+    assert len(list((tmp_path / "quick").rglob("*.parquet"))) == 4  # one a task
+    monkeypatch.setattr(generation, "SECONDS", 0.0)
+    assert generation.generate(prompts(spark, 800), counted(tmp_path / "more"), str(tmp_path / "slow"), seed=1).count() == 800
+    assert len(list((tmp_path / "slow").rglob("*.parquet"))) >= 800 // 16
+    monkeypatch.setattr(generation, "LARGEST_TASK", 100)
+    monkeypatch.setattr(generation, "SIZE", 1)
+    assert generation.generate(prompts(spark, 50), counted(tmp_path / "long"), str(tmp_path / "large"), seed=1).count() == 50
+    assert len(list((tmp_path / "large").rglob("*.parquet"))) >= 45  # each answer is large enough for a file; failures are not, and wait for the next
+
+
+def test_places_that_a_task_has_written(tmp_path):
+    from pyarrow import fs
+
+    for name in ("m-1-0-16.parquet", "m-1-20-33.parquet", "m-11-0-5.parquet", ".x.m-1-33-40.parquet", "n-1-50-60.parquet"):
+        (tmp_path / name).write_bytes(b"")
+    assert sorted(generation._written(fs.LocalFileSystem(), str(tmp_path), "m-1")) == [(0, 16), (20, 33)]
