@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from specloom.functions.sets import tanimoto
+from specloom.operators import order
 
 SEED, POOL, SHOWN = 3407, 512, 8
-#: Targets, and structures, of one formula that a task brings together.
-BLOCK = 4096
+#: Targets, and structures, of one formula that meet under one key, and pairs of a task.
+BLOCK, PAIRS = 1024, 500_000
 
 
-def stable_hash(seed: int, *columns: str):
+def stable_hash(seed: int, *columns):
     return F.sha2(F.concat_ws(":", F.lit(str(seed)), *columns), 256)
 
 
@@ -22,21 +25,47 @@ def formula_pairs(rows: DataFrame, *, seed: int = SEED, pool: int = POOL) -> Dat
 
     A structure counts once, by its first id. Targets with more than `pool` keep those whose hash of (seed, target, id) is
     least. Only keys take part in this join; facts of structures are joined to the survivors. Targets and structures of a
-    common formula meet in blocks of BLOCK, and of each block a target's pool is cut before anything is shuffled again.
+    common formula meet in blocks of BLOCK, a block of structures as one list, of which a target's pool is cut inside its row;
+    tasks follow the pairs. Rows are ranked by target only where its structures are in more blocks, or its id isn't its own.
     """
     unique = rows.groupBy("formula", "smiles").agg(F.min("id").alias("id"))
-    parts = rows.groupBy("formula").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    blocks = unique.groupBy("formula").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    deal = parts.join(blocks, "formula")
+    parts = rows.groupBy("formula").agg(F.count(F.lit(1)).alias("targets"))
+    blocks = unique.groupBy("formula").agg(F.count(F.lit(1)).alias("kinds"))
+    number = lambda of: F.ceil(F.col(of) / BLOCK).cast("int")
+    deal = parts.join(blocks, "formula").select("formula", "targets", "kinds", number("targets").alias("parts"), number("kinds").alias("blocks"))
+    all_pairs = F.col("targets") * F.col("kinds")
+    sums = deal.agg(F.sum(all_pairs).alias("pairs"), F.sum(F.when(F.col("blocks") > 1, all_pairs)).alias("far"), F.max("kinds").alias("most")).first()
+    own_ids = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    tasks = lambda n: max(1, math.ceil((n or 0) / PAIRS))
+    deal = deal.select("formula", "parts", "blocks")
     dealt = lambda of, by: F.pmod(F.xxhash64(by), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    keys = ["formula", "part", "block"]
     targets = rows.select(F.col("id").alias("target_id"), F.col("smiles").alias("target"), "formula").join(deal, "formula")
-    targets = targets.select("target_id", "target", "formula", dealt("parts", "target_id").alias("part"), every("blocks").alias("block"))
-    unique = unique.join(deal, "formula").select("formula", "smiles", "id", dealt("blocks", "id").alias("block"), every("parts").alias("part"))
-    pairs = targets.join(unique, ["formula", "part", "block"]).where(F.col("target") != F.col("smiles")).drop("part", "block")
-    # the limit on the rank goes below the exchange as a limit of each task
+    targets = targets.select("target_id", "target", "formula", "blocks", dealt("parts", "target_id").alias("part"), every("blocks").alias("block"))
+    lists = unique.join(deal, "formula").select("formula", "parts", dealt("blocks", "id").alias("block"), F.struct("id", "smiles").alias("s"))
+    lists = lists.groupBy("formula", "parts", "block").agg(F.collect_list("s").alias("kinds")).select("formula", "block", "kinds", every("parts").alias("part"))
+    n = tasks(sums.pairs)
+    met = targets.repartition(n, *keys).join(lists.repartition(n, *keys), keys)
+    out = [F.col("target_id"), F.col("target"), F.col("formula")]
+
+    def pairs(met: DataFrame, cut: bool) -> DataFrame:
+        others = F.filter("kinds", lambda x: x["smiles"] != F.col("target"))
+        if cut:
+            hashed = F.transform("others", lambda x: F.struct(stable_hash(seed, "target_id", x["id"]).alias("h"), x["id"].alias("id"), x["smiles"].alias("smiles")))
+            first = F.transform(F.slice(F.array_sort(hashed), 1, pool), lambda x: F.struct(x["id"].alias("id"), x["smiles"].alias("smiles")))
+            met = met.select(*out, others.alias("others")).select(*out, F.when(F.size("others") <= pool, F.col("others")).otherwise(first).alias("others"))
+        else:
+            met = met.select(*out, others.alias("others"))
+        return met.select(*out, F.explode("others").alias("x")).select(*out, "x.id", "x.smiles")
+
+    if (sums.most or 0) <= pool and own_ids:
+        return pairs(met, False)
+    far = met if not own_ids else met.where("blocks > 1")
+    far = pairs(far, own_ids).repartition(tasks(sums.far if own_ids else sums.pairs), "target_id")
     rank = F.row_number().over(W.partitionBy("target_id").orderBy(stable_hash(seed, "target_id", "id"), "id"))
-    return pairs.withColumn("pool_rank", rank).where(F.col("pool_rank") <= pool).drop("pool_rank")
+    far = far.withColumn("pool_rank", rank).where(F.col("pool_rank") <= pool).drop("pool_rank")
+    return pairs(met.where("blocks = 1"), True).union(far) if own_ids else far
 
 
 def overlaps(pairs: DataFrame, facts: DataFrame) -> DataFrame:
@@ -61,6 +90,7 @@ def similar(rows: DataFrame, facts: DataFrame) -> DataFrame:
 
 def scored(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Adds same_ring_scaffold, group_jaccard and tanimoto to all pairs. facts: smiles, ring_scaffold, groups, bits."""
+    facts = order.cut(facts, "facts")  # of a known size, so that pairs needn't move where the facts are few
     return similar(overlaps(pairs, facts), facts).select("target_id", "target", "formula", "id", "smiles", "same_ring_scaffold", "group_jaccard", "tanimoto")
 
 
@@ -74,6 +104,7 @@ def hardest(pairs: DataFrame, facts: DataFrame, shown: int = SHOWN) -> DataFrame
         raise ValueError("at least one negative must be shown")
     first = (F.desc("same_ring_scaffold"), F.desc("group_jaccard"))
     own = W.partitionBy("target_id")
+    facts = order.cut(facts, "facts")  # of a known size, so that pairs needn't move where the facts are few
     near = overlaps(pairs, facts).withColumn("ahead", F.rank().over(own.orderBy(*first))).where(F.col("ahead") < shown).drop("ahead")
     rank = F.row_number().over(own.orderBy(*first, F.desc("tanimoto"), F.desc("smiles")))
     return similar(near, facts).withColumn("rank", rank).where(F.col("rank") < shown)

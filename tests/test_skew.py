@@ -163,3 +163,31 @@ def test_places_with_null_keys(spark):
     rows = spark.createDataFrame([(None, i) for i in range(50)] + [("a", i) for i in range(20)], "k string, i int").withColumn("h", F.sha2(F.col("i").cast("string"), 256))
     got = sorted((str(r.k), r.h, r.place) for r in order.place_by_hash(rows, ["k"], "h", "i").collect())
     assert [p for _, _, p in got] == [*range(1, 51), *range(1, 21)] or [p for _, _, p in got] == [*range(1, 21), *range(1, 51)]
+
+
+def test_pools_need_no_rank_below_their_size(spark):
+    """Where each target takes all structures of its formula in one block, pairs are neither sorted nor ranked; facts of a few
+    structures are broadcast, so that the pairs don't move."""
+    rows = spark.createDataFrame([(f"i{k}", f"m{k % 40}", f"f{k % 2}") for k in range(300)], "id string, smiles string, formula string")
+    facts = spark.createDataFrame([(f"m{k}", "", ["a"], [k]) for k in range(40)], "smiles string, ring_scaffold string, groups array<string>, bits array<int>")
+    found = negatives.scored(negatives.formula_pairs(rows, pool=512), facts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("BroadcastHashJoin") >= 4 and found.count() == 300 * 19
+
+
+@pytest.mark.parametrize("block", [16, 4096])
+def test_pools_of_repeated_ids(spark, monkeypatch, block):
+    """Rows of one id share its pool, as in SQL's window over the id; a pool as large as the list keeps all."""
+    monkeypatch.setattr(negatives, "BLOCK", block)
+    rows = [(f"i{k % 50}", f"m{k % 30}", "f" if k % 4 else "g") for k in range(120)]
+    unique = {}
+    for i, s, f in sorted(rows):
+        unique.setdefault((f, s), i)
+    pairs = sorted((sha(3407, i, x), i, x) for i, s, f in rows for (g, t), x in unique.items() if g == f and t != s)
+    seen, want = {}, []
+    for _, i, x in pairs:
+        seen[i] = seen.get(i, 0) + 1
+        if seen[i] <= 25:
+            want.append((i, x))
+    got = negatives.formula_pairs(spark.createDataFrame(rows, "id string, smiles string, formula string"), pool=25).collect()
+    assert sorted((r.target_id, r.id) for r in got) == sorted(want)
