@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,15 +69,25 @@ def known_solvent(value: Column) -> Column:
     return (text != "") & ~text.isin(*UNKNOWN_SOLVENTS)
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def formula_tokens(formula: Column) -> Column:
     """Array of (element, count) of a neutral formula of one component, null if it is malformed."""
     text = F.trim(formula)
     names = F.regexp_extract_all(text, F.lit(FORMULA_TOKEN), F.lit(1))
     digits = F.regexp_extract_all(text, F.lit(FORMULA_TOKEN), F.lit(2))
-    pairs = F.zip_with(names, digits, lambda e, n: F.struct(e.alias("element"), F.coalesce(F.nullif(n, F.lit("")).try_cast("int"), F.lit(1)).alias("count")))
-    back = F.array_join(F.zip_with(names, digits, lambda e, n: F.concat(e, n)), "")
-    fine = (F.length(text) > 0) & (back == text) & F.forall(pairs, lambda p: p["element"].isin(*ELEMENTS) & (p["count"] > 0))
-    return F.when(fine, pairs)
+    raw = F.zip_with(names, digits, lambda e, n: F.struct(e.alias("e"), n.alias("n")))
+    made = lambda p: F.struct(p["e"].alias("element"), F.coalesce(F.nullif(p["n"], F.lit("")).try_cast("int"), F.lit(1)).alias("count"))
+
+    def checked(tokens: Column) -> Column:
+        back = F.array_join(F.transform(tokens, lambda p: F.concat(p["e"], p["n"])), "")
+        whole = (F.length(text) > 0) & (back == text)
+        return once(F.transform(tokens, made), lambda pairs: F.when(whole & F.forall(pairs, lambda p: p["element"].isin(*ELEMENTS) & (p["count"] > 0)), pairs))
+
+    return once(raw, checked)
 
 
 def element_count(tokens: Column, *elements: str) -> Column:
@@ -93,10 +105,11 @@ def formula_counts(formula: Column) -> Column:
 
 def dbe(formula: Column) -> Column:
     """Double-bond equivalents; null without a formula, for a malformed one, and where they would be negative."""
-    t = formula_tokens(formula)
-    n = lambda *e: element_count(t, *e)
-    value = (2 * n("C", "Si") + 2 + n("N", "P") - n("H") - n(*HALOGENS)) / F.lit(2.0)
-    return F.when(value >= 0, value)
+    def value(t: Column) -> Column:
+        n = lambda *e: element_count(t, *e)
+        return (2 * n("C", "Si") + 2 + n("N", "P") - n("H") - n(*HALOGENS)) / F.lit(2.0)
+
+    return once(once(formula_tokens(formula), value), lambda v: F.when(v >= 0, v))
 
 
 def distinct_signals(shifts: Column) -> Column:

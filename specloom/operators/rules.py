@@ -206,6 +206,34 @@ def pair_sides(rules: tuple) -> list[Column]:
     return [F.array_sort(F.collect_list(F.when(matches(area, mults, rule[3]), entry))).alias(f"{rule[0]}_{k}") for rule in rules for k, (area, mults) in enumerate(rule[1:3])]
 
 
+def held_lists(regions: tuple) -> list[Column]:
+    """For each region the shifts in it, of the rising list `shifts` of a sample."""
+    held = lambda low, high: F.filter("shifts", lambda x: x.between(low, high))
+    return [held(*r[1:3]).alias(r[0]) for r in regions]
+
+
+def fits(p: Column, area: float, mults: tuple[str, ...], tolerance: float) -> Column:
+    return (F.abs(p["integration"] - area) <= tolerance) & p["multiplicity"].isin(*mults)
+
+
+def first_held(rule: tuple) -> Column:
+    """The first of a sample's list `peaks` (by place) that fits a rule of one peak, null if none does."""
+    _, area, tolerance, mults, low, high, *_ = rule
+
+    def ok(p: Column) -> Column:
+        held = p["pos"].isNotNull() & fits(p, area, mults, tolerance)
+        held = held if low is None else held & (p["shift"] >= low)
+        return held if high is None else held & (p["shift"] <= high)
+
+    return F.get(F.filter("peaks", ok), F.lit(0))
+
+
+def held_sides(rules: tuple) -> list[Column]:
+    """For each rule of two peaks those of the list `peaks` that fit its first and its second side, by their places."""
+    side = lambda *rule: F.filter("peaks", lambda p: fits(p, *rule))
+    return [side(area, mults, rule[3]).alias(f"{rule[0]}_{k}") for rule in rules for k, (area, mults) in enumerate(rule[1:3])]
+
+
 def first_pair(rule: tuple) -> Column:
     """matching_j, shift_1 and shift_2 of the first two peaks of the sides that share a coupling, null if none do."""
     tolerance = rule[4]
@@ -251,9 +279,11 @@ def analyze(samples: DataFrame, h_peaks: DataFrame, c_shifts: DataFrame, *, incl
     sample need no other.
     """
     spark = samples.sparkSession
-    h = h_peaks.groupBy(F.col("id").alias("h_id")).agg(*region_lists(library.h_regions), *first_peaks(library.singles), *pair_sides(library.pairs))
-    signals = F.size(F.collect_set(F.bround("shift", 3))).alias("observed")
-    c = c_shifts.groupBy(F.col("id").alias("c_id")).agg(signals, *region_lists(library.c_regions))
+    peaks = F.array_sort(F.collect_list(F.struct("pos", "shift", "integration", "multiplicity", "J")))
+    h = h_peaks.groupBy(F.col("id").alias("h_id")).agg(peaks.alias("peaks"), F.array_sort(F.collect_list("shift")).alias("shifts"))
+    h = h.select("h_id", *held_lists(library.h_regions), *(first_held(r).alias(r[0]) for r in library.singles), *held_sides(library.pairs))
+    c = c_shifts.groupBy(F.col("id").alias("c_id")).agg(F.array_sort(F.collect_list("shift")).alias("shifts"))
+    c = c.select("c_id", parsing.distinct_signals(F.col("shifts")).alias("observed"), *held_lists(library.c_regions))
     rows = h.join(c, F.col("h_id") == F.col("c_id"), "full").withColumn("peaks_id", F.coalesce("h_id", "c_id"))
     own = [
         F.trim("formula").alias("formula"),

@@ -235,3 +235,15 @@ def test_range_summary_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(rules, "PLACES", 500_000)
     rows = rules.interval_summary(spark.range(300_000).select(F.col("id").cast("double").alias("v")), wide, "v")
     assert rows.agg(F.count(F.lit(1)), F.min("n"), F.max("most")).first() == (4000, 300_000, 299_999.0)
+
+
+def test_evidence_gathers_the_peaks_of_a_sample_once(spark):
+    samples = spark.createDataFrame([(1, " C2H6O "), (2, "C0H"), (3, None)], "id long, formula string")
+    peaks = spark.createDataFrame([(1, 2, 1.0, "t", [7.0], 3.0), (1, 1, 3.5, "q", [7.2], 2.0), (1, 3, 3.6, "s", [], 3.0), (1, 4, 3.1, "s", [], 3.0)], "id long, pos int, shift double, multiplicity string, J array<double>, integration double")
+    shifts = spark.createDataFrame([(1, 60.0), (1, 18.0), (1, None)], "id long, shift double")
+    found = rules.analyze(samples, peaks, shifts)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list") == 3 and plan.count("regexp_extract_all") <= 4
+    got = {r.rule_id: r.metadata for r in found.collect()}
+    assert '"shift_ppm":3.6' in got["H1_FRAGMENT_METHOXY_001"] and '"shifts_ppm":[1.0,3.5]' in got["H1_FRAGMENT_ETHYL_001"]
+    assert got["H1_SHIFT_HETEROATOM_SP3"] == '{"matching_shifts_ppm":[3.1,3.5,3.6]}' and '"dbe":0.0' in got["FORMULA_DBE_001"] and "C13_SIGNAL_COUNT_001" in got
