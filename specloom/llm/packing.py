@@ -18,8 +18,8 @@ from specloom.llm.textkit import LETTER, OTHER, SPACE
 MAX_TOKENS = 1024
 #: Distinct words that a worker remembers with their ids; beyond it starts afresh.
 CACHE_WORDS = 2_000_000
-#: Code points encoded at once.
-CHUNK = 4_000_000
+#: Code points encoded at once, and of texts whose ids go out too.
+CHUNK, CHUNK_IDS = 4_000_000, 500_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, bucket int"
 
@@ -203,7 +203,7 @@ def pack(
         local = 0
         for batch in batches:
             keys, texts, part = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
-            for a, b in chunks(texts):
+            for a, b in chunks(texts, CHUNK_IDS if with_ids else CHUNK):
                 ids, offsets = code.encode(texts[a:b])
                 row, start, length, crc, tokens, pieces = [], [], [], [], [], []
                 for i in range(b - a):
