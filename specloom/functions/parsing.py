@@ -18,7 +18,7 @@ UNKNOWN_SOLVENTS = ("nan", "none", "not_known", "unknown")
 
 def parse_number(text: Column, default: float | None = None) -> Column:
     """First number in the text as a double, or the default. Exponents aren't read, as in the tables' own notation."""
-    number = F.nullif(F.regexp_extract(text, NUMBER, 0), F.lit("")).try_cast("double")
+    number = F.regexp_extract(text, NUMBER, 0).try_cast("double")  # the empty text of no match is no double
     return number if default is None else F.coalesce(number, F.lit(float(default)))
 
 
@@ -41,11 +41,14 @@ def couplings(values: Column) -> Column:
 def multiplicity(text: Column) -> Column:
     """Lower case without blanks and without a leading 'app'; aliases made one; empty is a singlet."""
     plain = F.lower(F.replace(F.trim(text), F.lit(" "), F.lit("")))
-    cut = F.regexp_replace(plain, "^app", "")
-    named = F.lit(None).cast("string")
-    for alias, name in MULTIPLICITY_ALIASES.items():
-        named = F.coalesce(named, F.when(cut == alias, F.lit(name)))
-    return F.when(text.isNull() | (plain == ""), F.lit("s")).otherwise(F.coalesce(named, cut))
+
+    def named(cut: Column) -> Column:
+        out = F.when(cut.isNull(), F.lit("s"))
+        for alias, name in MULTIPLICITY_ALIASES.items():
+            out = out.when(cut == alias, F.lit(name))
+        return out.otherwise(cut)
+
+    return once(F.when(plain != "", F.regexp_replace(plain, "^app", "")), named)
 
 
 def stable_id(smiles: Column) -> Column:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import json
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -119,9 +120,15 @@ PEAK = "shift double, multiplicity string, J array<double>, integration double,
 
 
 def _literal(text: str | None):
+    if not text or text.isascii() and text.isidentifier() and text not in ("True", "False"):
+        return None  # a bare name is no literal
+    if not any(x in text for x in ('"', "\\", "#", "'''")):
+        bare = "".join(text.split("'")[::2])
+        if bare.count("[") != bare.count("]"):
+            return None  # what isn't closed
     try:
-        return ast.literal_eval(text) if text else None
-    except (ValueError, SyntaxError, MemoryError, RecursionError):
+        return ast.literal_eval(text)
+    except (ValueError, TypeError, SyntaxError, MemoryError, RecursionError):
         return None
 
 
@@ -129,54 +136,92 @@ def _literal(text: str | None):
 APART = "\x1f"
 H_FIELDS = (("shift", None), ("multiplicity", "s"), ("J", ()), ("integration", 1.0))
 
+# A table's usual shape: a list of rows, which may be mappings, of cells, which may be lists of scalars.
+_TEXT = r"'[^'\"\\()\[\]{}N\x00-\x1f]*'"
+_SCALAR = rf"(?:{_TEXT}|None|-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)"
 
-def literal_tables(rows: DataFrame, column: str, out: str, fields: tuple[tuple[str, object], ...] = ()) -> DataFrame:
-    """Adds out: the tuples of a Python-literal text as arrays of arrays of texts, null where it doesn't parse.
+
+def _listed(item: str) -> str:
+    return rf"(?:\[ *(?:{item} *(?:, *{item} *)*(?:, *)?)?\]|\( *(?:{item} *, *(?:{item} *(?:, *{item} *)*(?:, *)?)?)?\))"
+
+
+_CELL = rf"(?:{_SCALAR}|{_listed(_SCALAR)})"
+_PAIR = rf"{_TEXT} *: *{_CELL} *"
+_SHAPE = f"^{_listed(f'(?:{_CELL}|{_listed(_CELL)})')}$"
+_SHAPE_MAPPINGS = f"^{_listed(f'(?:{_CELL}|{_listed(_CELL)}|{{ *(?:{_PAIR}(?:, *{_PAIR})*(?:, *)?)?}})')}$"
+
+
+def _read(texts: pa.Array, mappings: bool) -> list:
+    """_literal of each text, with lists for tuples. One of the usual shape is JSON but for its quotes, round brackets, None and
+    last commas, so these go through the JSON parser at once, many times faster."""
+    usual = pc.fill_null(pc.match_substring_regex(texts, _SHAPE_MAPPINGS if mappings else _SHAPE), False)
+    json_texts = texts.filter(usual)
+    for old, new in (("(", "["), (")", "]"), ("'", '"'), ("None", "null")):
+        json_texts = pc.replace_substring(json_texts, old, new)
+    json_texts = pc.replace_substring_regex(json_texts, r", *([\]}])", r"\1")
+    try:
+        read = iter(json.loads(f"[{','.join(json_texts.to_pylist())}]"))
+    except ValueError:  # an integer of too many digits
+        return [_literal(t) for t in texts.to_pylist()]
+    rest = pc.if_else(usual, None, texts).to_pylist()
+    return [next(read) if plain else _literal(text) for plain, text in zip(usual.to_pylist(), rest, strict=True)]
+
+
+def literals(text: Column, fields: tuple[tuple[str, object], ...] = ()) -> Column:
+    """The tuples of a Python-literal text as arrays of arrays of texts, null where it doesn't parse.
 
     Couplings inside a tuple are joined by APART. With fields, a mapping becomes the tuple of these. The only step of ingest
-    that needs Python, in Arrow batches.
+    that needs Python, in Arrow batches; columns of one select share a pass. Declared nondeterministic, as Spark would else
+    parse all texts once for a filter on the result and once more for its rows.
     """
 
-    @F.pandas_udf("array<array<string>>")
-    def parse(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        def cell(x) -> str | None:
-            if isinstance(x, (list, tuple)):
-                return APART.join("" if y is None else str(y) for y in x)
-            return None if x is None else str(x)
+    def cell(x) -> str | None:
+        if x is None or type(x) is str:
+            return x
+        return APART.join(["" if y is None else str(y) for y in x]) if isinstance(x, (list, tuple)) else str(x)
+
+    def cells(v) -> list[str | None]:
+        if fields and isinstance(v, dict):
+            v = [v.get(name, missing) for name, missing in fields]
+        return [cell(x) for x in v] if isinstance(v, (list, tuple)) else [cell(v)]
 
-        def cells(v) -> list[str | None]:
-            if fields and isinstance(v, dict):
-                v = [v.get(name, missing) for name, missing in fields]
-            return [cell(x) for x in (v if isinstance(v, (list, tuple)) else [v])]
+    def whole(value) -> list[list[str | None]] | None:
+        if value is None:
+            return None
+        return [cells(v) for v in (value if isinstance(value, (list, tuple)) else [value])]
 
-        def whole(text: str | None):
-            value = _literal(text)
-            if value is None:
-                return None
-            values = value if isinstance(value, (list, tuple)) else [value]
-            return [cells(v) for v in values]
+    def parse(texts: pa.Array) -> pa.Array:
+        return pa.array(map(whole, _read(texts, bool(fields))), pa.list_(pa.list_(pa.string())))
 
-        for batch in batches:
-            yield batch.map(whole, na_action=None)
+    return F.arrow_udf(parse, "array<array<string>>").asNondeterministic()(text)
 
-    return rows.withColumn(out, parse(F.col(column)))
+
+def literal_tables(rows: DataFrame, column: str, out: str, fields: tuple[tuple[str, object], ...] = ()) -> DataFrame:
+    """Adds out: literals() of a column."""
+    return rows.withColumn(out, literals(F.col(column), fields))
 
 
 def h_peak(t: Column) -> Column:
     """A 1H peak from a tuple of texts: (shift, multiplicity, couplings, integration), or the source's own order
     (multiplicity, couplings, integration, high, low), whose shift is the middle. Null without a shift."""
     at = lambda i: F.get(t, i)
-    number = lambda i: parsing.parse_number(at(i))
-    source = (F.size(t) >= 5) & number(0).isNull() & number(3).isNotNull() & number(4).isNotNull()
 
     def peak(shift: Column, mult: Column, js: Column, area: Column, low_high: Column) -> Column:
         return F.struct(
             shift.alias("shift"), parsing.multiplicity(mult).alias("multiplicity"), parsing.couplings(F.split(js, APART)).alias("J"), parsing.integration(F.coalesce(area, F.lit("1"))).alias("integration"), low_high.alias("shift_range")
         )
 
-    ends = F.array(F.least(number(3), number(4)), F.greatest(number(3), number(4)))
-    plain = F.when(number(0).isNotNull(), peak(number(0), at(1), at(2), at(3), F.lit(None).cast("array<double>")))
-    return F.when(source, peak((number(3) + number(4)) / 2.0, at(0), at(1), at(2), ends)).otherwise(plain)
+    def made(n: Column) -> Column:
+        first, high, low = (n[x] for x in ("first", "high", "low"))
+        ends = F.when(high.isNotNull() & low.isNotNull(), F.array(F.least(high, low), F.greatest(high, low)))
+        # both orders in one peak, as a struct's fields are written out for each
+        own = peak(F.coalesce(first, (high + low) / 2.0), *(F.when(first.isNull(), at(i)).otherwise(at(i + 1)) for i in range(3)), ends)
+        return F.when(first.isNotNull() | ends.isNotNull(), own)
+
+    # the last two count only in the source's order
+    first, five = parsing.parse_number(at(0)), F.size(t) >= 5
+    bounds = lambda i: F.when(five & first.isNull(), parsing.parse_number(at(i)))
+    return parsing.once(F.struct(first.alias("first"), bounds(3).alias("high"), bounds(4).alias("low")), made)
 
 
 def h_table(tuples: Column) -> Column:
@@ -192,7 +237,7 @@ def c_table(tuples: Column) -> Column:
 def samples(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Nested samples of chosen pairs. pairs: mol_key and structs h, c of raw records; facts: molecule dimension by
     canonical. A pair whose table doesn't parse, or whose molecule isn't accepted, gives none."""
-    rows = literal_tables(literal_tables(pairs, "h.processed", "h_raw", H_FIELDS), "c.processed", "c_raw")
+    rows = pairs.withColumns({"h_raw": literals(F.col("h.processed"), H_FIELDS), "c_raw": literals(F.col("c.processed"))})
     rows = rows.where("h_raw is not null and c_raw is not null")
     rows = rows.join(facts.where("accepted").select(F.col("canonical").alias("mol_key"), "formula").distinct(), "mol_key")
     source = lambda s: F.struct(*(F.col(f"{s}.{n}").alias(n) for n in ("filename", "page_mol", "page_para", "location_mol", "location_para")))

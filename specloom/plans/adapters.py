@@ -48,13 +48,14 @@ RAW = f"""raw as (select event_id row_index, user_id mol_key,
 
 def h_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, pos, shift, multiplicity, J, integration: one row for each 1H peak, from lineitem."""
-    rows = table(spark, sf_dir, "lineitem")
+    # named before the window, so that grouping by id later needs no second exchange
+    rows = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "id")
     half = ((F.col("l_quantity").cast("int") % 16) / 2.0).alias("j")
     mult = pick(F.col("l_suppkey") % 8, MULTIPLICITIES)
     # rows that these columns leave tied are equal in all columns of the view, so which of them comes first is the same
-    pos = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
+    pos = F.row_number().over(W.partitionBy("id").orderBy("l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"))
     return rows.select(
-        F.col("l_orderkey").alias("id"),
+        "id",
         pos.alias("pos"),
         ((F.round(F.col("l_extendedprice") * 100).cast("bigint") % 1350) / 100.0).alias("shift"),
         mult.alias("multiplicity"),

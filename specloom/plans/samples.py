@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +27,17 @@ def _tables(spark: SparkSession, d: str) -> DataFrame:
     rows = A.h_peaks(spark, d).select("id", "pos", F.round(F.col("shift") * 100).cast("bigint").alias("s"), F.col("integration").cast("int").alias("n"))
     cents = lambda v: F.concat(F.floor(v / 100).cast("string"), F.lit("."), F.lpad((v % 100).cast("string"), 2, "0"))
 
-    def filled(forms: tuple[str, ...]) -> Column:
-        text = A.pick(F.col("pos") % len(forms), forms)
-        for mark, value in (("$s", cents(F.col("s"))), ("$r", cents(F.col("s") + F.col("n"))), ("$j", cents(F.col("n") * 110))):
-            text = F.replace(text, F.lit(mark), value)
-        return text
+    marks = {"$s": cents(F.col("s")), "$r": cents(F.col("s") + F.col("n")), "$j": cents(F.col("n") * 110)}
 
-    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", name))), lambda x: x[name]), ", ")
-    both = rows.select("id", "pos", filled(H_FORMS).alias("h"), filled(C_FORMS).alias("c")).groupBy("id").agg(listed("h").alias("h"), listed("c").alias("c"))
+    def filled(forms: tuple[str, ...]) -> Column:
+        texts = [F.concat(*(marks.get(x, F.lit(x)) for x in re.split(r"(\$[srj])", form) if x)) for form in forms]
+        out = texts[-1]
+        for k, text in reversed(list(enumerate(texts[:-1]))):
+            out = F.when(F.col("pos") % len(forms) == k, text).otherwise(out)
+        return out
+
+    both = rows.select("id", "pos", filled(H_FORMS).alias("h"), filled(C_FORMS).alias("c")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "h", "c"))).alias("p"))
+    both = both.select("id", F.array_join("p.h", ", ").alias("h"), F.array_join("p.c", ", ").alias("c"))
     broken = lambda t: F.when(F.col("id") % 13 == 0, F.concat(F.lit("["), t)).when(F.col("id") % 17 == 0, "").when(F.col("id") % 19 == 0, "nan").otherwise(F.concat(F.lit("["), t, F.lit("]")))
     return both.select("id", broken(F.col("h")).alias("h"), F.when(F.col("id") % 11 == 0, "[]").otherwise(broken(F.col("c"))).alias("c"))
 
@@ -77,7 +82,7 @@ c_made as (select id, row_number() over (partition by id order by pos)::int pos,
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
-    return ingest.literal_tables(ingest.literal_tables(_tables(spark, d), "h", "h_raw", ingest.H_FIELDS), "c", "c_raw")
+    return _tables(spark, d).withColumns({"h_raw": ingest.literals(F.col("h"), ingest.H_FIELDS), "c_raw": ingest.literals(F.col("c"))})
 
 
 @query(f"with {TABLES} select id, h is not null h_parses, c is not null c_parses, json_array_length(h)::int h_tuples, json_array_length(c)::int c_tuples from parsed")
