@@ -85,11 +85,17 @@ class WordEncoder:
         self.at, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
         self.place, self.length, self.words = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
 
+    spans = staticmethod(pretokens)
+
+    def written(self, word: bytes) -> str:
+        """A word as the tokenizer's model takes it."""
+        return word.decode("latin-1").translate(self.visible)
+
     def learn(self, data: np.ndarray, hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
         """Ids of words not met before, by the tokenizer's model, which takes bytes in their visible form."""
         tokenize = self.tokenizer.model.tokenize
         words = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        ids = [[t.id for t in tokenize(w.decode("latin-1").translate(self.visible))] for w in words]
+        ids = [[t.id for t in tokenize(self.written(w))] for w in words]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         at = len(self.ids) + np.cumsum(size) - size
         self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, size.sum()))
@@ -116,7 +122,7 @@ class WordEncoder:
     def by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, set[int]]:
         """Ids and offsets of texts without added tokens, and which of them hold a word that only looks known."""
         points, starts = textkit.code_points(texts)
-        begin, end = pretokens(points, starts)
+        begin, end = self.spans(points, starts)
         if not len(begin):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64), set()
         data = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)

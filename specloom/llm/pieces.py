@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specloom.llm import common
+from specloom.llm import common, packing
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
@@ -140,6 +141,26 @@ def build(model: Model):
     return tokenizer
 
 
+class Words(packing.WordEncoder):
+    """Ids word by word: a word is blanks and the other signs after them; what a model cuts nowhere else is encoded so."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.added = tokenizer, []
+        self.clear()
+
+    @staticmethod
+    def spans(points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        blank = points == 0x20
+        first = np.append(blank, True)
+        first[1:-1] &= ~blank[:-1]
+        first[starts] = True
+        begin = np.flatnonzero(first)
+        return begin[:-1], begin[1:]
+
+    def written(self, word: bytes) -> str:
+        return word.decode("utf-8", "surrogatepass").replace(" ", MARK)
+
+
 class Codec:
     """Encodes and decodes batches of texts, with as many threads as the process may use."""
 
@@ -149,6 +170,46 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
         self.tokenizer = build(self.model)
         self.data = data
+        model = self.model
+        user = any(kind == USER for _, _, kind in model.pieces)
+        #: None where the library must see whole texts
+        self.words = None if user or model.charsmap or model.single_blanks or not whole_words(model) else Words(self.tokenizer)
+        # what a piece stands for by itself, in bytes; other pieces are left to the library
+        self.direct = np.array([kind == BYTE or kind == NORMAL and not re.fullmatch("<0x[0-9A-Fa-f]{2}>", p) for p, _, kind in model.pieces], bool)
+        plain = [bytes([int(p[3:5], 16)]) if kind == BYTE else p.replace(MARK, " ").encode("utf-8", "surrogatepass") for p, _, kind in model.pieces]
+        self.size = np.fromiter(map(len, plain), np.int64, len(plain))
+        self.at, self.plain = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(plain), np.uint8)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the offsets of the texts in them; as encode()."""
+        if self.words is None:
+            rows, wrong = [np.asarray(x, np.uint32) for x in self.encode(texts)], set()
+        else:
+            lead = " " if self.model.dummy_prefix else ""
+            ids, offsets, wrong = self.words.by_words([t and lead + t.replace(MARK, " ") for t in texts])
+            if not wrong:
+                return ids, offsets
+            rows = np.split(ids, offsets[1:-1])
+        for i in wrong:
+            rows[i] = np.asarray(self.encode([texts[i]])[0], np.uint32)
+        return np.concatenate([np.zeros(0, np.uint32), *rows]), np.append(0, np.cumsum([len(x) for x in rows], dtype=np.int64))
+
+    def decoded(self, ids: np.ndarray, offsets: np.ndarray) -> Iterator[str]:
+        """The texts of ids, as decode() gives them: pieces put together, if each stands for bytes that make UTF-8 together."""
+        size = self.size[ids]
+        total = np.append(0, np.cumsum(size))
+        data = self.plain[np.repeat(self.at[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        odd = np.append(0, np.cumsum(~self.direct[ids]))[offsets]
+        place = total[offsets]
+        for i in range(len(offsets) - 1):
+            own = data[place[i] : place[i + 1]]
+            try:
+                if odd[i] != odd[i + 1]:
+                    raise UnicodeError
+                text = own.decode("utf-8")
+                yield text[1:] if self.model.dummy_prefix and text.startswith(" ") else text
+            except UnicodeError:
+                yield self.decode([ids[offsets[i] : offsets[i + 1]].tolist()])[0]
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -161,10 +222,12 @@ class Codec:
         import sentencepiece
 
         own = sentencepiece.SentencePieceProcessor(model_proto=self.data)
-        for text, ids, want in zip(texts, got := self.encode(texts), own.encode(texts), strict=True):
+        all_ids, offsets = self.encoded(texts)
+        got = [all_ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        for text, ids, want in zip(texts, got, own.encode(texts), strict=True):
             if ids != want:
                 raise ValueError(f"ids of {text!r} differ: {ids} and {want}")
-        for ids, a, b in zip(got, self.decode(got), own.decode(got), strict=True):
+        for ids, a, b in zip(got, self.decoded(all_ids, offsets), own.decode(got), strict=True):
             if a != b:
                 raise ValueError(f"texts of {ids} differ: {a!r} and {b!r}")
 
@@ -186,7 +249,8 @@ def encode(docs: DataFrame, model: str, *, threads: int = 2, doc_id: str = "doc_
 
     Each worker first verifies parity with the sentencepiece library on PROBES. A null text is empty and has no ids; null
     ids stay null; repeated rows give equal rows; an empty table gives no rows; further columns are ignored. Whole texts
-    are encoded, of any length; batches hold about a million signs or one text.
+    are encoded, of any length; batches hold some million signs or one text. A model whose pieces don't reach over blanks is
+    run word by word, each distinct word once a worker (packing.CACHE_WORDS at most are held).
     """
     schema = "doc_id long, n_tokens long, ids_crc32 long, n_bytes_fallback long, n_unknown long, decoded_crc32 long, lossless boolean"
     schema += ", ids array<int>, decoded string" if with_ids else ""
@@ -195,19 +259,17 @@ def encode(docs: DataFrame, model: str, *, threads: int = 2, doc_id: str = "doc_
     held = common.vocabulary_bytes(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from specloom.llm.packing import chunks
-
         own = codec(held.value, threads)
         kinds = np.array([p[2] for p in own.model.pieces])
         for batch in batches:
             texts = batch.column(1).to_pylist()
             out: list[list] = [[] for _ in names[1:]]
-            for a, b in chunks(texts, 1_000_000):
-                ids = own.encode(texts[a:b])
-                for text, row, back in zip(texts[a:b], ids, own.decode(ids), strict=True):
-                    array = np.asarray(row, "<u4")
-                    kind = kinds[array] if len(array) else np.zeros(0, int)
-                    value = (len(row), zlib.crc32(array.tobytes()), int((kind == BYTE).sum()), int((kind == UNKNOWN).sum()), zlib.crc32(back.encode("utf-8", "replace")), back == text, row, back)
+            for a, b in packing.chunks(texts, packing.CHUNK_IDS if with_ids else packing.CHUNK):
+                ids, offsets = own.encoded(texts[a:b])
+                n_bytes, n_unknown = (np.diff(np.append(0, np.cumsum(kinds[ids] == k))[offsets]).tolist() for k in (BYTE, UNKNOWN))
+                for i, (text, back) in enumerate(zip(texts[a:b], own.decoded(ids, offsets), strict=True)):
+                    row = ids[offsets[i] : offsets[i + 1]].astype("<u4")
+                    value = (len(row), zlib.crc32(row), n_bytes[i], n_unknown[i], zlib.crc32(back.encode("utf-8", "replace")), back == text, row, back)
                     for column, v in zip(out, value, strict=False):
                         column.append(v)
             types = [*[pa.int64()] * 5, pa.bool_(), pa.list_(pa.int32()), pa.string()]

@@ -147,3 +147,24 @@ def test_pieces_of_odd_rows(odd, none):
     rows = pieces.encode(odd, PATH, with_ids=True).collect()
     assert len(rows) == 6 and all(r.n_tokens == 0 for r in rows if r.doc_id in (1, 2))
     assert pieces.encode(none, PATH).count() == 0
+
+
+def test_words_are_encoded_once(data):
+    """Ids and texts of odd texts are the library's own, and a word that was met before isn't encoded again."""
+    import pyarrow.parquet as pq
+
+    codec = pieces.Codec(DATA)
+    texts = [t or "" for t in pq.read_table(f"{data}/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += [*pieces.PROBES, "▁", " ▁ a", "a ", "\n", "😀\x00", "퟿ 𐍈 ", "<0x41> <unk>", "x" * 5000]
+    for _ in range(2):
+        ids, offsets = codec.encoded(texts)
+        rows = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert rows == codec.encode(texts) and list(codec.decoded(ids, offsets)) == codec.decode(rows)
+        codec.words.learn = None  # nothing new the second time
+    some = [[i] for i in range(len(codec.model.pieces))] + [[230, 130, 65], [3 + 0xC3, 3 + 0xA9, 3 + 0xFF], [0, 1, 2, 300], []]
+    flat, at = sum(some, []), [0]
+    for x in some:
+        at.append(at[-1] + len(x))
+    import numpy as np
+
+    assert list(codec.decoded(np.asarray(flat, np.uint32), np.asarray(at))) == codec.decode(some)
