@@ -16,8 +16,9 @@ from specloom.llm import common, textkit
 from specloom.llm.textkit import LETTER, OTHER, SPACE
 
 MAX_TOKENS = 1024
-#: Distinct words that a worker remembers with their ids; beyond it starts afresh.
-CACHE_WORDS = 2_000_000
+#: Distinct words that a worker remembers with their ids, beyond which it starts afresh; and where ids go out too, as such
+#: workers also serve other stages, which need their memory.
+CACHE_WORDS, CACHE_WORDS_IDS = 2_000_000, 300_000
 #: Code points encoded at once, and of texts whose ids go out too.
 CHUNK, CHUNK_IDS = 4_000_000, 500_000
 
@@ -70,6 +71,8 @@ class WordEncoder:
     A hit counts only if the word found has the same code points; a text with any other goes through the tokenizer itself.
     """
 
+    most = CACHE_WORDS
+
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
@@ -132,7 +135,7 @@ class WordEncoder:
             first, last = place[begin], place[end]
         distinct, where, back = np.unique(textkit.span_hashes(data, first, last), return_index=True, return_inverse=True)
         new = distinct[~self.known(distinct)]
-        if len(new) + len(self.hashes) > CACHE_WORDS:
+        if len(new) + len(self.hashes) > self.most:
             self.clear()
             new = distinct
         if len(new):
@@ -206,6 +209,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(vocabulary.value)
+        code.most = CACHE_WORDS_IDS if with_ids else CACHE_WORDS
         local = 0
         for batch in batches:
             keys, texts, part = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
@@ -234,6 +238,9 @@ def pack(
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(np.concatenate(pieces).astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+        if with_ids:
+            code.clear()
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.spark_partition_id().cast("long").alias("part"))
     return common.arrow_map(rows, run, schema)

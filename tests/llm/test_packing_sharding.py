@@ -102,3 +102,21 @@ def test_interleaving_equals_brute_force(spark, data, odd, none):
         counts.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in counts.values()) and max(map(len, counts.values())) - min(map(len, counts.values())) <= 1
     assert sharding.interleave(odd, shards=3).count() == 6 and sharding.interleave(none, shards=3).count() == 0
+
+
+def test_the_words_held_can_be_fewer():
+    """Where ids go out too, a worker holds fewer words; ids are the same whatever is held."""
+    from pathlib import Path
+
+    from specloom.llm import packing
+    from specloom.llm.queries import vocabulary
+
+    assert packing.CACHE_WORDS_IDS < packing.CACHE_WORDS
+    data = Path(vocabulary("byte_bpe_50k.json")).read_bytes()
+    small, large = packing.WordEncoder(data), packing.WordEncoder(data)
+    small.most = 50
+    for k in range(20):
+        texts = [" ".join(f"word{i}x" for i in range(k * 10, k * 10 + 20))]
+        assert small.encode(texts)[0].tolist() == large.encode(texts)[0].tolist()
+        assert len(small.hashes) <= 70
+    assert len(large.hashes) > 200
